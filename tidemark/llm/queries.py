@@ -32,8 +32,69 @@ def p5_report(spark: SparkSession, folder: str) -> DataFrame:
     return overlap_report(cross_split_overlaps(records, members, threshold=0.7), records, members)
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.span_index import shared_spans
+
+    return shared_spans(_table(spark, folder, "records"), length=100)
+
+
+def p2_share(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.span_index import shared_share
+
+    return shared_share(p2_found(spark, folder), _table(spark, folder, "records"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.format_copies import format_copies
+
+    return format_copies(_table(spark, folder, "records"))
+
+
+def p3_counts(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.format_copies import copy_counts
+
+    return copy_counts(p3_found(spark, folder))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.grouped_split import related_groups
+
+    return related_groups(_table(spark, folder, "records"))
+
+
+def p4_split(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.grouped_split import grouped_split
+
+    return grouped_split(_table(spark, folder, "records"))
+
+
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.token_ids import token_ids
+
+    return token_ids(_table(spark, folder, "documents"))
+
+
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.packing import pack_documents
+
+    return pack_documents(_table(spark, folder, "documents"), _table(spark, folder, "capacities"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.skeleton import same_look
+
+    return same_look(_table(spark, folder, "documents"))
+
+
+def p8_skeletons(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.skeleton import with_skeleton
+
+    return with_skeleton(_table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p5_found, p5_report)}
+    found = (p1_found, p2_found, p2_share, p3_found, p3_counts, p4_found, p4_split, p5_found, p5_report)
+    return {f.__name__: f for f in (*found, p6_ids, p7_containers, p8_found, p8_skeletons)}
 
 
 def oracle_sql() -> dict[str, str]:
