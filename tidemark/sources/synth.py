@@ -1,0 +1,92 @@
+"""A generator of labelled maintenance notes with known duplicates and label noise, for tests and self-checks."""
+
+from __future__ import annotations
+
+import random
+from dataclasses import dataclass
+from hashlib import sha256
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemark.errors import CorpusError
+from tidemark.sources.corpus import RECORD
+
+# Our own vocabulary: for each label some parts, faults and remedies.
+TOPICS = {
+    21: (("outflow valve", "mixing duct", "cabin fan"), ("runs warm", "cycles early", "leaks air")),
+    24: (("bus tie relay", "starter cable", "inverter"), ("trips at load", "hums loudly", "drops a phase")),
+    27: (("aileron cable", "trim wheel", "spoiler hinge"), ("feels stiff", "has free play", "binds in cold")),
+    29: (("return filter", "hand pump", "pressure line"), ("weeps at a joint", "chatters", "holds low pressure")),
+    32: (("brake rod", "strut seal", "wheel bolt"), ("shows wear", "loses nitrogen", "is out of torque")),
+    34: (("pitot mast", "radio altimeter", "compass unit"), ("reads low", "drifts slowly", "fails its test")),
+}
+REMEDIES = ("cleaned and refitted", "replaced from stock", "adjusted to limits", "greased and checked", "deferred with a placard")
+SITES = ("north dock", "bay four", "line stand", "paint shop", "stores gate", "test cell")
+TYPES = ("type A commuter", "type B freighter", "type C trainer")
+
+
+@dataclass(frozen=True)
+class Plan:
+    name: str
+    records: int
+    seed: int
+    exact: float = 0.0
+    near: float = 0.0
+    noise: float = 0.04
+
+    def digest(self) -> str:
+        facts = f"{self.name}\n{self.records}\n{self.seed}\n{self.exact}\n{self.near}\n{self.noise}"
+        return sha256(facts.encode()).hexdigest()[:32]
+
+
+# Sizes, seeds and rates of the plans.
+PLANS = {
+    "main": Plan("main", 6000, 20260908, 0.03, 0.04),
+    "holdout": Plan("holdout", 1500, 20260909),
+    "clean": Plan("clean", 2000, 20260910),
+}
+
+
+def _note(rng: random.Random, label: int) -> str:
+    parts, faults = TOPICS[label]
+    return (
+        f"{rng.choice(parts)} {rng.randrange(1000, 9999)} {rng.choice(faults)} at {rng.choice(SITES)} after {rng.randrange(10, 9000)} hours, "
+        f"card {rng.randrange(10**6):06d} raised; {rng.choice(parts)} {rng.choice(REMEDIES)}, "
+        f"reading {rng.randrange(10, 999) / 10} and then {rng.randrange(10, 999) / 10} on the {rng.choice(TYPES)}"
+    )
+
+
+def _changed(rng: random.Random, text: str) -> str:
+    """The same note with one word replaced."""
+    words = text.split()
+    words[rng.randrange(len(words))] = rng.choice(("again", "twice", "today", "noted"))
+    return " ".join(words)
+
+
+def generate(plan: Plan) -> list[tuple]:
+    """Rows of the record schema, the same for the same plan."""
+    rng = random.Random(f"{plan.seed}")
+    exact, near = int(plan.records * plan.exact), int(plan.records * plan.near)
+    fresh = plan.records - exact - near
+    if fresh <= 0:
+        raise CorpusError(f"plan {plan.name} leaves no fresh records", "ask for more records, or fewer copies")
+    labels = sorted(TOPICS)
+    notes = []
+    for i in range(fresh):
+        truth = labels[i % len(labels)]
+        text = _note(rng, truth)
+        wrong = rng.random() < plan.noise
+        label = rng.choice([x for x in labels if x != truth]) if wrong else truth
+        notes.append((text, label, {"kind": "fresh"} | ({"true_label": str(truth)} if wrong else {})))
+    for kind, n in (("exact", exact), ("near", near)):
+        for _ in range(n):
+            text, label, _ = notes[rng.randrange(fresh)]
+            notes.append((text if kind == "exact" else _changed(rng, text), label, {"kind": kind}))
+    return [
+        (f"{plan.name}-{i:06d}", text, label, "generator", "CC0-1.0", meta | {"aircraft": TYPES[i % 3], "station": SITES[i % 6]}, i)
+        for i, (text, label, meta) in enumerate(notes)
+    ]
+
+
+def generate_frame(spark: SparkSession, plan: Plan) -> DataFrame:
+    return spark.createDataFrame(generate(plan), RECORD)
