@@ -2,20 +2,22 @@
 
 Method. Records and the entities they name (author, airframe, work pack) form a
 bipartite graph. Minimum labels are propagated over it: each round an entity
-takes the least label of its records, a record the least label of its entities,
-and then the label of its label's record (a shortcut, which makes the number of
-rounds logarithmic in the length of chains instead of linear). When no label
-changes, records of equal label are related. Groups are then assigned to parts:
-the groups of more than a ``LARGE_SHARE`` of all records one after another, each
-to the part where it leaves the least deviation from the wanted sizes, overall
-and by label; the many small ones in a hashed order, by the running sum of
-sizes within their main label, so that each part gets its share of every label.
+takes the least label of its records, a record the least label of its entities.
+Then the graph is contracted: records of equal label become one node, and
+entities with a single node are done, so every round works on a fraction of the
+last one's edges. When no entity has two nodes, the labels of the rounds are
+composed; records of equal label are related. Groups are then assigned to
+parts: the groups of more than a ``LARGE_SHARE`` of all records one after
+another, each to the part where it leaves the least deviation from the wanted
+sizes, overall and by label; the many small ones in a hashed order, by the
+running sum of sizes within their main label, so that each part gets its share
+of every label.
 
 Scale. An entity that more than ``hot`` records name is split into sub-entities
-tied together by a virtual record, so no entity's records meet in one task.
-Entity labels are partial minima before each shuffle. The labels of every round
-are written to the shared folder, which cuts the lineage. The driver handles at
-most 1 / LARGE_SHARE groups.
+tied together by a virtual record, so no entity's records meet in one task. A
+round has two exchanges of what is left of the edges; its result is written to
+the shared folder, which cuts the lineage. The driver handles at most
+1 / LARGE_SHARE groups, and (edges / hot) hot entities.
 
 Defined cases. Values are compared by letters and digits only, case ignored; a
 value without any digit names nobody. Null maps, missing keys and null values
@@ -61,52 +63,45 @@ def named_entities(df: DataFrame, id_col: str, meta_col: str, entities: dict[str
 
 
 def _split_hot(edges: DataFrame, hot: int) -> DataFrame:
-    """Edges in which no entity has many more than ``hot`` records."""
-    counts = edges.groupBy("entity").agg(F.count("*").alias("n"))
-    # An entity of one record relates nobody. At most (edges / hot) entities are hot.
-    shared = counts.where("n > 1")
-    kept = edges.join(shared, "entity")
-    salt = F.pmod(F.xxhash64("rid", F.lit("salt")), F.ceil(F.col("n") / hot))
-    sub = F.when(F.col("n") > hot, F.xxhash64("entity", salt)).otherwise(F.col("entity"))
-    plain = kept.select("rid", sub.alias("entity"))
-    ties = (
-        shared.where(f"n > {hot}")
-        .select("entity", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / hot) - 1)).alias("salt"))
-        .select(F.xxhash64("entity", F.lit("virtual")).alias("rid"), F.xxhash64("entity", "salt").alias("entity"))
-    )
-    return plain.unionByName(ties)
+    """Edges (node, entity) in which no entity has many more than ``hot`` records."""
+    counts = edges.groupBy("entity").agg(F.count("*").alias("n")).where(f"n > {hot}")
+    # At most (edges / hot) rows.
+    large = counts.select("entity", F.ceil(F.col("n") / hot).alias("parts")).collect()
+    plain = edges.select(F.col("rid").alias("node"), "entity")
+    if not large:
+        return plain
+    parts = edges.sparkSession.createDataFrame(large, "entity long, parts long")
+    salt = F.pmod(F.xxhash64("node", F.lit("salt")), F.col("parts"))
+    sub = F.when(F.col("parts").isNotNull(), F.xxhash64("entity", salt)).otherwise(F.col("entity"))
+    spread = plain.join(F.broadcast(parts), "entity", "left").select("node", sub.alias("entity"))
+    ties = parts.select("entity", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"))
+    ties = ties.select(F.xxhash64("entity", F.lit("virtual")).alias("node"), F.xxhash64("entity", "salt").alias("entity"))
+    return spread.unionByName(ties)
 
 
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(rid, label) for the records of (rid, entity) edges; connected records have equal labels."""
-    # Both sides keep their partitioning in memory or on local disk; if an executor is lost they are computed again.
-    by_record = edges.repartition("rid").persist()
-    by_entity = edges.repartition("entity").persist()
-    labels = by_record.select("rid", F.col("rid").alias("label")).distinct()
-    rounds = 0
+    """(node, label) for the nodes of (node, entity) edges that share an entity; connected nodes have equal labels."""
+    rounds: list[DataFrame] = []
     while True:
-        heard = (
-            by_record.join(labels, "rid")
-            .groupBy("entity")
-            .agg(F.min("label").alias("label"))
-            .join(by_entity, "entity")
-            .groupBy("rid")
-            .agg(F.min("label").alias("label"))
-        )
-        heard = _cluster.stored(heard, "heard")
-        # The label's own label is never greater than the label.
-        jumped = heard.select("rid", "label").join(heard.select(F.col("rid").alias("label"), F.col("label").alias("next")), "label", "left")
-        after = jumped.select("rid", F.coalesce(F.least("label", "next"), F.col("label")).alias("new"))
-        changed = after.join(labels, "rid").select("rid", F.col("new").alias("label"), (F.col("new") != F.col("label")).alias("changed"))
-        stored = _cluster.stored(changed, "labels")
-        labels = stored.select("rid", "label")
-        rounds += 1
-        if stored.where("changed").isEmpty():
+        # Contracted edges repeat; grouping by entity needs no exchange of its own.
+        distinct = edges.repartition("entity").groupBy("entity", "node").agg(F.lit(1).alias("one"))
+        entity = Window.partitionBy("entity")
+        heard = distinct.select("node", "entity", F.min("node").over(entity).alias("least"), F.max("node").over(entity).alias("most")).where("least != most")
+        labelled = heard.repartition("node").select("node", "entity", F.min("least").over(Window.partitionBy("node")).alias("label"))
+        done = _cluster.stored(labelled, "round")
+        if done.isEmpty():
             break
-        if rounds == max_rounds:
+        rounds.append(done.select("node", "label"))
+        edges = done.select(F.col("label").alias("node"), "entity")
+        if len(rounds) > max_rounds:
             raise RuntimeError(f"labels still change after {max_rounds} rounds")
-    by_record.unpersist()
-    by_entity.unpersist()
+    if not rounds:
+        return done.select("node", "label")
+    # From the last and smallest round back to the first.
+    labels = rounds[-1].distinct()
+    for earlier in reversed(rounds[:-1]):
+        after = labels.select(F.col("node").alias("label"), F.col("label").alias("final"))
+        labels = earlier.distinct().join(after, "label", "left").select("node", F.coalesce("final", "label").alias("label"))
     return labels
 
 
@@ -119,7 +114,8 @@ def related_groups(
     hot: int = HOT,
 ) -> DataFrame:
     """(record_id, group_id) for each record that is related to another; group_id is the least record id."""
-    labels = components(_split_hot(named_entities(df, id_col, meta_col, entities), hot))
+    edges = _cluster.stored(named_entities(df, id_col, meta_col, entities), "edges")
+    labels = components(_split_hot(edges, hot)).withColumnRenamed("node", "rid")
     ids = df.select(F.col(id_col).alias("record_id")).where("record_id is not null").distinct()
     members = ids.withColumn("rid", F.xxhash64("record_id")).join(labels, "rid").select("record_id", "label")
     groups = members.groupBy("label").agg(F.min("record_id").alias("group_id"), F.count("*").alias("n")).where("n > 1")
