@@ -1,23 +1,23 @@
 """Records of evaluation splits that also occur in the training split.
 
-Method. Every training record posts the hashes of all its distinct word
-triples into banded buckets; an evaluation record posts only the minwise ones
-of its own. Each posted hash is a band of its own, because an evaluation record
-may stand inside a much longer training record: then the sets are unequal in
-size, and bands of whole-record minima would miss it. An evaluation record of n
-triples may lack n - ceil(t n) of them in a training record at threshold t; it
-posts ``HITS`` more, so that *every* qualifying pair meets at least that often
-(all its needed triples, if they are fewer): the candidate stage is exact, not
-probabilistic. Which of its triples a record posts is free: those with the
-rarest words come first, then least hash, so that boilerplate makes few
-candidates. Buckets hold roles, hence only cross-split candidates arise. The
-texts of candidates are then compared exactly (containment and Jaccard
-similarity of their triples), and confirmed pairs can be counted by part and
-source.
+Method. Every record posts the minwise hashes of its distinct word triples
+into banded buckets. Each posted hash is a band of its own, because an
+evaluation record may stand inside a much longer training record: then the sets
+are unequal in size, and bands of whole-record minima would miss it. The
+buckets first tell an evaluation record how many training records hold each of
+its triples. It then asks for its rarest ones only: a record of n triples may
+lack n - ceil(t n) of them at threshold t, so if it asks for HITS more, *every*
+qualifying pair meets at least that often (all its needed triples, if they are
+fewer). The candidate stage is exact, not probabilistic, and boilerplate is
+hardly ever asked for. Buckets hold roles, hence only cross-split candidates
+arise. The texts of candidates are then compared exactly (containment and
+Jaccard similarity of their triples), and confirmed pairs can be counted by
+part and source.
 
 Scale. Postings travel as packed blocks of key ranges. The text is shuffled
 once, by a hash of its record id, and that exchange serves the join with the
-split, the postings and both sides of the verification.
+split, the postings and both sides of the verification. The postings are
+exchanged once, too, and read by both rounds.
 
 Defined cases. Null, empty and blank texts and texts without a letter or digit
 overlap with nothing. Repeated rows of the split count once; rows without a
@@ -38,15 +38,15 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import _blocks, _cluster
 from tidemark.llm import _textkernel as tk
-from tidemark.llm._rarity import common_words
 from tidemark.llm._textkernel import U64
 from tidemark.llm.order_minhash import present
 
 TRAIN, EVAL = 0, 1
 #: Buckets in which a candidate pair must meet.
-HITS = 4
-#: Words that occur at least once for so many texts are ranked by their counts.
-COMMON = 5000
+HITS = 2
+#: Bytes of a triple's hash in the blocks. Different triples of equal bytes only add candidates.
+KEY = 5
+_MOST = 255
 
 
 def needed(n: np.ndarray, threshold: float) -> np.ndarray:
@@ -54,33 +54,7 @@ def needed(n: np.ndarray, threshold: float) -> np.ndarray:
     return np.ceil(threshold * n - 1e-9).astype(np.int64)
 
 
-def posted(
-    texts: list[str], evaluated: np.ndarray, common: tuple[np.ndarray, np.ndarray], threshold: float
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes that the texts post, the index of the text of each, and its weight: a qualifying pair gathers HITS."""
-    word, woff = tk.words(texts)
-    h, off = tk.triples(word, woff)
-    doc = tk.owners(off)
-    first = tk.occurrences(h, doc) == 0
-    weight = np.zeros(len(h))  # expected frequency of the triple, as a logarithm
-    if len(word) > 2 and len(common[0]):
-        at = np.minimum(np.searchsorted(common[0], word), len(common[0]) - 1)
-        c = np.log(np.where(common[0][at] == word, common[1][at], max(1, common[1].min() // 4)))
-        wdoc = tk.owners(woff)
-        at = np.arange(len(word) - 2) - woff[wdoc[:-2]] + off[wdoc[:-2]]
-        ok = wdoc[:-2] == wdoc[2:]
-        weight[at[ok]] = (c[:-2] + c[1:-1] + c[2:])[ok]
-    h, doc, weight = h[first], doc[first], weight[first]
-    n = np.bincount(doc, minlength=len(texts))
-    order = np.lexsort((h, weight, doc))
-    rank = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-    need = needed(n, threshold)
-    size = np.where(evaluated, n - need + np.minimum(HITS, need), n)
-    keep = order[rank < size[doc[order]]]
-    return h[keep], doc[keep], -(-HITS // np.maximum(need, 1))[doc[keep]]
-
-
-def _post(buckets: int, threshold: float, common: tuple[np.ndarray, np.ndarray]):
+def _post(buckets: int):
     schema = pa.schema([("bucket", pa.int32()), ("role", pa.int32()), ("block", pa.binary())])
 
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
@@ -89,20 +63,20 @@ def _post(buckets: int, threshold: float, common: tuple[np.ndarray, np.ndarray])
 
         def flush(role: int) -> Iterator[tuple[int, int, bytes]]:
             if held[role]:
-                key, ids, weight = (np.concatenate(x) for x in zip(*held[role], strict=True))
+                key, ids = (np.concatenate(x) for x in zip(*held[role], strict=True))
                 held[role], size[role] = [], 0
-                for b, blob in _blocks.pack(key, ids, buckets, [(weight, 1)] if role == EVAL else []):
+                for b, blob in _blocks.pack(key, ids, buckets, key_bytes=KEY):
                     yield b, role, blob
 
         for batch in batches:
             rid = batch.column(0).to_numpy(zero_copy_only=False).astype(U64)
             role = batch.column(2).to_numpy(zero_copy_only=False)
             for at, part in tk.chunks(batch.column(1).to_pylist()):
-                evaluated = role[at : at + len(part)] == EVAL
-                key, doc, weight = posted(part, evaluated, common, threshold)
+                key, off = tk.distinct_sets(part)
+                doc = at + tk.owners(off)
                 for r in (TRAIN, EVAL):
-                    m = evaluated[doc] == (r == EVAL)
-                    held[r].append((key[m], rid[at + doc[m]], weight[m]))
+                    m = role[doc] == r
+                    held[r].append((key[m], rid[doc[m]]))
                     size[r] += int(m.sum())
                     if size[r] > _blocks.FLUSH:
                         yield from flush(r)
@@ -112,32 +86,88 @@ def _post(buckets: int, threshold: float, common: tuple[np.ndarray, np.ndarray])
     return lambda batches: _blocks.rows(items(batches), schema)
 
 
+def _by_key(blobs: list[bytes], widths: tuple[int, ...] = ()) -> list[np.ndarray]:
+    cols = [np.concatenate(x) for x in zip(*(_blocks.unpack(x, widths, KEY) for x in blobs), strict=True)]
+    order = np.argsort(cols[0], kind="stable")
+    return [c[order] for c in cols]
+
+
+def _rarity(buckets: int):
+    """Blocks by evaluation record: each of its triples with the number of training records that hold it."""
+    schema = pa.schema([("bucket", pa.int32()), ("block", pa.binary())])
+
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
+        held: dict[int, list[bytes]] = {TRAIN: [], EVAL: []}
+        for batch in batches:
+            for role, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                held[role].append(blob)
+        if not held[EVAL]:
+            return
+        key, ids = _by_key(held[EVAL])
+        unique, inverse = np.unique(key, return_inverse=True)
+        count = np.zeros(len(unique), np.int64)
+        for blob in held[TRAIN]:
+            tkey = _blocks.unpack(blob, (), KEY)[0]
+            at = np.minimum(np.searchsorted(unique, tkey), len(unique) - 1)
+            count += np.bincount(at[unique[at] == tkey], minlength=len(unique))
+        df = np.minimum(count, _MOST)[inverse].astype(U64)
+        # Ids are uniform hashes: their ranges are the buckets.
+        order = np.argsort(ids, kind="stable")
+        key, ids, df = key[order], ids[order], df[order]
+        cut = np.searchsorted(_blocks.bucket_of(ids << U64(64 - 8 * _blocks.ID_BYTES), buckets), np.arange(buckets + 1))
+        for b in np.flatnonzero(np.diff(cut)):
+            s = slice(cut[b], cut[b + 1])
+            yield int(b), _blocks.encode_block(key[s] << U64(64 - 8 * KEY), ids[s], KEY, [(df[s], 1)])
+
+    return lambda batches: _blocks.rows(items(batches), schema)
+
+
+def chosen(ids: np.ndarray, key: np.ndarray, df: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The entries that evaluation records ask for, and the weight of each: a qualifying pair gathers HITS."""
+    order = np.lexsort((key, df, ids))
+    _, first, n = np.unique(ids[order], return_index=True, return_counts=True)
+    need = needed(n, threshold)
+    size = np.repeat(n - need + np.minimum(HITS, need), n)
+    take = np.arange(len(ids)) - np.repeat(first, n) < size
+    return order[take], np.repeat(-(-HITS // need), n)[take]
+
+
+def _ask(buckets: int, threshold: float):
+    schema = pa.schema([("bucket", pa.int32()), ("asked", pa.binary())])
+
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
+        blobs = [x.as_py() for batch in batches for x in batch.column(1)]
+        if blobs:
+            key, ids, df = _by_key(blobs, (1,))
+            keep, weight = chosen(ids, key, df, threshold)
+            yield from _blocks.pack(key[keep] << U64(64 - 8 * KEY), ids[keep], buckets, [(weight.astype(U64), 1)], KEY)
+
+    return lambda batches: _blocks.rows(items(batches), schema)
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, list[bytes]] = {TRAIN: [], EVAL: []}
+    """From rows (role, block, list of asked blocks of the same bucket): pairs that meet."""
+    last, cols = None, None
     for batch in batches:
-        for role, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            held[role].append(blob)
-    if not held[TRAIN] or not held[EVAL]:
-        return
-    key, ids, weight = (np.concatenate(x) for x in zip(*(_blocks.unpack(x, (1,)) for x in held[EVAL]), strict=True))
-    order = np.argsort(key, kind="stable")
-    key, ids, weight = key[order], ids[order], weight[order].astype(np.int32)
-    unique, start, count = np.unique(key, return_index=True, return_counts=True)
-    for blob in held[TRAIN]:
-        tkey, tid = _blocks.unpack(blob)
-        at = np.minimum(np.searchsorted(unique, tkey), len(unique) - 1)
-        hit = np.flatnonzero(unique[at] == tkey)
-        # Slices of about a million pairs, however often a key repeats.
-        grown = np.cumsum(count[at[hit]])
-        for lo, hi in _slices(grown, 1_000_000):
-            x = hit[lo:hi]
-            n = count[at[x]]
-            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            q = np.repeat(start[at[x]], n) + within
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[q].astype(np.int64)), pa.array(np.repeat(tid[x], n).astype(np.int64)), pa.array(weight[q])],
-                names=["q", "t", "hits"],
-            )
+        for role, blob, asked in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if role != TRAIN:
+                continue
+            if asked != last:
+                last, cols = asked, _by_key(asked, (1,))
+                unique, start, count = np.unique(cols[0], return_index=True, return_counts=True)
+            _, ids, weight = cols
+            tkey, tid = _blocks.unpack(blob, (), KEY)
+            at = np.minimum(np.searchsorted(unique, tkey), len(unique) - 1)
+            hit = np.flatnonzero(unique[at] == tkey)
+            # Slices of about a million pairs, however often a key repeats.
+            for lo, hi in _slices(np.cumsum(count[at[hit]]), 1_000_000):
+                x = hit[lo:hi]
+                n = count[at[x]]
+                q = np.repeat(start[at[x]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[q].astype(np.int64)), pa.array(np.repeat(tid[x], n).astype(np.int64)), pa.array(weight[q].astype(np.int32))],
+                    names=["q", "t", "hits"],
+                )
 
 
 def _slices(grown: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
@@ -196,12 +226,21 @@ def cross_split_overlaps(
         .where("role is not null and member is not null")
         .distinct()
     )
-    placed = docs.join(split, "rid").where("record_id = member").select("rid", "record_id", "text", "role")
-    common = common_words(docs.select("text"), COMMON)
+    # An equality here would become part of the join key, and the exchange by rid alone could not serve the later joins.
+    placed = docs.join(split, "rid").where("record_id >= member and record_id <= member").select("rid", "record_id", "text", "role")
     buckets = _blocks.bucket_count(docs, 1 / 8)
-    blocks = placed.select("rid", "text", "role").mapInArrow(_post(buckets, threshold, common), "bucket int, role int, block binary")
-    found = _blocks.by_bucket(blocks, buckets).mapInArrow(_meet, "q long, t long, hits int")
-    found = found.groupBy("q", "t").agg(F.sum("hits").alias("hits")).where(f"hits >= {HITS}").drop("hits")
+    blocks = placed.select("rid", "text", "role").mapInArrow(_post(buckets), "bucket int, role int, block binary")
+    posted = blocks.repartition(buckets, "bucket")
+    rarity = posted.mapInArrow(_rarity(buckets), "bucket int, block binary")
+    asked = (
+        _blocks.by_bucket(rarity, buckets)
+        .mapInArrow(_ask(buckets, threshold), "bucket int, asked binary")
+        .repartition(buckets, "bucket")
+        .groupBy("bucket")
+        .agg(F.collect_list("asked").alias("asked"))
+    )
+    met = posted.join(asked.hint("shuffle_merge"), "bucket").select("role", "block", "asked").mapInArrow(_meet, "q long, t long, hits int")
+    found = met.groupBy("q", "t").agg(F.sum("hits").alias("hits")).where(f"hits >= {HITS}").drop("hits")
     left = placed.where(f"role = {EVAL}").select(F.col("rid").alias("q"), F.col("record_id").alias("eval_id"), F.col("text").alias("qt"))
     right = placed.where(f"role = {TRAIN}").select(F.col("rid").alias("t"), F.col("record_id").alias("train_id"), F.col("text").alias("tt"))
     return (
