@@ -11,21 +11,31 @@ from tidemark.operators.lineage import cut
 def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(node, root) for each node of the (a, b) edges; the root is the least node of its component.
 
-    Each round a node takes the least root among its neighbours' and then its
-    root's root, so chains collapse in a logarithmic number of rounds.
+    Each round every node joins the neighbour (or itself) that comes first in a
+    hashed order of that round, and the graph is contracted. The order is random,
+    so a constant share of the nodes vanishes whatever the shape of the graph,
+    and a round works on what is left of the edges.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct()
-    both = both.repartition("b").persist()
-    roots = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root"))
-    roots = cut(roots)
-    for _ in range(max_rounds):
-        heard = both.join(roots.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("heard"))
-        now = roots.join(heard, "node").select("node", F.least("root", "heard").alias("new"), "root")
-        up = roots.select(F.col("node").alias("new"), F.col("root").alias("above"))
-        now = now.join(up, "new", "left").select("node", F.least("new", F.coalesce("above", "new")).alias("new"), "root")
-        now = cut(now)
-        roots = now.select("node", F.col("new").alias("root"))
-        if now.where("new != root").isEmpty():
-            both.unpersist()
-            return roots
-    raise RuntimeError(f"roots still change after {max_rounds} rounds")
+    left = cut(edges.select("a", "b").where("a != b").distinct())
+    rounds: list[DataFrame] = []
+    while not left.isEmpty():
+        if len(rounds) == max_rounds:
+            raise RuntimeError(f"edges are left after {max_rounds} rounds")
+        both = left.select("a", "b").unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = both.select("a", F.explode(F.array("a", "b")).alias("b"))
+        joined = both.groupBy(F.col("a").alias("node")).agg(F.min_by("b", F.struct(F.xxhash64("b", F.lit(len(rounds))), "b")).alias("to"))
+        joined = cut(joined)
+        rounds.append(joined)
+        a = joined.select(F.col("node").alias("a"), F.col("to").alias("to_a"))
+        b = joined.select(F.col("node").alias("b"), F.col("to").alias("to_b"))
+        left = cut(left.join(a, "a").join(b, "b").where("to_a != to_b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
+    if not rounds:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    # From the last and smallest round back to the first.
+    labels = rounds[-1]
+    for earlier in reversed(rounds[:-1]):
+        after = labels.select(F.col("node").alias("to"), F.col("to").alias("final"))
+        labels = earlier.join(after, "to", "left").select("node", F.coalesce("final", "to").alias("to"))
+    labels = cut(labels)
+    roots = labels.groupBy("to").agg(F.min("node").alias("root"))
+    return labels.join(roots, "to").select("node", "root")
