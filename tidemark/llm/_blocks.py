@@ -108,12 +108,17 @@ def rows(items: Iterator[tuple], schema: pa.Schema, limit: int = 16_000_000) ->
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), schema.types, strict=True)], schema=schema)
 
 
+#: Catalyst's estimate for a source of unknown size is of this order.
+_UNKNOWN = 1 << 60
+
+
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of ``df``, without running it."""
+    """Catalyst's estimate of the size of ``df``, without running it; 0 where it is unknown."""
     try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # noqa: BLE001 - an estimate only; without it the session's default holds
         return 0
+    return size if size < _UNKNOWN else 0
 
 
 def bucket_count(df: DataFrame, entries_per_byte: float) -> int:

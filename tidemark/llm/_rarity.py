@@ -14,6 +14,10 @@ from tidemark.llm._textkernel import U64
 
 
 
+#: A word that occurs less often is never common; the groups it makes are small.
+LEAST = 32
+
+
 def _count(batches: Iterator[pa.RecordBatch], share: int) -> Iterator[pa.RecordBatch]:
     docs, parts = 0, []
 
@@ -56,7 +60,7 @@ def common_words(texts: DataFrame, share: int) -> tuple[np.ndarray, np.ndarray]:
         # Over a bounded number of words of each task; word 0 has the number of texts.
         .withColumn("total", F.max(F.when(F.col("word") == 0, F.col("n"))).over(Window.partitionBy()))
     )
-    rows = counted.where(f"word != 0 and n * {share} >= total").select("word", "n").toPandas()
+    rows = counted.where(f"word != 0 and n * {share} >= total and n >= {LEAST}").select("word", "n").toPandas()
     word = rows["word"].to_numpy(np.int64).astype(U64)
     order = np.argsort(word)
     return word[order], rows["n"].to_numpy(np.int64)[order]

@@ -38,6 +38,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how texts are cut into words before byte pairs are merged.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CHUNK_WORDS = 20_000
+CHUNK_ROWS = 3_000_000
+LONG_WORD = 200
 CACHE_WORDS = 400_000
 
 _ENCODE = """
@@ -97,22 +99,28 @@ class WordEncoder:
 
     def encode(self, words: list[str]) -> list[list[int]]:
         """Tokens of each word; words are not empty."""
-        out: list[list[int]] = []
-        at = 0
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        while at < len(raw):
-            # Bounded by words and by bytes: one word may be very long.
-            end, size = at, 0
-            while end < len(raw) and end - at < CHUNK_WORDS and (end == at or size + len(raw[end]) < 12 * CHUNK_WORDS):
-                size += len(raw[end])
-                end += 1
-            if end - at == 1 and len(raw[at]) > 2000:
-                out.append(self._long(raw[at]))
-            else:
-                out += self._chunk(raw[at:end])
-            at = end
+        out: list[list[int]] = [[] for _ in words]
+        part: list[tuple[int, bytes]] = []
+        cost = 0
+        for i, word in enumerate(words):
+            raw = word.encode("utf-8", "surrogatepass")
+            if len(raw) > LONG_WORD:
+                out[i] = self._long(raw)
+                continue
+            # The query keeps every step: at most length squared rows of a word.
+            if part and (len(part) == CHUNK_WORDS or cost + len(raw) ** 2 > CHUNK_ROWS):
+                self._place(part, out)
+                part, cost = [], 0
+            part.append((i, raw))
+            cost += len(raw) ** 2
+        if part:
+            self._place(part, out)
         return out
 
+    def _place(self, part: list[tuple[int, bytes]], out: list[list[int]]) -> None:
+        for (i, _), ids in zip(part, self._chunk([raw for _, raw in part]), strict=True):
+            out[i] = ids
+
     def _chunk(self, raw: list[bytes]) -> list[list[int]]:
         size = np.array([len(w) for w in raw])
         w = np.repeat(np.arange(len(raw), dtype=np.int32), size)
