@@ -52,8 +52,13 @@ def _print(doc: object) -> None:
     print(json.dumps(doc, indent=2, ensure_ascii=False, default=str))
 
 
+def _rows(got: corpus.CorpusFrame) -> DataFrame:
+    """The records of a file, parsed once for all that follows."""
+    return corpus.require_records(got.records.persist())
+
+
 def _parts(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    return {p: corpus.require_records(corpus.read_corpus(spark, f"{folder}/{p}.jsonl.gz").records) for p in PARTS}
+    return {p: _rows(corpus.read_corpus(spark, f"{folder}/{p}.jsonl.gz")) for p in PARTS}
 
 
 def _plan(args: argparse.Namespace) -> synth.Plan:
@@ -80,8 +85,8 @@ def cmd_check(args: argparse.Namespace, _: config.Settings) -> int:
 def cmd_curate(args: argparse.Namespace, _: config.Settings) -> int:
     spark = _session()
     got = corpus.read_corpus(spark, args.corpus)
-    rows = corpus.require_records(got.records)
-    membership = dedup.duplicate_membership(rows, args.threshold, args.width)
+    rows = _rows(got)
+    membership = dedup.duplicate_membership(rows, args.threshold, args.width).persist()
     summary = _row(dedup.curation_summary(rows, dedup.clusters(rows, membership, args.width)))
     if args.card:
         labels = [r.asDict() for r in stats.label_counts(rows).orderBy("label").collect()]
@@ -96,8 +101,8 @@ def cmd_curate(args: argparse.Namespace, _: config.Settings) -> int:
 def cmd_split(args: argparse.Namespace, _: config.Settings) -> int:
     spark = _session()
     got = corpus.read_corpus(spark, args.corpus)
-    rows = corpus.require_records(got.records)
-    membership = dedup.duplicate_membership(rows, args.threshold, args.width)
+    rows = _rows(got)
+    membership = dedup.duplicate_membership(rows, args.threshold, args.width).persist()
     done = split.split_corpus(rows, seed=args.seed, ratios=(args.train, args.dev, args.test), membership=membership, group_by=args.group_by).persist()
     Path(args.out).mkdir(parents=True, exist_ok=True)
     sizes = {}
@@ -110,7 +115,7 @@ def cmd_split(args: argparse.Namespace, _: config.Settings) -> int:
 
 def cmd_tokenizer(args: argparse.Namespace, settings: config.Settings) -> int:
     spark = _session()
-    rows = corpus.require_records(corpus.read_corpus(spark, args.corpus).records)
+    rows = _rows(corpus.read_corpus(spark, args.corpus))
     tok = bpe.train(rows, vocab_size=args.vocab or settings.train.vocab)
     tok.save(args.out)
     _print({"vocab": len(tok.vocab), "merges": len(tok.merges), "digest": tok.digest} | _row(bpe.compression(rows, bpe.encode(rows, tok), tok)))
