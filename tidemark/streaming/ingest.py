@@ -10,14 +10,19 @@ from tidemark.functions import text as tx
 from tidemark.sources.corpus import first_problem
 
 
+def timed(stream: DataFrame, time_col: str) -> DataFrame:
+    """Event times with a zone (that of the session), as watermarks need them."""
+    return stream.withColumn(time_col, F.col(time_col).cast("timestamp"))
+
+
 def deduplicated(stream: DataFrame, *, time_col: str = "ingested_at", lateness: str = "120 days") -> DataFrame:
     """The first row of each (record_id, text) within the lateness; the state is bounded by the watermark."""
-    return stream.withWatermark(time_col, lateness).dropDuplicatesWithinWatermark(["record_id", "text"])
+    return timed(stream, time_col).withWatermark(time_col, lateness).dropDuplicatesWithinWatermark(["record_id", "text"])
 
 
 def daily_labels(stream: DataFrame, *, time_col: str = "ingested_at", lateness: str = "120 days") -> DataFrame:
     """Records by day and label."""
-    return stream.withWatermark(time_col, lateness).groupBy(F.window(time_col, "1 day").alias("day"), "label").agg(F.count("*").alias("records"))
+    return timed(stream, time_col).withWatermark(time_col, lateness).groupBy(F.window(time_col, "1 day").alias("day"), "label").agg(F.count("*").alias("records"))
 
 
 def into_corpus(stream: DataFrame, folder: str, checkpoint: str, **trigger: bool | str) -> StreamingQuery:
