@@ -43,6 +43,7 @@ from tidemark.llm.order_minhash import present
 FIELDS = ("defect", "action", "removed", "fitted", "station", "order", "found by", "stock", "remark", "note")
 BUCKET_ROWS = 50_000
 STEP = 4
+BROADCAST_PREFIXES = 100_000
 
 
 def letters_and_digits(texts: list[str]) -> list[str]:
@@ -223,8 +224,10 @@ def radix_buckets(entries: DataFrame, bucket_rows: int, step: int = STEP) -> Dat
         large = [r["prefix"] for r in counts.where(f"rows > {bucket_rows} and lo != hi").select("prefix").collect()]
         if not large:
             return out.withColumn("bucket", F.expr("substring(canon, 1, depth)")).drop("depth")
-        # At most (entries / bucket_rows) prefixes.
+        # At most (entries / bucket_rows) prefixes; they are broadcast as long as they are few.
         split = spark.createDataFrame([(bytes(p),) for p in large], "prefix binary").withColumn("large", F.lit(True))
+        if len(large) <= BROADCAST_PREFIXES:
+            split = F.broadcast(split)
         out = (
             out.withColumn("prefix", F.when(F.col("depth") == depth, F.substring("canon", 1, depth)))
             .join(split, "prefix", "left")
