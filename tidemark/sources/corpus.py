@@ -21,8 +21,8 @@ from tidemark.operators.stats import corpus_digest
 
 VERSION = 1
 MARK = "tidemark_corpus"
-#: Headers of this project's corpus files carry another mark.
-MARKS = (MARK, "dslm_corpus")
+#: Headers may carry another engine's mark of the same form: its version under a key that ends like this.
+MARK_END = "_corpus"
 MAX_LINE, MAX_BYTES, MAX_TEXT = 128 * 1024, 512 * 1024 * 1024, 4096
 
 RECORD = T.StructType(
@@ -143,7 +143,7 @@ def _header(line: str, path: str) -> dict:
         header = json.loads(line)
     except ValueError:
         raise CorpusError(f"{path} does not begin with a header", "write it with this engine") from None
-    version = next((header[m] for m in MARKS if m in header), None) if isinstance(header, dict) else None
+    version = next((v for k, v in header.items() if k.endswith(MARK_END)), None) if isinstance(header, dict) else None
     if not isinstance(version, int) or isinstance(version, bool):
         raise CorpusError(f"{path} does not begin with a header", "write it with this engine")
     if version > VERSION:
