@@ -14,10 +14,10 @@ a later batch then meets one run instead of many.
 
 Scale. Texts are entered by a 64-bit hash of the whole text, so copies of a
 text, however many, are one text in the index; a text of two or more records is
-shared from end to end and needs no windows. An anchor that a task sees in
-several texts is known to be shared there and then: only two entries of it are
-sent on. Windows of equal context are handled likewise. The text is shuffled
-once, by its hash.
+shared from end to end and needs no windows. A task merges its repeats before
+they are sent. The text is shuffled once, by its hash. The windows of one anchor
+are compared in one task, so a passage that very many *different* texts share
+makes one large task.
 
 Defined cases. Positions count characters (code points) from 0; the end is
 exclusive. Texts shorter than ``length``, null, empty and blank texts have no
@@ -94,7 +94,7 @@ def anchors(texts: list[str], length: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _index(buckets: int, length: int):
-    """Blocks of (anchor, text); kind 1 rows have anchors that the task itself saw in several texts."""
+    """Blocks of the distinct (anchor, text) entries of a task, sorted."""
     schema = pa.schema([("bucket", pa.int32()), ("block", pa.binary())])
 
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
