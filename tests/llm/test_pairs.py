@@ -49,6 +49,24 @@ def test_hot_group_of_copies(spark):
     assert got == brute.near_pairs(rows, 0.8)
 
 
+def test_hot_group_of_edited_variants_and_short_remarks(spark):
+    rng = random.Random(11)
+    base = [f"common{i}" for i in range(30)]
+    lines = []
+    for i in range(60):
+        words = base.copy()
+        for j in range(3):
+            words[rng.randrange(30)] = f"edit{i}x{j}"
+        lines.append(" ".join(words))
+    # Short texts of common words, and each with one common word more.
+    for at in range(20):
+        for n in (3, 4, 5, 6, 7, 8):
+            lines.append(" ".join(base[at : at + n]))
+    rows = [(f"r{i:03d}", t) for i, t in enumerate(lines)]
+    got = {(r[0], r[1]) for r in order_minhash.near_duplicates(frame(spark, rows), threshold=0.6).select("record_a", "record_b").collect()}
+    assert got == brute.near_pairs(rows, 0.6)
+
+
 def test_empty_tables(spark):
     none = frame(spark, [("a", "b")]).where("record_id = 'z'")
     members = spark.createDataFrame([], "record_id string, part string")

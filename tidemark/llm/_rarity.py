@@ -1,4 +1,4 @@
-"""Words that many texts hold, counted over all texts; a bounded list."""
+"""Words that many texts hold, a bounded list, and counts of triples by hash; over all texts."""
 
 from __future__ import annotations
 
@@ -64,3 +64,43 @@ def common_words(texts: DataFrame, share: int) -> tuple[np.ndarray, np.ndarray]:
     word = rows["word"].to_numpy(np.int64).astype(U64)
     order = np.argsort(word)
     return word[order], rows["n"].to_numpy(np.int64)[order]
+
+
+#: Counts of triples are kept for ranges of their hash; a fixed number.
+SLOTS, _PARTS = 1 << 20, 64
+
+
+def slot(h: np.ndarray, slots: int = SLOTS) -> np.ndarray:
+    """The range of each triple hash."""
+    return (h >> U64(64 - (slots.bit_length() - 1))).astype(np.int64)
+
+
+def _count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    count = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        for _, part in tk.chunks(batch.column(0).to_pylist()):
+            count += np.bincount(slot(tk.distinct_sets(part)[0]), minlength=SLOTS)
+    if count.any():
+        # Two bytes bound what a task sends; a larger count is common anyway.
+        blobs = [x.tobytes() for x in np.minimum(count, 65535).astype("<u2").reshape(_PARTS, -1)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS), pa.int32()), pa.array(blobs)], names=["part", "counts"])
+
+
+def _sum_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            total[part] = total.get(part, 0) + np.frombuffer(blob, "<u2").astype(np.int64)
+    if total:
+        blobs = [np.minimum(x, 0xFFFFFFFF).astype("<u4").tobytes() for x in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(blobs)], names=["part", "counts"])
+
+
+def triple_counts(texts: DataFrame) -> np.ndarray:
+    """How many distinct triples of texts fall into each of SLOTS ranges of their hash; 4 MB at any scale."""
+    kind = "part int, counts binary"
+    rows = texts.mapInArrow(_count_slots, kind).repartition("part").mapInArrow(_sum_slots, kind).collect()
+    out = np.zeros((_PARTS, SLOTS // _PARTS), np.uint32)
+    for r in rows:
+        out[r["part"]] = np.frombuffer(r["counts"], "<u4")
+    return out.ravel()

@@ -4,10 +4,15 @@ Method. The k-mers of a text are its word triples, each labelled with its
 occurrence number, so that repeats count. Each hash function picks the two
 labelled triples of least hash; functions of even number keep them *in text
 order*, functions of odd number in hash order, because records whose fields or
-sentences were reordered must be found too. If neither of the two holds an
-uncommon word, the next minima are added until one does (six at most), so that
-boilerplate alone makes no candidates. Texts whose sketch agrees in one
-function become candidates. Sketches go into packed posting blocks, one bucket
+sentences were reordered must be found too. Texts whose sketch agrees in one
+function become candidates. Sketches whose two triples hold common words only
+would make boilerplate meet; they are left out, and a text that has one is
+entered by its rarest distinct triples instead: n - ceil(t n) + 1 of n at
+threshold t. Two such texts that reach the threshold have one of these in
+common, so no pair is lost that the left-out sketches would find. The sizes of
+the texts and the places of the triple must allow the threshold. Which triples
+are rare follows from counts by hash, of fixed size; any order would do.
+Entries go into packed posting blocks, one bucket
 of keys for each task. Candidates are verified by a banded alignment of their
 words, which certifies pairs with few edits; pairs it cannot certify (reordered
 or heavily edited text) are measured exactly by the Jaccard similarity of their
@@ -28,7 +33,7 @@ their names, are ignored. The threshold itself counts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,16 +42,19 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import _blocks, _cluster
 from tidemark.llm import _textkernel as tk
-from tidemark.llm._rarity import common_words
+from tidemark.llm._rarity import common_words, slot, triple_counts
 from tidemark.llm._textkernel import U64
 
-#: Measured on 30,000 records at threshold 0.6: 28 functions find 7,321 of 7,321 pairs.
+#: Measured on 30,000 records at threshold 0.6, with lengthened sketches: 28 functions found 7,321 of 7,321 pairs.
 SKETCHES = 28
-#: Minima of a sketch, if the first ones hold common words only.
-DEPTH = 6
 #: A word is common that occurs at least once for so many texts.
 COMMON = 500
 BAND = 8
+#: Largest number of distinct triples kept with an entry; it stands for this many or more.
+_MOST = 255
+#: Bytes of a triple's hash in the entries by rarest triples.
+RARE_KEY = 5
+SKETCH, RARE = 0, 1
 _LOCAL_BITS = 22
 
 
@@ -74,8 +82,8 @@ def _has_uncommon(word: np.ndarray, woff: np.ndarray, off: np.ndarray, common: n
     return out
 
 
-def sketch_keys(texts: list[str], common: np.ndarray, sketches: int = SKETCHES) -> tuple[np.ndarray, np.ndarray]:
-    """Sketch keys, shape (texts with a triple, sketches), and the indices of those texts.
+def sketch_keys(texts: list[str], common: np.ndarray, sketches: int = SKETCHES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sketch keys, shape (texts with a triple, sketches), the indices of those texts, and which sketches hold common words only.
 
     ``common`` has the sorted hashes of common words.
     """
@@ -83,7 +91,7 @@ def sketch_keys(texts: list[str], common: np.ndarray, sketches: int = SKETCHES)
     h, off = tk.triples(word, woff)
     has = np.flatnonzero(np.diff(off))
     if not len(has):
-        return np.empty((0, sketches), U64), has
+        return np.empty((0, sketches), U64), has, np.empty((0, sketches), bool)
     doc, count, start = tk.owners(off), np.diff(off)[has], off[has]
     uncommon = _has_uncommon(word, woff, off, common)
     x = tk.mix(h + tk.occurrences(h, doc).astype(U64) * U64(0xC2B2AE3D27D4EB4F))
@@ -91,6 +99,7 @@ def sketch_keys(texts: list[str], common: np.ndarray, sketches: int = SKETCHES)
     local = (np.arange(len(h)) - off[doc]).astype(U64) & mask
     seeds = tk.mix(np.arange(1, 2 * sketches + 1, dtype=U64)).reshape(sketches, 2)
     out = np.empty((len(has), sketches), U64)
+    weak = np.empty((len(has), sketches), bool)
     for j in range(sketches):
         y = (x ^ seeds[j, 0]) * (seeds[j, 1] | U64(1))
         y &= ~mask
@@ -100,64 +109,83 @@ def sketch_keys(texts: list[str], common: np.ndarray, sketches: int = SKETCHES)
         two = np.where(count > 1, start + (np.minimum.reduceat(y, start) & mask).astype(np.int64), one)
         a, b = (np.minimum(one, two), np.maximum(one, two)) if j % 2 == 0 else (one, two)
         key = tk.mix(x[a] * U64(0x9E3779B97F4A7C15) + tk.mix(x[b] + U64(j)))
-        # Sketches of common words alone take further minima.
-        more = ~uncommon[one] & ~uncommon[two] & (count > 2)
-        if more.any():
-            y[two] = full
-            z = y[np.repeat(more, count)]
-            d = np.flatnonzero(more)
-            zoff = np.zeros(len(d), np.int64)
-            np.cumsum(count[d][:-1], out=zoff[1:])
-            open_ = np.ones(len(d), bool)
-            for k in range(2, DEPTH):
-                open_ &= count[d] > k
-                if not open_.any():
-                    break
-                at = (np.minimum.reduceat(z, zoff) & mask).astype(np.int64)
-                at = np.minimum(at, count[d] - 1)
-                g = d[open_]
-                key[g] = tk.mix(key[g] * U64(31) + x[start[g] + at[open_]])
-                z[(zoff + at)[open_]] = full
-                open_[open_] = ~uncommon[start[g] + at[open_]]
+        weak[:, j] = ~uncommon[one] & ~uncommon[two]
         out[:, j] = key
-    return out, has
+    return out, has, weak
 
 
-def _sketch(buckets: int, sketches: int, common: np.ndarray):
-    schema = pa.schema([("bucket", pa.int32()), ("block", pa.binary())])
+def rarest_keys(h: np.ndarray, off: np.ndarray, which: np.ndarray, counts: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rarest of the distinct triples ``h`` of the texts ``which``, as (key, text, place among its triples).
+
+    The order (count, hash) is the same for all texts, so those that share at
+    least ``threshold`` of their triples have one of these in common.
+    """
+    n = np.diff(off)
+    in_ = np.zeros(len(n), bool)
+    in_[which] = True
+    doc = tk.owners(off)
+    h, doc = h[in_[doc]], doc[in_[doc]]
+    order = np.lexsort((h, counts[slot(h, len(counts))], doc))
+    n = n[which]
+    at = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+    take = at < np.repeat(n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1, n)
+    return tk.mix(h[order[take]]), doc[take], at[take]
+
+
+def _sketch(buckets: int, sketches: int, common: np.ndarray, counts: np.ndarray, threshold: float):
+    schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("block", pa.binary())])
+
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
+        held: dict[int, list] = {SKETCH: [], RARE: []}
+        amount = {SKETCH: 0, RARE: 0}
+
+        def flush(kind: int) -> Iterator[tuple[int, int, bytes]]:
+            if held[kind]:
+                key, ids, *extra = (np.concatenate(x) for x in zip(*held[kind], strict=True))
+                held[kind], amount[kind] = [], 0
+                width = RARE_KEY if kind == RARE else _blocks.KEY_BYTES
+                for b, blob in _blocks.pack(key, ids, buckets, [(np.minimum(x, _MOST).astype(U64), 1) for x in extra], width):
+                    yield b, kind, blob
 
-    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
-        keys, ids, held = [], [], 0
         for batch in batches:
             tid = batch.column(0).to_numpy(zero_copy_only=False).astype(U64)
             for at, part in tk.chunks(batch.column(1).to_pylist()):
-                k, has = sketch_keys(part, common, sketches)
-                keys.append(k.ravel())
-                ids.append(np.repeat(tid[at + has], sketches))
-                held += k.size
-            if held > _blocks.FLUSH:
-                yield from _blocks.pack(np.concatenate(keys), np.concatenate(ids), buckets)
-                keys, ids, held = [], [], 0
-        if held:
-            yield from _blocks.pack(np.concatenate(keys), np.concatenate(ids), buckets)
+                k, has, weak = sketch_keys(part, common, sketches)
+                h, off = tk.distinct_sets(part)
+                size, of = np.diff(off), has[np.nonzero(~weak)[0]]
+                held[SKETCH].append((k[~weak], tid[at + of], size[of]))
+                key, of, place = rarest_keys(h, off, has[weak.any(1)], counts, threshold)
+                held[RARE].append((key, tid[at + of], size[of], place))
+                for kind in (SKETCH, RARE):
+                    amount[kind] += len(held[kind][-1][0])
+                    if amount[kind] > _blocks.FLUSH:
+                        yield from flush(kind)
+        yield from flush(SKETCH)
+        yield from flush(RARE)
 
     return lambda batches: _blocks.rows(items(batches), schema)
 
 
-def pairs_of(key: np.ndarray, ids: np.ndarray, limit: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of different ids with an equal key, in slices; every pair of a group, at most twice ``limit`` at once."""
+def pairs_of(
+    key: np.ndarray, ids: np.ndarray, limit: int = 1_000_000, extra: tuple[np.ndarray, ...] = (), keep: Callable | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of different ids with an equal key, in slices; every pair of a group, at most twice ``limit`` at once.
+
+    With ``keep``, only those for which it is true, given the ``extra`` values of both sides.
+    """
     order = np.lexsort((ids, key))
     key, ids = key[order], ids[order]
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])
-    key, ids = key[new], ids[new]
+    key, ids, extra = key[new], ids[new], [x[order][new] for x in extra]
     left, d, parts, held = np.arange(len(key)), 1, [], 0
     while len(left):
         left = left[left + d < len(key)]
         left = left[key[left] == key[left + d]]
         if len(left):
-            parts.append((ids[left], ids[left + d]))
-            held += len(left)
+            good = left[keep([x[left] for x in extra], [x[left + d] for x in extra])] if keep else left
+            parts.append((ids[good], ids[good + d]))
+            held += len(good)
         if held >= limit:
             yield np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
             parts, held = [], 0
@@ -166,20 +194,38 @@ def pairs_of(key: np.ndarray, ids: np.ndarray, limit: int = 1_000_000) -> Iterat
         yield np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    blocks = [_blocks.unpack(blob.as_py()) for batch in batches for blob in batch.column(1)]
-    if not blocks:
-        return
-    key, ids = (np.concatenate(x) for x in zip(*blocks, strict=True))
-    del blocks
-    for a, b in pairs_of(key, ids):
-        lo, hi = np.minimum(a, b).astype(np.int64), np.maximum(a, b).astype(np.int64)
-        # The same pair often agrees in several functions of this bucket.
-        order = np.lexsort((hi, lo))
-        lo, hi = lo[order], hi[order]
-        new = np.ones(len(lo), bool)
-        new[1:] = (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(lo[new]), pa.array(hi[new])], names=["a", "b"])
+def reachable(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Whether texts of these (sizes, places of the first common triple, if known) can reach the threshold."""
+    (n, *i), (m, *j) = ([x.astype(np.int64) for x in side] for side in (left, right))
+    best = np.minimum(np.where(n < _MOST, n, 1 << 30), np.where(m < _MOST, m, 1 << 30))
+    if i:
+        best = np.minimum(np.where(n < _MOST, n - i[0], 1 << 30), np.where(m < _MOST, m - j[0], 1 << 30))
+    return best >= threshold * (n + m - best) - 1e-9
+
+
+def _candidates(threshold: float):
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        blobs: dict[int, list[bytes]] = {SKETCH: [], RARE: []}
+        for batch in batches:
+            for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                blobs[kind].append(blob)
+        # By rarest triples, a pair that qualifies passes at the first one that both have.
+        for kind, widths, key_bytes in ((SKETCH, (1,), _blocks.KEY_BYTES), (RARE, (1, 1), RARE_KEY)):
+            if blobs[kind]:
+                key, ids, *extra = (np.concatenate(x) for x in zip(*(_blocks.unpack(x, widths, key_bytes) for x in blobs.pop(kind)), strict=True))
+                yield from pairs_of(key, ids, extra=tuple(extra), keep=lambda a, b: reachable(a, b, threshold))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, b in met(batches):
+            lo, hi = np.minimum(a, b).astype(np.int64), np.maximum(a, b).astype(np.int64)
+            # The same pair often agrees in several functions of this bucket.
+            order = np.lexsort((hi, lo))
+            lo, hi = lo[order], hi[order]
+            new = np.ones(len(lo), bool)
+            new[1:] = (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(lo[new]), pa.array(hi[new])], names=["a", "b"])
+
+    return run
 
 
 def banded_distance(left: list[str], right: list[str], band: int = BAND) -> np.ndarray:
@@ -269,10 +315,13 @@ def near_duplicates(
     """
     _cluster.ship(df.sparkSession)
     docs = present(df, id_col, text_col).select("record_id", "text", text_id("text").alias("tid"))
-    buckets = _blocks.bucket_count(docs, sketches / 300)
+    buckets = _blocks.bucket_count(docs, sketches / 150)
     common, _ = common_words(docs.select("text"), COMMON)
-    blocks = docs.select("tid", "text").mapInArrow(_sketch(buckets, sketches, common), "bucket int, block binary")
-    found = _blocks.by_bucket(blocks, buckets).mapInArrow(_candidates, "a long, b long")
+    counts = triple_counts(docs.select("text"))
+    blocks = docs.select("tid", "text").mapInArrow(
+        _sketch(buckets, sketches, common, counts, threshold), "bucket int, kind int, block binary"
+    )
+    found = _blocks.by_bucket(blocks, buckets).mapInArrow(_candidates(threshold), "a long, b long")
     same = docs.groupBy("tid").agg(F.count("*").alias("n")).where("n > 1").select(F.col("tid").alias("a"), F.col("tid").alias("b"))
     pairs = found.unionByName(same).distinct()
     left = docs.select(F.col("tid").alias("a"), F.col("record_id").alias("ra"), F.col("text").alias("ta"))
