@@ -122,6 +122,17 @@ def test_overlaps_equal_brute_force(spark, threshold):
         assert r["containment"] == pytest.approx(len(a & b) / len(a)) and r["jaccard"] == pytest.approx(len(a & b) / len(a | b))
 
 
+def test_evaluation_ids_with_equal_low_bits(spark):
+    # The low 40 bits of the hashes of these two ids are equal.
+    leaked, clean = "r622055", "r907132"
+    shared = " ".join(f"w{i}" for i in range(20))
+    rows = [(leaked, shared), (clean, " ".join(f"c{i}" for i in range(40))), ("t1", f"{shared} more"), ("t2", "other words of training")]
+    part = {leaked: "dev", clean: "test", "t1": "train", "t2": "train"}
+    members = spark.createDataFrame(list(part.items()), "record_id string, part string")
+    got = split_overlap.cross_split_overlaps(frame(spark, rows), members, threshold=0.7).collect()
+    assert {(r["eval_id"], r["train_id"]) for r in got} == brute.overlaps(rows, part, 0.7) == {(leaked, "t1")}
+
+
 def test_overlap_report(spark):
     records = spark.createDataFrame([("a", "s1"), ("b", None), ("c", "s1")], "record_id string, source string")
     members = spark.createDataFrame([("a", "dev"), ("a", "dev"), ("b", "test"), ("c", "train")], "record_id string, part string")

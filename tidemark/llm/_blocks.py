@@ -46,17 +46,19 @@ def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
 _HEAD = struct.Struct("<BII")
 
 
-def encode_block(key: np.ndarray, ids: np.ndarray, key_bytes: int = KEY_BYTES, extra: list[tuple[np.ndarray, int]] = ()) -> bytes:
+def encode_block(
+    key: np.ndarray, ids: np.ndarray, key_bytes: int = KEY_BYTES, extra: list[tuple[np.ndarray, int]] = (), id_bytes: int = ID_BYTES
+) -> bytes:
     """Entries as bytes. Where ids repeat often, they are written once, with a two-byte index for each entry."""
     n = len(key)
     table, index = np.unique(ids, return_inverse=True)
-    short = len(table) < 65536 and len(table) * ID_BYTES + 2 * n < ID_BYTES * n
-    body = planes(table, ID_BYTES) + planes(index.astype(U64), 2) if short else planes(ids, ID_BYTES)
+    short = len(table) < 65536 and len(table) * id_bytes + 2 * n < id_bytes * n
+    body = planes(table, id_bytes) + planes(index.astype(U64), 2) if short else planes(ids, id_bytes)
     return _HEAD.pack(short, n, len(table)) + planes(key >> U64(64 - 8 * key_bytes), key_bytes) + body + b"".join(planes(x, w) for x, w in extra)
 
 
 def pack(
-    key: np.ndarray, ids: np.ndarray, buckets: int, extra: list[tuple[np.ndarray, int]] = (), key_bytes: int = KEY_BYTES
+    key: np.ndarray, ids: np.ndarray, buckets: int, extra: list[tuple[np.ndarray, int]] = (), key_bytes: int = KEY_BYTES, id_bytes: int = ID_BYTES
 ) -> Iterator[tuple[int, bytes]]:
     """Blocks (bucket, bytes) of entries sorted by key; neighbouring repeats are written once.
 
@@ -72,23 +74,23 @@ def pack(
     cut = np.searchsorted(bucket_of(key, buckets), np.arange(buckets + 1))
     for b in np.flatnonzero(np.diff(cut)):
         s = slice(cut[b], cut[b + 1])
-        yield int(b), encode_block(key[s], ids[s], key_bytes, [(x[s], w) for x, w in cols])
+        yield int(b), encode_block(key[s], ids[s], key_bytes, [(x[s], w) for x, w in cols], id_bytes)
 
 
-def unpack(blob: bytes, widths: tuple[int, ...] = (), key_bytes: int = KEY_BYTES) -> list[np.ndarray]:
+def unpack(blob: bytes, widths: tuple[int, ...] = (), key_bytes: int = KEY_BYTES, id_bytes: int = ID_BYTES) -> list[np.ndarray]:
     """Key (its leading bytes), id and further columns of a block."""
     short, n, d = _HEAD.unpack_from(blob)
     at = _HEAD.size
     out = [unplanes(blob, key_bytes, n, at)]
     at += key_bytes * n
     if short:
-        table = unplanes(blob, ID_BYTES, d, at)
-        at += ID_BYTES * d
+        table = unplanes(blob, id_bytes, d, at)
+        at += id_bytes * d
         out.append(table[unplanes(blob, 2, n, at).astype(np.int64)])
         at += 2 * n
     else:
-        out.append(unplanes(blob, ID_BYTES, n, at))
-        at += ID_BYTES * n
+        out.append(unplanes(blob, id_bytes, n, at))
+        at += id_bytes * n
     for w in widths:
         out.append(unplanes(blob, w, n, at))
         at += w * n

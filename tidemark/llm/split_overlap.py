@@ -8,8 +8,9 @@ buckets first tell an evaluation record how many training records hold each of
 its triples. It then asks for its rarest ones only: a record of n triples may
 lack n - ceil(t n) of them at threshold t, so if it asks for HITS more, *every*
 qualifying pair meets at least that often (all its needed triples, if they are
-fewer). The candidate stage is exact, not probabilistic, and boilerplate is
-hardly ever asked for. Buckets hold roles, hence only cross-split candidates
+fewer). Evaluation records are told apart by all 64 bits of the hash of their
+ids: but for two ids equal in it, the candidate stage is exact, not
+probabilistic. Boilerplate is hardly ever asked for. Buckets hold roles, hence only cross-split candidates
 arise. The texts of candidates are then compared exactly (containment and
 Jaccard similarity of their triples), and confirmed pairs can be counted by
 part and source.
@@ -46,6 +47,9 @@ TRAIN, EVAL = 0, 1
 HITS = 2
 #: Bytes of a triple's hash in the blocks. Different triples of equal bytes only add candidates.
 KEY = 5
+#: Bytes of the id of an evaluation record, by role. Training ids that fall together only add candidates;
+#: evaluation ids must not, since each record asks for its own rarest triples.
+ID = {TRAIN: _blocks.ID_BYTES, EVAL: 8}
 _MOST = 255
 
 
@@ -65,18 +69,18 @@ def _post(buckets: int):
             if held[role]:
                 key, ids = (np.concatenate(x) for x in zip(*held[role], strict=True))
                 held[role], size[role] = [], 0
-                for b, blob in _blocks.pack(key, ids, buckets, key_bytes=KEY):
+                for b, blob in _blocks.pack(key, ids, buckets, key_bytes=KEY, id_bytes=ID[role]):
                     yield b, role, blob
 
         for batch in batches:
-            rid = batch.column(0).to_numpy(zero_copy_only=False).astype(U64)
+            rid = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U64)
             role = batch.column(2).to_numpy(zero_copy_only=False)
             for at, part in tk.chunks(batch.column(1).to_pylist()):
                 key, off = tk.distinct_sets(part)
                 doc = at + tk.owners(off)
                 for r in (TRAIN, EVAL):
                     m = role[doc] == r
-                    held[r].append((key[m], rid[doc[m]]))
+                    held[r].append((key[m], rid[doc[m]] & U64((1 << 8 * ID[r]) - 1)))
                     size[r] += int(m.sum())
                     if size[r] > _blocks.FLUSH:
                         yield from flush(r)
@@ -87,7 +91,8 @@ def _post(buckets: int):
 
 
 def _by_key(blobs: list[bytes], widths: tuple[int, ...] = ()) -> list[np.ndarray]:
-    cols = [np.concatenate(x) for x in zip(*(_blocks.unpack(x, widths, KEY) for x in blobs), strict=True)]
+    """The entries of evaluation records, sorted by key."""
+    cols = [np.concatenate(x) for x in zip(*(_blocks.unpack(x, widths, KEY, ID[EVAL]) for x in blobs), strict=True)]
     order = np.argsort(cols[0], kind="stable")
     return [c[order] for c in cols]
 
@@ -114,10 +119,10 @@ def _rarity(buckets: int):
         # Ids are uniform hashes: their ranges are the buckets.
         order = np.argsort(ids, kind="stable")
         key, ids, df = key[order], ids[order], df[order]
-        cut = np.searchsorted(_blocks.bucket_of(ids << U64(64 - 8 * _blocks.ID_BYTES), buckets), np.arange(buckets + 1))
+        cut = np.searchsorted(_blocks.bucket_of(ids, buckets), np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(cut)):
             s = slice(cut[b], cut[b + 1])
-            yield int(b), _blocks.encode_block(key[s] << U64(64 - 8 * KEY), ids[s], KEY, [(df[s], 1)])
+            yield int(b), _blocks.encode_block(key[s] << U64(64 - 8 * KEY), ids[s], KEY, [(df[s], 1)], ID[EVAL])
 
     return lambda batches: _blocks.rows(items(batches), schema)
 
@@ -140,7 +145,7 @@ def _ask(buckets: int, threshold: float):
         if blobs:
             key, ids, df = _by_key(blobs, (1,))
             keep, weight = chosen(ids, key, df, threshold)
-            yield from _blocks.pack(key[keep] << U64(64 - 8 * KEY), ids[keep], buckets, [(weight.astype(U64), 1)], KEY)
+            yield from _blocks.pack(key[keep] << U64(64 - 8 * KEY), ids[keep], buckets, [(weight.astype(U64), 1)], KEY, ID[EVAL])
 
     return lambda batches: _blocks.rows(items(batches), schema)
 
@@ -217,7 +222,8 @@ def cross_split_overlaps(
     """Confirmed pairs (eval_id, train_id, containment, jaccard); see the module for the cases."""
     spark = records.sparkSession
     _cluster.ship(spark)
-    rid = F.xxhash64("record_id").bitwiseAND(F.lit(_blocks.ID_MASK)).alias("rid")
+    full = F.xxhash64("record_id")
+    rid = full.bitwiseAND(F.lit(_blocks.ID_MASK)).alias("rid")
     docs = present(records, id_col, text_col).select(rid, "record_id", "text")
     role = F.when(F.col("part").isin(*train), TRAIN).when(F.col("part").isin(*evaluation), EVAL)
     split = (
@@ -229,7 +235,7 @@ def cross_split_overlaps(
     # An equality here would become part of the join key, and the exchange by rid alone could not serve the later joins.
     placed = docs.join(split, "rid").where("record_id >= member and record_id <= member").select("rid", "record_id", "text", "role")
     buckets = _blocks.bucket_count(docs, 1 / 8)
-    blocks = placed.select("rid", "text", "role").mapInArrow(_post(buckets), "bucket int, role int, block binary")
+    blocks = placed.select(full.alias("full"), "text", "role").mapInArrow(_post(buckets), "bucket int, role int, block binary")
     posted = blocks.repartition(buckets, "bucket")
     rarity = posted.mapInArrow(_rarity(buckets), "bucket int, block binary")
     asked = (
@@ -240,13 +246,14 @@ def cross_split_overlaps(
         .agg(F.collect_list("asked").alias("asked"))
     )
     met = posted.join(asked.hint("shuffle_merge"), "bucket").select("role", "block", "asked").mapInArrow(_meet, "q long, t long, hits int")
-    found = met.groupBy("q", "t").agg(F.sum("hits").alias("hits")).where(f"hits >= {HITS}").drop("hits")
+    found = met.groupBy("q", "t").agg(F.sum("hits").alias("hits")).where(f"hits >= {HITS}")
+    found = found.select(F.col("q").alias("asker"), F.col("q").bitwiseAND(F.lit(_blocks.ID_MASK)).alias("q"), "t")
     left = placed.where(f"role = {EVAL}").select(F.col("rid").alias("q"), F.col("record_id").alias("eval_id"), F.col("text").alias("qt"))
     right = placed.where(f"role = {TRAIN}").select(F.col("rid").alias("t"), F.col("record_id").alias("train_id"), F.col("text").alias("tt"))
     return (
         found.join(left, "q")
         .join(right, "t")
-        .where("eval_id != train_id")
+        .where((F.col("eval_id") != F.col("train_id")) & (F.xxhash64("eval_id") == F.col("asker")))
         .select("eval_id", "qt", "train_id", "tt")
         .mapInArrow(_confirm(threshold), "eval_id string, train_id string, containment double, jaccard double")
         .dropDuplicates(["eval_id", "train_id"])
