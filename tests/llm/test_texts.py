@@ -85,6 +85,37 @@ def test_hot_copies(spark):
     assert got.agg(F.count("*"), F.count_distinct("record_kept"), F.min("record_kept")).first() == (999, 1, "r00000")
 
 
+def test_long_common_prefixes_take_few_rounds(spark):
+    # All begin with 2,000 equal bytes; some of them with 4,000.
+    rows = [(f"r{i:03d}", "x" * 2000 + ("y" * 2000 if i % 2 else "") + f"{i // 2 % 140}") for i in range(300)]
+    df = spark.createDataFrame(rows, "record_id string, canon string").selectExpr("record_id", "cast(canon as binary) as canon", "1L as n", "unhex(md5(canon)) as digest")
+    buckets, rounds = format_copies.radix_buckets(df, 50)
+    assert rounds <= 3
+    got = buckets.groupBy("bucket").agg(F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in got) == 300 and max(r["n"] for r in got) <= 50
+    texts = spark.createDataFrame(rows, "record_id string, text string")
+    want = {}
+    for r, t in rows:
+        want.setdefault(t, []).append(r)
+    assert {tuple(r) for r in format_copies.format_copies(texts, bucket_rows=50).collect()} == {(v[0], x) for v in want.values() for x in v[1:]}
+
+
+def test_nested_prefixes_take_logarithmically_many_rounds(spark):
+    rows = [(f"r{i:03d}", "ab" * (5 * i) + "c") for i in range(200)]
+    df = spark.createDataFrame(rows, "record_id string, canon string").selectExpr("record_id", "cast(canon as binary) as canon", "1L as n", "unhex(md5(canon)) as digest")
+    buckets, rounds = format_copies.radix_buckets(df, 3)
+    assert rounds <= 10 and buckets.count() == 200
+
+
+def test_plain_and_labelled_forms_are_one_set(spark):
+    rows = [
+        ("a", "defect: worn cable | action: removed it"), ("b", "Defect worn cable, action removed it"), ("c", "action: removed it | defect: worn cable"),
+        ("d", "Action removed it. Defect worn cable."), ("e", "defect: worn | action: other"), ("f", "worn cable removed it"),
+    ]
+    df = spark.createDataFrame(rows, "record_id string, text string")
+    assert {tuple(r) for r in format_copies.format_copies(df).collect()} == {("a", "b"), ("a", "c"), ("a", "d")}
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.binary(max_size=5), max_size=80))
 def test_burst_trie_counts(keys):

@@ -7,14 +7,20 @@ equals sign or dash, one to a line, or a JSON object) and surrounding marks do
 not matter. Each task first merges equal canonical bytes of its own. What is
 left is partitioned recursively by the leading bytes: a bucket with more than
 ``bucket_rows`` entries is split by further bytes until each fits (or holds one
-value only). Each bucket is counted in a burst trie with terminal counters,
-whose containers split by one byte when they grow.
+value only). A bucket is split behind the bytes that all of its values have in
+common, and each round takes twice as many bytes as the last, so the rounds
+grow with the logarithm of the longest value at most. Each bucket is counted in
+a burst trie with terminal counters, whose containers split by one byte when
+they grow. Labelled texts are also compared by their plain letters and digits:
+where these are the same as those of an ordinary text, or of other fields, the
+two sets of copies are one.
 
 Scale. Only merged entries are shuffled, so a group of copies, however large,
 sends a few rows of each task; its members are given their kept record by a
 join on a 128-bit digest of the canonical bytes, whose hot keys adaptive
-execution may split. The driver sees the oversized prefixes only, at most
-(entries / bucket_rows) for each level.
+execution may split. A round reads the entries of oversized buckets only and
+writes them to the shared folder. The oversized prefixes, at most (entries /
+bucket_rows) of them, stay in a table; the driver sees none.
 
 Defined cases. Null, empty and blank texts, and texts without a letter or
 digit, are copies of nothing. Equal texts are copies. Repeated rows (same id
@@ -28,7 +34,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +45,14 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import _cluster
 from tidemark.llm import _textkernel as tk
+from tidemark.llm.grouped_split import components
 from tidemark.llm.order_minhash import present
 
 #: The field names of this project's write-ups; a parameter of the operator.
 FIELDS = ("defect", "action", "removed", "fitted", "station", "order", "found by", "stock", "remark", "note")
 BUCKET_ROWS = 50_000
+#: Bytes that the first round of partitioning looks at.
 STEP = 4
-BROADCAST_PREFIXES = 100_000
 
 
 def letters_and_digits(texts: list[str]) -> list[str]:
@@ -61,8 +70,8 @@ def label_pattern(fields: tuple[str, ...]) -> re.Pattern:
     return re.compile(rf"(?<![^\W_])({names})[\"'*]*(?:\s*[:=]|\s+[-–—]\s)", re.IGNORECASE)
 
 
-def canonical(texts: list[str], pattern: re.Pattern) -> list[bytes]:
-    """Canonical bytes of each text; empty where there is neither letter nor digit."""
+def canonical(texts: list[str], pattern: re.Pattern) -> list[tuple[bytes, bytes | None]]:
+    """Canonical bytes of each text, empty where there is neither letter nor digit, and the plain ones of labelled texts."""
     pieces: list[str] = []
     shape: list[tuple[int, int]] = []  # first piece, number of fields (0: ordinary text)
     for t in texts:
@@ -71,6 +80,7 @@ def canonical(texts: list[str], pattern: re.Pattern) -> list[bytes]:
             shape.append((len(pieces), len(found)))
             for m, after in zip(found, [*found[1:], None], strict=True):
                 pieces += [m[1], t[m.end() : after.start() if after else len(t)]]
+            pieces.append(t)
         else:
             shape.append((len(pieces), 0))
             pieces.append(t)
@@ -79,27 +89,35 @@ def canonical(texts: list[str], pattern: re.Pattern) -> list[bytes]:
     for first, n in shape:
         if n:
             pairs = sorted(f"{clean[first + 2 * i]}={clean[first + 2 * i + 1]}" for i in range(n))
-            out.append(("\x1f".join(pairs)).encode("utf-8", "surrogatepass"))
+            out.append(("\x1f".join(pairs).encode("utf-8", "surrogatepass"), clean[first + 2 * n].encode("utf-8", "surrogatepass")))
         else:
-            out.append(clean[first].encode("utf-8", "surrogatepass"))
+            out.append((clean[first].encode("utf-8", "surrogatepass"), None))
     return out
 
 
+def _digest(canon: bytes) -> bytes:
+    return blake2b(canon, digest_size=16).digest()
+
+
 def _enter(fields: tuple[str, ...], flush_bytes: int = 48_000_000):
-    """Rows of two kinds: each record with its digest; each canonical value of the task with its least record id."""
-    schema = pa.schema([("record_id", pa.string()), ("digest", pa.binary()), ("canon", pa.binary()), ("n", pa.int64())])
+    """Rows of two kinds: each record with its digest; each canonical value of the task with its least record id.
+
+    The latter have the digest of the plain form, too, if they are labelled.
+    """
+    schema = pa.schema([("record_id", pa.string()), ("digest", pa.binary()), ("plain", pa.binary()), ("canon", pa.binary()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern = label_pattern(fields)
-        seen: dict[bytes, list] = {}
+        seen: dict[tuple[bytes, bytes | None], list] = {}
         size = 0
 
         def merged() -> pa.RecordBatch:
-            items = list(seen.items())
+            items = [(c, v) for (c, _), v in seen.items()]
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([v[1] for _, v in items], pa.string()),
                     pa.array([v[2] for _, v in items], pa.binary()),
+                    pa.array([v[3] for _, v in items], pa.binary()),
                     pa.array([k for k, _ in items], pa.binary()),
                     pa.array([v[0] for _, v in items], pa.int64()),
                 ],
@@ -111,12 +129,12 @@ def _enter(fields: tuple[str, ...], flush_bytes: int = 48_000_000):
             for at, part in tk.chunks(texts):
                 out_ids, out_digests = [], []
                 for rid, c in zip(ids[at : at + len(part)], canonical(part, pattern), strict=True):
-                    if not c:
+                    if not c[0]:
                         continue
                     have = seen.get(c)
                     if have is None:
-                        seen[c] = have = [0, rid, blake2b(c, digest_size=16).digest()]
-                        size += len(c) + 200
+                        seen[c] = have = [0, rid, _digest(c[0]), _digest(c[1]) if c[1] else None]
+                        size += 2 * len(c[0]) + 250
                     have[0] += 1
                     if rid < have[1]:
                         have[1] = rid
@@ -124,7 +142,7 @@ def _enter(fields: tuple[str, ...], flush_bytes: int = 48_000_000):
                     out_digests.append(have[2])
                 nothing = pa.nulls(len(out_ids))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out_ids, pa.string()), pa.array(out_digests, pa.binary()), nothing.cast(pa.binary()), nothing.cast(pa.int64())],
+                    [pa.array(out_ids, pa.string()), pa.array(out_digests, pa.binary()), nothing.cast(pa.binary()), nothing.cast(pa.binary()), nothing.cast(pa.int64())],
                     schema=schema,
                 )
                 if size > flush_bytes:
@@ -209,32 +227,43 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out(trie)
 
 
-def radix_buckets(entries: DataFrame, bucket_rows: int, step: int = STEP) -> DataFrame:
-    """``entries`` with a column ``bucket``: the leading bytes of ``canon``, more of them where a bucket is too large."""
-    spark = entries.sparkSession
-    depth = step
-    out = entries.withColumn("depth", F.lit(step))
+def _next_depth(step: int):
+    """The depth at which to split a bucket: ``step`` bytes behind what its least and greatest value have in common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            depth = [len(commonprefix(pair)) + step for pair in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(depth, pa.int32())], names=["bucket", "depth"])
+
+    return run
+
+
+def radix_buckets(entries: DataFrame, bucket_rows: int, step: int = STEP) -> tuple[DataFrame, int]:
+    """``entries`` with a column ``bucket``, the leading bytes of ``canon``, more of them where a bucket is too large; and the number of rounds."""
+    left, done, rounds = entries.withColumn("depth", F.lit(step)), [], 0
     while True:
-        # Values no longer than the prefix cannot be split further.
-        counts = (
-            out.where((F.col("depth") == depth) & (F.length("canon") > depth))
-            .groupBy(F.substring("canon", 1, depth).alias("prefix"))
-            .agg(F.count("*").alias("rows"), F.min("digest").alias("lo"), F.max("digest").alias("hi"))
-        )
-        large = [r["prefix"] for r in counts.where(f"rows > {bucket_rows} and lo != hi").select("prefix").collect()]
-        if not large:
-            return out.withColumn("bucket", F.expr("substring(canon, 1, depth)")).drop("depth")
-        # At most (entries / bucket_rows) prefixes; they are broadcast as long as they are few.
-        split = spark.createDataFrame([(bytes(p),) for p in large], "prefix binary").withColumn("large", F.lit(True))
-        if len(large) <= BROADCAST_PREFIXES:
-            split = F.broadcast(split)
-        out = (
-            out.withColumn("prefix", F.when(F.col("depth") == depth, F.substring("canon", 1, depth)))
-            .join(split, "prefix", "left")
-            .withColumn("depth", F.when(F.col("large"), depth + step).otherwise(F.col("depth")))
-            .drop("prefix", "large")
-        )
-        depth += step
+        keyed = left.withColumn("bucket", F.expr("substring(canon, 1, depth)"))
+        h = F.xxhash64("canon")
+        counts = keyed.groupBy("bucket").agg(F.count("*").alias("rows"), F.min(h).alias("lo"), F.max(h).alias("hi"))
+        # At most (entries / bucket_rows) of them. A bucket of one value is as small as it gets.
+        large = _cluster.stored(counts.where(f"rows > {bucket_rows} and lo != hi").select("bucket"), "large")
+        if large.isEmpty():
+            done.append(keyed)
+            return reduce(DataFrame.unionByName, (d.drop("depth") for d in done)), rounds
+        rounds, step = rounds + 1, 2 * step
+        done.append(keyed.join(large, "bucket", "left_anti"))
+        split = keyed.drop("depth").join(large, "bucket", "left_semi")
+        ends = split.groupBy("bucket").agg(F.min("canon").alias("first"), F.max("canon").alias("last"))
+        deeper = ends.mapInArrow(_next_depth(step), "bucket binary, depth int")
+        left = _cluster.stored(split.join(deeper, "bucket").drop("bucket"), "oversized")
+
+
+def _linked(entered: DataFrame) -> DataFrame:
+    """(digest, label) of the canonical values that are one set by their plain letters and digits; usually none."""
+    forms = entered.where("canon is not null").select("digest", F.coalesce("plain", "digest").alias("plain")).distinct()
+    several = forms.groupBy("plain").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo != hi").select("plain")
+    edges = _cluster.stored(forms.join(several, "plain").select(F.col("digest").alias("node"), F.col("plain").alias("entity")), "links")
+    return components(edges).select(F.col("node").alias("digest"), "label").distinct()
 
 
 def format_copies(
@@ -243,8 +272,8 @@ def format_copies(
     """One row for each copy: (record_kept, record_copy); the kept record has the least id of its copies."""
     _cluster.ship(df.sparkSession)
     docs = present(df, id_col, text_col)
-    entered = _cluster.stored(docs.mapInArrow(_enter(fields), "record_id string, digest binary, canon binary, n long"), "canonical")
-    entries = radix_buckets(entered.where("canon is not null").select("canon", "n", "record_id", "digest"), bucket_rows)
+    entered = _cluster.stored(docs.mapInArrow(_enter(fields), "record_id string, digest binary, plain binary, canon binary, n long"), "canonical")
+    entries, _ = radix_buckets(entered.where("canon is not null").select("canon", "n", "record_id", "digest"), bucket_rows)
     terminals = (
         entries.select("bucket", "canon", "n", "record_id", "digest")
         .repartition("bucket")
@@ -252,12 +281,13 @@ def format_copies(
         .mapInArrow(_count, "digest binary, kept string")
     )
     members = entered.where("canon is null").select("record_id", "digest")
-    return (
-        members.join(terminals, "digest")
-        .where("record_id > kept")
-        .select(F.col("kept").alias("record_kept"), F.col("record_id").alias("record_copy"))
-        .distinct()
-    )
+    kept = members.join(terminals, "digest").select("record_id", "kept", "digest")
+    linked = _linked(entered)
+    if not linked.isEmpty():
+        own = members.join(linked, "digest")
+        least = own.groupBy("label").agg(F.min("record_id").alias("kept"))
+        kept = kept.join(linked, "digest", "left_anti").select("record_id", "kept").unionByName(own.join(least, "label").select("record_id", "kept"))
+    return kept.where("record_id > kept").select(F.col("kept").alias("record_kept"), F.col("record_id").alias("record_copy")).distinct()
 
 
 def copy_counts(copies: DataFrame) -> DataFrame:
