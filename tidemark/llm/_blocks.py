@@ -15,7 +15,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm._textkernel import U64
 
@@ -47,50 +48,59 @@ _HEAD = struct.Struct("<BII")
 
 
 def encode_block(
-    key: np.ndarray, ids: np.ndarray, key_bytes: int = KEY_BYTES, extra: list[tuple[np.ndarray, int]] = (), id_bytes: int = ID_BYTES
+    key: np.ndarray, ids: np.ndarray, key_bytes: int = KEY_BYTES, extra: list[tuple[np.ndarray, int]] = (), id_bytes: int = ID_BYTES, of_id: list[tuple[np.ndarray, int]] = ()
 ) -> bytes:
-    """Entries as bytes. Where ids repeat often, they are written once, with a two-byte index for each entry."""
+    """Entries as bytes. Where ids repeat often, they are written once (with what follows from the id alone), with a two-byte index for each entry."""
     n = len(key)
-    table, index = np.unique(ids, return_inverse=True)
-    short = len(table) < 65536 and len(table) * id_bytes + 2 * n < id_bytes * n
-    body = planes(table, id_bytes) + planes(index.astype(U64), 2) if short else planes(ids, id_bytes)
+    table, first, index = np.unique(ids, return_index=True, return_inverse=True)
+    width = id_bytes + sum(w for _, w in of_id)
+    short = len(table) < 65536 and len(table) * width + 2 * n < width * n
+    if short:
+        body = planes(table, id_bytes) + b"".join(planes(x[first], w) for x, w in of_id) + planes(index.astype(U64), 2)
+    else:
+        body = planes(ids, id_bytes) + b"".join(planes(x, w) for x, w in of_id)
     return _HEAD.pack(short, n, len(table)) + planes(key >> U64(64 - 8 * key_bytes), key_bytes) + body + b"".join(planes(x, w) for x, w in extra)
 
 
 def pack(
-    key: np.ndarray, ids: np.ndarray, buckets: int, extra: list[tuple[np.ndarray, int]] = (), key_bytes: int = KEY_BYTES, id_bytes: int = ID_BYTES
+    key: np.ndarray,
+    ids: np.ndarray,
+    buckets: int,
+    extra: list[tuple[np.ndarray, int]] = (),
+    key_bytes: int = KEY_BYTES,
+    id_bytes: int = ID_BYTES,
+    of_id: list[tuple[np.ndarray, int]] = (),
 ) -> Iterator[tuple[int, bytes]]:
     """Blocks (bucket, bytes) of entries sorted by key; neighbouring repeats are written once.
 
     ``extra`` has further columns as (array, bytes of each entry), which must
-    follow from key and id.
+    follow from key and id; those in ``of_id`` follow from the id alone.
     """
     order = np.argsort(key, kind="stable")
     key, ids = key[order], ids[order]
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])
     key, ids, order = key[new], ids[new], order[new]
-    cols = [(x[order], w) for x, w in extra]
+    cols, own = ([(x[order], w) for x, w in c] for c in (extra, of_id))
     cut = np.searchsorted(bucket_of(key, buckets), np.arange(buckets + 1))
     for b in np.flatnonzero(np.diff(cut)):
         s = slice(cut[b], cut[b + 1])
-        yield int(b), encode_block(key[s], ids[s], key_bytes, [(x[s], w) for x, w in cols], id_bytes)
+        yield int(b), encode_block(key[s], ids[s], key_bytes, [(x[s], w) for x, w in cols], id_bytes, [(x[s], w) for x, w in own])
 
 
-def unpack(blob: bytes, widths: tuple[int, ...] = (), key_bytes: int = KEY_BYTES, id_bytes: int = ID_BYTES) -> list[np.ndarray]:
-    """Key (its leading bytes), id and further columns of a block."""
+def unpack(blob: bytes, widths: tuple[int, ...] = (), key_bytes: int = KEY_BYTES, id_bytes: int = ID_BYTES, of_id: tuple[int, ...] = ()) -> list[np.ndarray]:
+    """Key (its leading bytes), id, what follows from the id, and further columns of a block."""
     short, n, d = _HEAD.unpack_from(blob)
     at = _HEAD.size
     out = [unplanes(blob, key_bytes, n, at)]
     at += key_bytes * n
+    for w in (id_bytes, *of_id):
+        out.append(unplanes(blob, w, d if short else n, at))
+        at += w * (d if short else n)
     if short:
-        table = unplanes(blob, id_bytes, d, at)
-        at += id_bytes * d
-        out.append(table[unplanes(blob, 2, n, at).astype(np.int64)])
+        index = unplanes(blob, 2, n, at).astype(np.int64)
         at += 2 * n
-    else:
-        out.append(unplanes(blob, id_bytes, n, at))
-        at += id_bytes * n
+        out[1:] = [x[index] for x in out[1:]]
     for w in widths:
         out.append(unplanes(blob, w, n, at))
         at += w * n
@@ -130,6 +140,22 @@ def bucket_count(df: DataFrame, entries_per_byte: float) -> int:
     return max(min(least, 4096), need)
 
 
+def slots(spark: SparkSession, buckets: int) -> list[int]:
+    """A number for each bucket, such that hash partitioning by it puts each bucket into a partition of its own.
+
+    Blocks that are joined by bucket carry these instead of the bucket's own
+    number, whose hashes would fall together.
+    """
+    found: dict[int, int] = {}
+    at = 0
+    while len(found) < buckets:
+        rows = spark.range(at, at + 4 * buckets + 64).select(F.col("id").cast("int").alias("i"))
+        for r in rows.select("i", F.pmod(F.hash("i"), F.lit(buckets)).alias("p")).collect():
+            found.setdefault(r["p"], r["i"])
+        at += 4 * buckets + 64
+    return [found[b] for b in range(buckets)]
+
+
 def by_bucket(df: DataFrame, buckets: int, column: str = "bucket") -> DataFrame:
     """One partition for each bucket, by its number itself (no hash collisions)."""
     return df.repartitionById(buckets, column)

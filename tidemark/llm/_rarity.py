@@ -1,4 +1,4 @@
-"""Words that many texts hold, a bounded list, and counts of triples by hash; over all texts."""
+"""Counts of triples by ranges of their hash, over all texts; of fixed size."""
 
 from __future__ import annotations
 
@@ -6,66 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from tidemark.llm import _textkernel as tk
 from tidemark.llm._textkernel import U64
 
-
-
-#: A word that occurs less often is never common; the groups it makes are small.
-LEAST = 32
-
-
-def _count(batches: Iterator[pa.RecordBatch], share: int) -> Iterator[pa.RecordBatch]:
-    docs, parts = 0, []
-
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        w = np.concatenate([p[0] for p in parts])
-        n = np.concatenate([p[1] for p in parts])
-        u, inverse = np.unique(w, return_inverse=True)
-        return u, np.bincount(inverse, n, len(u)).astype(np.int64)
-
-    held = 0
-    for batch in batches:
-        docs += len(batch)
-        for _, part in tk.chunks(batch.column(0).to_pylist()):
-            parts.append(np.unique(tk.words(part)[0], return_counts=True))
-            held += len(parts[-1][0])
-        if held > 2_000_000:
-            # Words that are rare so far make room; they fall short of the threshold anyway.
-            u, n = merged()
-            parts = [(u[n > docs / (8 * share)], n[n > docs / (8 * share)])]
-            held = len(parts[0][0])
-    if parts:
-        u, n = merged()
-        keep = n > docs / (8 * share)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(u[keep], U64(0)).astype(np.int64)), pa.array(np.append(n[keep], docs))], names=["word", "n"]
-        )
-
-
-def common_words(texts: DataFrame, share: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the words that occur at least once for each ``share`` texts, and their counts.
-
-    The list has at most ``share`` times the mean number of words of a text, at
-    any scale. It only decides which evidence is preferred: a wrong entry costs
-    time, never a result.
-    """
-    counted = (
-        texts.mapInArrow(lambda batches: _count(batches, share), "word long, n long")
-        .groupBy("word")
-        .agg(F.sum("n").alias("n"))
-        # Over a bounded number of words of each task; word 0 has the number of texts.
-        .withColumn("total", F.max(F.when(F.col("word") == 0, F.col("n"))).over(Window.partitionBy()))
-    )
-    rows = counted.where(f"word != 0 and n * {share} >= total and n >= {LEAST}").select("word", "n").toPandas()
-    word = rows["word"].to_numpy(np.int64).astype(U64)
-    order = np.argsort(word)
-    return word[order], rows["n"].to_numpy(np.int64)[order]
-
-
 #: Counts of triples are kept for ranges of their hash; a fixed number.
 SLOTS, _PARTS = 1 << 20, 64
 

@@ -1,34 +1,37 @@
 """Near-duplicate records by Order MinHash.
 
 Method. The k-mers of a text are its word triples, each labelled with its
-occurrence number, so that repeats count. Each hash function picks the two
-labelled triples of least hash; functions of even number keep them *in text
-order*, functions of odd number in hash order, because records whose fields or
-sentences were reordered must be found too. Texts whose sketch agrees in one
-function become candidates. Sketches whose two triples hold common words only
-would make boilerplate meet; they are left out, and a text that has one is
-entered by its rarest distinct triples instead: n - ceil(t n) + 1 of n at
-threshold t. Two such texts that reach the threshold have one of these in
-common, so no pair is lost that the left-out sketches would find. The sizes of
-the texts and the places of the triple must allow the threshold. Which triples
-are rare follows from counts by hash, of fixed size; any order would do.
-Entries go into packed posting blocks, one bucket
-of keys for each task. Candidates are verified by a banded alignment of their
-words, which certifies pairs with few edits; pairs it cannot certify (reordered
-or heavily edited text) are measured exactly by the Jaccard similarity of their
-distinct triples.
+occurrence number, so that repeats count. Each hash function samples the two
+labelled triples of least hash and keeps them in text order, so the sketch
+follows the order of a text and not only its set of triples. Texts whose
+sketch agrees in one function become candidates. A sketch that more than
+``hot`` texts have in common (boilerplate) makes no pairs by itself: these texts
+are compared by their rarest distinct triples instead, n - ceil(t n) + 1 of n at
+threshold t. Two of them that reach the threshold have one of these in common,
+so no pair is lost that the sketch would find. The sizes of the texts and the
+places of the triple must allow the threshold. Which triples are rare follows
+from counts by hash, of fixed size; any order would do.
+
+Candidates are verified by a banded alignment of their labelled triples: the
+triples matched in order inside the band are common to both texts, and if they
+reach the threshold the pair is proven. Where they do not, blocks of the texts
+may have moved; the matches outside the band are added, wherever they stand.
 
 Scale. Sketches are keyed by a hash of the text, so copies of a text, however
 many, are one entry in every block (they are merged before the shuffle) and one
-text to verify. Pairs inside a bucket of sketches are generated in bounded
-slices and never held together. Text is shuffled once, by its hash; both sides
-of the verification join read that one exchange.
+text to verify. Pairs are made and verified between distinct texts; only
+verified ones meet record ids. A task sends no more than ``hot`` entries of a
+sketch, so a hot sketch gathers ``hot`` entries of each task and nothing else.
+Pairs inside a bucket of sketches are generated in bounded slices and never
+held together. Texts are shuffled once, by their hash; both sides of the
+verification join read that one exchange.
 
 Defined cases. Null, empty and blank texts, and texts without a letter or
 digit, are in no pair. A text of one or two words has one triple. Equal texts
-of different ids are pairs of similarity 1. Repeated rows (same id and text)
-count once. An empty table gives an empty result. Other columns, whatever
-their names, are ignored. The threshold itself counts.
+of different ids are pairs of similarity 1; texts are taken for equal by 64
+bits of their hash. Repeated rows (same id and text) count once. An empty table
+gives an empty result. Other columns, whatever their names, are ignored. The
+threshold itself counts.
 """
 
 from __future__ import annotations
@@ -42,25 +45,21 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import _blocks, _cluster
 from tidemark.llm import _textkernel as tk
-from tidemark.llm._rarity import common_words, slot, triple_counts
+from tidemark.llm._rarity import slot, triple_counts
 from tidemark.llm._textkernel import U64
 
-#: Measured on 30,000 records at threshold 0.6, with lengthened sketches: 28 functions found 7,321 of 7,321 pairs.
-SKETCHES = 28
-#: A word is common that occurs at least once for so many texts.
-COMMON = 500
+#: Functions. Each one finds a pair at the threshold of 0.6 with a probability of 0.36, or about half of that where blocks of the text have moved.
+SKETCHES = 48
+#: Texts that one sketch may have in common before they are compared by their rarest triples.
+HOT = 256
 BAND = 8
 #: Largest number of distinct triples kept with an entry; it stands for this many or more.
 _MOST = 255
-#: Bytes of a triple's hash in the entries by rarest triples.
-RARE_KEY = 5
-SKETCH, RARE = 0, 1
+#: Bytes of a sketch's or triple's hash in the blocks (different ones of equal bytes only add candidates), and of a text's.
+KEY, ID = 5, 8
+SKETCH, HOT_TEXTS = 0, 1
 _LOCAL_BITS = 22
-
-
-def text_id(column: str) -> F.Column:
-    """A short id of a text. Different texts may share one: whatever it selects is verified on the texts."""
-    return F.xxhash64(F.col(column)).bitwiseAND(F.lit(_blocks.ID_MASK))
+_LABEL = U64(0xC2B2AE3D27D4EB4F)
 
 
 def present(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -70,36 +69,18 @@ def present(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _has_uncommon(word: np.ndarray, woff: np.ndarray, off: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """For each triple (as ordered by ``triples``) whether a word of it is uncommon."""
-    out = np.ones(off[-1], bool)
-    if len(word) > 2 and len(common):
-        c = common[np.minimum(np.searchsorted(common, word), len(common) - 1)] == word
-        doc = tk.owners(woff)
-        at = np.arange(len(word) - 2) - woff[doc[:-2]] + off[doc[:-2]]
-        ok = doc[:-2] == doc[2:]
-        out[at[ok]] = ~(c[:-2] & c[1:-1] & c[2:])[ok]
-    return out
-
-
-def sketch_keys(texts: list[str], common: np.ndarray, sketches: int = SKETCHES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sketch keys, shape (texts with a triple, sketches), the indices of those texts, and which sketches hold common words only.
-
-    ``common`` has the sorted hashes of common words.
-    """
-    word, woff = tk.words(texts)
-    h, off = tk.triples(word, woff)
+def sketch_keys(texts: list[str], sketches: int = SKETCHES) -> tuple[np.ndarray, np.ndarray]:
+    """Sketch keys, shape (texts with a triple, sketches), and the indices of those texts."""
+    h, off = tk.triples(*tk.words(texts))
     has = np.flatnonzero(np.diff(off))
     if not len(has):
-        return np.empty((0, sketches), U64), has, np.empty((0, sketches), bool)
+        return np.empty((0, sketches), U64), has
     doc, count, start = tk.owners(off), np.diff(off)[has], off[has]
-    uncommon = _has_uncommon(word, woff, off, common)
-    x = tk.mix(h + tk.occurrences(h, doc).astype(U64) * U64(0xC2B2AE3D27D4EB4F))
+    x = labelled(h, doc)
     mask, full = U64((1 << _LOCAL_BITS) - 1), U64(0xFFFFFFFFFFFFFFFF)
     local = (np.arange(len(h)) - off[doc]).astype(U64) & mask
     seeds = tk.mix(np.arange(1, 2 * sketches + 1, dtype=U64)).reshape(sketches, 2)
     out = np.empty((len(has), sketches), U64)
-    weak = np.empty((len(has), sketches), bool)
     for j in range(sketches):
         y = (x ^ seeds[j, 0]) * (seeds[j, 1] | U64(1))
         y &= ~mask
@@ -107,61 +88,103 @@ def sketch_keys(texts: list[str], common: np.ndarray, sketches: int = SKETCHES)
         one = start + (np.minimum.reduceat(y, start) & mask).astype(np.int64)
         y[one] = full
         two = np.where(count > 1, start + (np.minimum.reduceat(y, start) & mask).astype(np.int64), one)
-        a, b = (np.minimum(one, two), np.maximum(one, two)) if j % 2 == 0 else (one, two)
-        key = tk.mix(x[a] * U64(0x9E3779B97F4A7C15) + tk.mix(x[b] + U64(j)))
-        weak[:, j] = ~uncommon[one] & ~uncommon[two]
-        out[:, j] = key
-    return out, has, weak
+        a, b = np.minimum(one, two), np.maximum(one, two)
+        out[:, j] = tk.mix(x[a] * U64(0x9E3779B97F4A7C15) + tk.mix(x[b] + U64(j)))
+    return out, has
+
 
+def labelled(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Triples with their occurrence number in the text, as one hash."""
+    return tk.mix(h + tk.occurrences(h, doc).astype(U64) * _LABEL)
 
-def rarest_keys(h: np.ndarray, off: np.ndarray, which: np.ndarray, counts: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The rarest of the distinct triples ``h`` of the texts ``which``, as (key, text, place among its triples).
+
+def _sketch(buckets: int, sketches: int, hot: int):
+    """Blocks of (sketch, text) entries with the size of the text; the texts of sketches that are hot in this task go by themselves."""
+    schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("block", pa.binary())])
+
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
+        held, amount = [], 0
+
+        def flush() -> Iterator[tuple[int, int, bytes]]:
+            key, ids, size = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((ids, key))
+            key, ids, size = key[order], ids[order], size[order]
+            new = np.append(True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]))
+            key, ids, size = key[new], ids[new], size[new]
+            place, many = _groups(key)
+            # One more than ``hot`` entries tell the receiver that the sketch is hot.
+            for blob in _id_blocks(np.unique(ids[many > hot])):
+                yield 0, HOT_TEXTS, blob
+            few = place <= hot
+            for b, blob in _blocks.pack(key[few], ids[few], buckets, (), KEY, ID, [(np.minimum(size[few], _MOST).astype(U64), 1)]):
+                yield b, SKETCH, blob
+
+        for batch in batches:
+            tid = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U64)
+            for at, part in tk.chunks(batch.column(1).to_pylist()):
+                k, has = sketch_keys(part, sketches)
+                size = np.diff(tk.distinct_sets(part)[1])[has]
+                held.append((k.ravel(), np.repeat(tid[at + has], sketches), np.repeat(size, sketches)))
+                amount += k.size
+                if amount > _blocks.FLUSH:
+                    yield from flush()
+                    held, amount = [], 0
+        if amount:
+            yield from flush()
+
+    return lambda batches: _blocks.rows(items(batches), schema)
+
+
+def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted keys, the place of each entry in its group and the size of the group."""
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+    n = np.diff(np.append(first, len(key)))
+    return np.arange(len(key)) - np.repeat(first, n), np.repeat(n, n)
+
+
+def _id_blocks(ids: np.ndarray, size: int = 100_000) -> Iterator[bytes]:
+    for at in range(0, len(ids), size):
+        yield _blocks.planes(ids[at : at + size], ID)
+
+
+def rarest_keys(h: np.ndarray, off: np.ndarray, counts: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rarest of the distinct triples ``h`` of each text, as (key, text, place among its triples).
 
     The order (count, hash) is the same for all texts, so those that share at
     least ``threshold`` of their triples have one of these in common.
     """
     n = np.diff(off)
-    in_ = np.zeros(len(n), bool)
-    in_[which] = True
     doc = tk.owners(off)
-    h, doc = h[in_[doc]], doc[in_[doc]]
     order = np.lexsort((h, counts[slot(h, len(counts))], doc))
-    n = n[which]
-    at = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+    at = np.arange(len(h)) - np.repeat(off[:-1], n)
     take = at < np.repeat(n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1, n)
     return tk.mix(h[order[take]]), doc[take], at[take]
 
 
-def _sketch(buckets: int, sketches: int, common: np.ndarray, counts: np.ndarray, threshold: float):
-    schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("block", pa.binary())])
+def _rare(buckets: int, counts, threshold: float):
+    """Blocks of the rarest triples of texts, with the sizes of the texts and the places of the triples."""
+    schema = pa.schema([("bucket", pa.int32()), ("block", pa.binary())])
 
-    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
-        held: dict[int, list] = {SKETCH: [], RARE: []}
-        amount = {SKETCH: 0, RARE: 0}
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
+        held, amount = [], 0
 
-        def flush(kind: int) -> Iterator[tuple[int, int, bytes]]:
-            if held[kind]:
-                key, ids, *extra = (np.concatenate(x) for x in zip(*held[kind], strict=True))
-                held[kind], amount[kind] = [], 0
-                width = RARE_KEY if kind == RARE else _blocks.KEY_BYTES
-                for b, blob in _blocks.pack(key, ids, buckets, [(np.minimum(x, _MOST).astype(U64), 1) for x in extra], width):
-                    yield b, kind, blob
+        def flush() -> Iterator[tuple[int, bytes]]:
+            key, ids, size, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            few = lambda x: [(np.minimum(x, _MOST).astype(U64), 1)]
+            yield from _blocks.pack(key, ids, buckets, few(place), KEY, ID, few(size))
 
         for batch in batches:
-            tid = batch.column(0).to_numpy(zero_copy_only=False).astype(U64)
+            tid = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U64)
             for at, part in tk.chunks(batch.column(1).to_pylist()):
-                k, has, weak = sketch_keys(part, common, sketches)
                 h, off = tk.distinct_sets(part)
-                size, of = np.diff(off), has[np.nonzero(~weak)[0]]
-                held[SKETCH].append((k[~weak], tid[at + of], size[of]))
-                key, of, place = rarest_keys(h, off, has[weak.any(1)], counts, threshold)
-                held[RARE].append((key, tid[at + of], size[of], place))
-                for kind in (SKETCH, RARE):
-                    amount[kind] += len(held[kind][-1][0])
-                    if amount[kind] > _blocks.FLUSH:
-                        yield from flush(kind)
-        yield from flush(SKETCH)
-        yield from flush(RARE)
+                key, of, place = rarest_keys(h, off, counts.value, threshold)
+                held.append((key, tid[at + of], np.diff(off)[of], place))
+                amount += len(key)
+                if amount > _blocks.FLUSH:
+                    yield from flush()
+                    held, amount = [], 0
+        if amount:
+            yield from flush()
 
     return lambda batches: _blocks.rows(items(batches), schema)
 
@@ -203,133 +226,223 @@ def reachable(left: list[np.ndarray], right: list[np.ndarray], threshold: float)
     return best >= threshold * (n + m - best) - 1e-9
 
 
-def _candidates(threshold: float):
-    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        blobs: dict[int, list[bytes]] = {SKETCH: [], RARE: []}
+def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    lo, hi = np.minimum(a.view(np.int64), b.view(np.int64)), np.maximum(a.view(np.int64), b.view(np.int64))
+    # The same pair often agrees in several functions of this bucket.
+    order = np.lexsort((hi, lo))
+    lo, hi = lo[order], hi[order]
+    new = np.append(True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))
+    return pa.RecordBatch.from_arrays([pa.array(lo[new]), pa.array(hi[new])], names=["a", "b"])
+
+
+def _alone(ids: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.nulls(len(ids), pa.int64())], names=["a", "b"])
+
+
+def _candidates(threshold: float, hot: int):
+    """Pairs of texts that agree in a sketch; texts of hot sketches alone, with null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
         for batch in batches:
             for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                blobs[kind].append(blob)
-        # By rarest triples, a pair that qualifies passes at the first one that both have.
-        for kind, widths, key_bytes in ((SKETCH, (1,), _blocks.KEY_BYTES), (RARE, (1, 1), RARE_KEY)):
-            if blobs[kind]:
-                key, ids, *extra = (np.concatenate(x) for x in zip(*(_blocks.unpack(x, widths, key_bytes) for x in blobs.pop(kind)), strict=True))
-                yield from pairs_of(key, ids, extra=tuple(extra), keep=lambda a, b: reachable(a, b, threshold))
+                if kind == HOT_TEXTS:
+                    yield _alone(_blocks.unplanes(blob, ID, len(blob) // ID))
+                else:
+                    parts.append(_blocks.unpack(blob, (), KEY, ID, (1,)))
+        if not parts:
+            return
+        key, ids, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((ids, key))
+        key, ids, size = key[order], ids[order], size[order]
+        new = np.append(True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]))
+        key, ids, size = key[new], ids[new], size[new]
+        many = _groups(key)[1]
+        if (many > hot).any():
+            yield _alone(np.unique(ids[many > hot]))
+        few = (many > 1) & (many <= hot)
+        for a, b in pairs_of(key[few], ids[few], extra=(size[few],), keep=lambda x, y: reachable(x, y, threshold)):
+            yield _pair_batch(a, b)
+
+    return run
+
+
+def _rare_candidates(threshold: float):
+    """Pairs of texts that have a rarest triple in common; one that qualifies passes at the first one that both have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for a, b in met(batches):
-            lo, hi = np.minimum(a, b).astype(np.int64), np.maximum(a, b).astype(np.int64)
-            # The same pair often agrees in several functions of this bucket.
-            order = np.lexsort((hi, lo))
-            lo, hi = lo[order], hi[order]
-            new = np.ones(len(lo), bool)
-            new[1:] = (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(lo[new]), pa.array(hi[new])], names=["a", "b"])
+        parts = [_blocks.unpack(blob, (1,), KEY, ID, (1,)) for batch in batches for blob in batch.column(1).to_pylist()]
+        if parts:
+            key, ids, size, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+            for a, b in pairs_of(key, ids, extra=(size, place), keep=lambda x, y: reachable(x, y, threshold)):
+                yield _pair_batch(a, b)
 
     return run
 
 
-def banded_distance(left: list[str], right: list[str], band: int = BAND) -> np.ndarray:
-    """Word edit distances within a band around the diagonal; -1 where the band does not hold the alignment.
-
-    A distance found in the band is exact when it is no larger than the band.
-    """
-    wa, oa = tk.words(left)
-    wb, ob = tk.words(right)
+def _in_band(xa: np.ndarray, oa: np.ndarray, weight: np.ndarray, xb: np.ndarray, ob: np.ndarray, band: int) -> np.ndarray:
+    """The greatest weight of matches in order between each pair of sequences, within a band around the diagonal."""
     na, nb = np.diff(oa), np.diff(ob)
-    out = np.full(len(left), -1, np.int64)
-    width = 2 * band + 1
-    shift = np.arange(width) - band
-    todo = np.flatnonzero(np.abs(na - nb) <= band)
-    todo = todo[np.argsort(na[todo], kind="stable")]
-    wa, wb = np.append(wa, U64(0)), np.append(wb, U64(0))
+    out = np.zeros(len(na), np.int64)
+    shift = np.arange(2 * band + 1) - band
+    todo = np.argsort(na, kind="stable")
+    xb = np.append(xb, U64(0))
     for at in range(0, len(todo), 4096):
         p = todo[at : at + 4096]
-        # Row 0: reaching column j of the right text costs j insertions.
-        dist = np.where(shift >= 0, shift, 1 << 20).astype(np.int32)[None, :].repeat(len(p), 0)
-        dist[shift[None, :] > nb[p][:, None]] = 1 << 20
-        for i in range(1, int(na[p].max(initial=0)) + 1):
-            live = np.flatnonzero(na[p] >= i)
-            q = p[live]
+        best = np.zeros((len(p), len(shift)), np.int32)
+        for i in range(int(na[p].max(initial=0))):
+            # Pairs are sorted by length, so those still running are at the end.
+            live = int(np.searchsorted(na[p], i, "right"))
+            q = p[live:]
             col = i + shift[None, :]
-            inside = (col >= 1) & (col <= nb[q][:, None])
-            b = wb[np.where(inside, ob[q][:, None] + col - 1, len(wb) - 1)]
-            d = dist[live]
-            step = d + ((b != wa[oa[q] + i - 1][:, None]) | ~inside)
-            step[:, :-1] = np.minimum(step[:, :-1], d[:, 1:] + 1)
-            step[(col < 0) | (col > nb[q][:, None])] = 1 << 20
-            step = np.minimum.accumulate(step - shift[None, :], axis=1) + shift[None, :]
-            step[(col < 0) | (col > nb[q][:, None])] = 1 << 20
-            dist[live] = step
-        found = dist[np.arange(len(p)), nb[p] - na[p] + band]
-        out[p] = np.where(found <= band, found, -1)
+            inside = (col >= 0) & (col < nb[q][:, None])
+            mine = oa[q] + i
+            match = inside & (xb[np.where(inside, ob[q][:, None] + col, len(xb) - 1)] == xa[mine][:, None])
+            d = best[live:]
+            step = d + match * weight[mine][:, None]
+            step[:, :-1] = np.maximum(step[:, :-1], d[:, 1:])
+            best[live:] = np.maximum.accumulate(step, axis=1)
+        out[p] = best.max(axis=1, initial=0)
     return out
 
 
-def verify(left: list[str], right: list[str], threshold: float, band: int = BAND) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For pairs of texts: whether they reach the threshold, the edit distance (-1: beyond the band), whether it certified them.
+def align(left: list[str], right: list[str], threshold: float, band: int = BAND) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For pairs of texts: distinct triples of either side, those in common as far as needed, whether the band alone proved the pair.
 
-    One word edit changes at most three triples of either text, so an alignment
-    with d edits proves a similarity of (m - 3d) / (m + 3d) for m triples.
+    A labelled triple counts once, at its first occurrence, so matches in the
+    band never exceed the common triples.
     """
-    d = banded_distance(left, right, band)
-    a, b, c = tk.common_triples(left, right)
-    m = np.maximum(a, b)
-    certain = (m > 0) & (d >= 0) & (m - 3 * d >= threshold * (m + 3 * d))
-    exact = (c >= threshold * (a + b - c) - 1e-9) & (c > 0)
-    return certain | exact, d, certain
+    n = len(left)
+    h, off = tk.triples(*tk.words([*left, *right]))
+    doc = tk.owners(off)
+    first = tk.occurrences(h, doc) == 0
+    x = labelled(h, doc)
+    size = np.bincount(doc[first], minlength=2 * n)
+    a, b = size[:n], size[n:]
+    # Alignment works on the shorter side row by row.
+    flip = np.diff(off)[:n] > np.diff(off)[n:]
+    one, two = np.where(flip, np.arange(n) + n, np.arange(n)), np.where(flip, np.arange(n), np.arange(n) + n)
+    common = _in_band(*_gathered(x, off, one), first[_positions(off, one)].astype(np.int32), *_gathered(x, off, two), band)
+    proven = (common > 0) & (common >= threshold * (a + b - common) - 1e-9)
+    rest = np.flatnonzero(~proven)
+    if len(rest):
+        of = np.full(2 * n, -1)
+        of[rest] = of[rest + n] = np.arange(len(rest))
+        use = first & (of[doc] >= 0)
+        key = tk.mix(h[use] + of[doc[use]].astype(U64) * _LABEL)
+        order = np.argsort(key, kind="stable")
+        same = key[order][1:] == key[order][:-1]
+        common[rest] = np.bincount(of[doc[use]][order][1:][same], minlength=len(rest))
+    return a, b, common, proven
+
+
+def _positions(off: np.ndarray, which: np.ndarray) -> np.ndarray:
+    n = np.diff(off)[which]
+    return np.repeat(off[which], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _gathered(x: np.ndarray, off: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return x[_positions(off, which)], np.append(0, np.cumsum(np.diff(off)[which]))
+
+
+def verify(left: list[str], right: list[str], threshold: float, band: int = BAND) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For pairs of texts: whether they reach the threshold, their common triples as far as counted, whether the band alone proved it."""
+    a, b, common, proven = align(left, right, threshold, band)
+    return (common > 0) & (common >= threshold * (a + b - common) - 1e-9), common, proven
 
 
 def _verified(threshold: float, band: int):
-    schema = pa.schema(
-        [("record_a", pa.string()), ("record_b", pa.string()), ("edit_distance", pa.int32()), ("certified", pa.bool_())]
-    )
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("aligned", pa.int32()), ("certified", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ra, ta, rb, tb = (batch.column(i).to_pylist() for i in range(4))
+            a, b = batch.column(0), batch.column(2)
+            ta, tb = batch.column(1).to_pylist(), batch.column(3).to_pylist()
             for at, part in tk.chunks([x + y for x, y in zip(ta, tb, strict=True)]):
                 s = slice(at, at + len(part))
-                ok, d, sure = verify(ta[s], tb[s], threshold, band)
-                x = [(a, b) if a < b else (b, a) for a, b in zip(ra[s], rb[s], strict=True)]
-                keep = np.flatnonzero(ok)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([x[i][0] for i in keep], pa.string()),
-                        pa.array([x[i][1] for i in keep], pa.string()),
-                        pa.array(d[keep].astype(np.int32), pa.int32(), mask=d[keep] < 0),
-                        pa.array(sure[keep]),
-                    ],
-                    schema=schema,
-                )
+                ok, common, proven = verify(ta[s], tb[s], threshold, band)
+                keep = pa.array(np.flatnonzero(ok) + at)
+                cols = [a.take(keep), b.take(keep), pa.array(common[ok].astype(np.int32)), pa.array(proven[ok])]
+                yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
     return run
 
 
+def identified(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (record_id, text, tid) with an id and a text that is not blank."""
+    return present(df, id_col, text_col).select("record_id", "text", F.xxhash64("text").alias("tid"))
+
+
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """(tid, text): each text once, merged within a task before it is sent."""
+    return docs.groupBy("tid").agg(F.any_value("text").alias("text"))
+
+
+def text_members(docs: DataFrame) -> DataFrame:
+    """(tid, record_id): which records have a text; repeated rows once."""
+    return docs.select("tid", "record_id").repartition("tid").dropDuplicates(["tid", "record_id"])
+
+
+def near_duplicate_texts(docs: DataFrame, *, threshold: float = 0.8, sketches: int = SKETCHES, band: int = BAND, hot: int = HOT) -> DataFrame:
+    """Pairs (a, b, aligned, certified) of different texts (record_id, text, tid) of a similarity of ``threshold`` or more."""
+    spark = docs.sparkSession
+    _cluster.ship(spark)
+    texts = distinct_texts(docs)
+    buckets = _blocks.bucket_count(docs, sketches / 150)
+    blocks = docs.select("tid", "text").mapInArrow(_sketch(buckets, sketches, hot), "bucket int, kind int, block binary")
+    met = _cluster.stored(_blocks.by_bucket(blocks, buckets).mapInArrow(_candidates(threshold, hot), "a long, b long"), "met")
+    pairs = met.where("b is not null")
+    often = met.where("b is null").select(F.col("a").alias("tid")).distinct()
+    if not often.isEmpty():
+        counts = spark.sparkContext.broadcast(triple_counts(docs.select("text")))
+        rare = texts.join(often, "tid").select("tid", "text").mapInArrow(_rare(buckets, counts, threshold), "bucket int, block binary")
+        pairs = pairs.unionByName(_blocks.by_bucket(rare, buckets).mapInArrow(_rare_candidates(threshold), "a long, b long"))
+    left = texts.select(F.col("tid").alias("a"), F.col("text").alias("ta"))
+    right = texts.select(F.col("tid").alias("b"), F.col("text").alias("tb"))
+    joined = pairs.distinct().join(left, "a").join(right, "b").select("a", "ta", "b", "tb")
+    return joined.mapInArrow(_verified(threshold, band), "a long, b long, aligned int, certified boolean")
+
+
 def near_duplicates(
-    df: DataFrame, *, id_col: str = "record_id", text_col: str = "text", threshold: float = 0.8, sketches: int = SKETCHES, band: int = BAND
+    df: DataFrame, *, id_col: str = "record_id", text_col: str = "text", threshold: float = 0.8, sketches: int = SKETCHES, band: int = BAND, hot: int = HOT
 ) -> DataFrame:
-    """Pairs (record_a, record_b, edit_distance, certified) with a triple similarity of ``threshold`` or more.
+    """Pairs (record_a, record_b, aligned, certified) of records with a triple similarity of ``threshold`` or more.
 
-    ``edit_distance`` counts word edits and is null beyond the band; ``certified``
-    tells whether the alignment alone proved the pair. See the module for the cases.
+    ``aligned`` counts the common triples that were needed, null for equal texts;
+    ``certified`` tells whether the alignment in the band alone proved the pair
+    (equal texts need none). See the module for the cases.
     """
-    _cluster.ship(df.sparkSession)
-    docs = present(df, id_col, text_col).select("record_id", "text", text_id("text").alias("tid"))
-    buckets = _blocks.bucket_count(docs, sketches / 150)
-    common, _ = common_words(docs.select("text"), COMMON)
-    counts = triple_counts(docs.select("text"))
-    blocks = docs.select("tid", "text").mapInArrow(
-        _sketch(buckets, sketches, common, counts, threshold), "bucket int, kind int, block binary"
-    )
-    found = _blocks.by_bucket(blocks, buckets).mapInArrow(_candidates(threshold), "a long, b long")
-    same = docs.groupBy("tid").agg(F.count("*").alias("n")).where("n > 1").select(F.col("tid").alias("a"), F.col("tid").alias("b"))
-    pairs = found.unionByName(same).distinct()
-    left = docs.select(F.col("tid").alias("a"), F.col("record_id").alias("ra"), F.col("text").alias("ta"))
-    right = docs.select(F.col("tid").alias("b"), F.col("record_id").alias("rb"), F.col("text").alias("tb"))
-    joined = pairs.join(left, "a").join(right, "b").where((F.col("a") != F.col("b")) | (F.col("ra") < F.col("rb")))
-    return (
-        joined.where(F.col("ra") != F.col("rb"))
-        .select("ra", "ta", "rb", "tb")
-        .mapInArrow(_verified(threshold, band), "record_a string, record_b string, edit_distance int, certified boolean")
-        .dropDuplicates(["record_a", "record_b"])
-    )
+    docs = identified(df, id_col, text_col)
+    found = near_duplicate_texts(docs, threshold=threshold, sketches=sketches, band=band, hot=hot)
+    members = text_members(docs)
+    a, b = (members.select(F.col("tid").alias(x), F.col("record_id").alias(f"r{x}")) for x in ("a", "b"))
+    apart = found.join(a, "a").join(b, "b").where("ra != rb")
+    apart = apart.select(F.least("ra", "rb").alias("record_a"), F.greatest("ra", "rb").alias("record_b"), "aligned", "certified")
+    return apart.unionByName(_equal_texts(docs, members)).dropDuplicates(["record_a", "record_b"])
+
+
+def _equal_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs of records with the same text, if it has a word."""
+    worded = F.col("text").rlike(r"[\p{L}\p{N}]")
+    several = docs.where(worded).groupBy("tid").agg(F.count("*").alias("n")).where("n > 1").select("tid")
+    copies = members.join(several, "tid")
+    a, b = (copies.select("tid", F.col("record_id").alias(f"record_{x}")) for x in ("a", "b"))
+    return a.join(b, "tid").where("record_a < record_b").select("record_a", "record_b", F.lit(None).cast("int").alias("aligned"), F.lit(True).alias("certified"))
+
+
+def near_duplicate_links(
+    df: DataFrame, *, id_col: str = "record_id", text_col: str = "text", threshold: float = 0.8, sketches: int = SKETCHES, hot: int = HOT
+) -> DataFrame:
+    """One row for each record that has a near duplicate: (record_id, class_id, links).
+
+    Equal texts are a class, named by its least record id; ``links`` counts the
+    near-duplicate classes other than its own. The form for large groups of
+    copies, whose pairs would grow with the square of the group.
+    """
+    docs = identified(df, id_col, text_col)
+    found = near_duplicate_texts(docs, threshold=threshold, sketches=sketches, hot=hot)
+    links = found.select(F.explode(F.array("a", "b")).alias("tid")).groupBy("tid").agg(F.count("*").alias("links"))
+    members = text_members(docs)
+    classes = members.groupBy("tid").agg(F.min("record_id").alias("class_id"), F.count("*").alias("n"))
+    classes = classes.join(links, "tid", "left").where("n > 1 or links is not null").select("tid", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+    return members.join(classes, "tid").select("record_id", "class_id", "links")
