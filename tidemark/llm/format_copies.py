@@ -254,7 +254,8 @@ def radix_buckets(entries: DataFrame, bucket_rows: int, step: int = STEP) -> tup
         done.append(keyed.join(large, "bucket", "left_anti"))
         split = keyed.drop("depth").join(large, "bucket", "left_semi")
         ends = split.groupBy("bucket").agg(F.min("canon").alias("first"), F.max("canon").alias("last"))
-        deeper = ends.mapInArrow(_next_depth(step), "bucket binary, depth int")
+        # Both tables are written, so that their size decides whether they are broadcast.
+        deeper = _cluster.stored(ends.mapInArrow(_next_depth(step), "bucket binary, depth int"), "deeper")
         left = _cluster.stored(split.join(deeper, "bucket").drop("bucket"), "oversized")
 
 
