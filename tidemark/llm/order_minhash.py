@@ -3,14 +3,16 @@
 Method. The k-mers of a text are its word triples, each labelled with its
 occurrence number, so that repeats count. Each hash function samples the two
 labelled triples of least hash and keeps them in text order, so the sketch
-follows the order of a text and not only its set of triples. Texts whose
-sketch agrees in one function become candidates. A sketch that more than
-``hot`` texts have in common (boilerplate) makes no pairs by itself: these texts
-are compared by their rarest distinct triples instead, n - ceil(t n) + 1 of n at
-threshold t. Two of them that reach the threshold have one of these in common,
-so no pair is lost that the sketch would find. The sizes of the texts and the
-places of the triple must allow the threshold. Which triples are rare follows
-from counts by hash, of fixed size; any order would do.
+follows the order of a text and not only its set of triples. Triples that at
+least one text in ``COMMON`` holds (boilerplate) are sampled only where a text
+has no others. Texts whose sketch agrees in one function become candidates.
+Two kinds of text cannot rely on that: those that have a sketch in common with
+more than ``hot`` texts, which makes no pairs by itself, and those of which
+most triples are common. They are compared by their rarest distinct triples as
+well, n - ceil(t n) + 1 of n at threshold t. Two of them that reach the
+threshold have one of these in common, so no pair among them is lost. The sizes
+of the texts and the places of the triple must allow the threshold. Which
+triples are rare or common follows from counts by hash, of fixed size.
 
 Candidates are verified by a banded alignment of their labelled triples: the
 triples matched in order inside the band are common to both texts, and if they
@@ -23,8 +25,8 @@ text to verify. Pairs are made and verified between distinct texts; only
 verified ones meet record ids. A task sends no more than ``hot`` entries of a
 sketch, so a hot sketch gathers ``hot`` entries of each task and nothing else.
 Pairs inside a bucket of sketches are generated in bounded slices and never
-held together. Texts are shuffled once, by their hash; both sides of the
-verification join read that one exchange.
+held together. Texts are shuffled once, by their hash, in compressed blocks
+that both sides of the verification read.
 
 Defined cases. Null, empty and blank texts, and texts without a letter or
 digit, are in no pair. A text of one or two words has one triple. Equal texts
@@ -43,15 +45,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import _blocks, _cluster
+from tidemark.llm import _blocks, _cluster, _texts
 from tidemark.llm import _textkernel as tk
 from tidemark.llm._rarity import slot, triple_counts
+from tidemark.llm._texts import identified, text_members
 from tidemark.llm._textkernel import U64
 
 #: Functions. Each one finds a pair at the threshold of 0.6 with a probability of 0.36, or about half of that where blocks of the text have moved.
 SKETCHES = 48
 #: Texts that one sketch may have in common before they are compared by their rarest triples.
-HOT = 256
+HOT = 8
+#: A triple is common that one text in so many holds; a text with a smaller share of other triples is compared by its rarest ones.
+COMMON, UNCOMMON_SHARE = 100, 0.7
 BAND = 8
 #: Largest number of distinct triples kept with an entry; it stands for this many or more.
 _MOST = 255
@@ -62,27 +67,27 @@ _LOCAL_BITS = 22
 _LABEL = U64(0xC2B2AE3D27D4EB4F)
 
 
-def present(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (record_id, text) with an id and a text that is not blank, under fixed names."""
-    return df.select(F.col(id_col).alias("record_id"), F.col(text_col).alias("text")).where(
-        F.col("record_id").isNotNull() & F.col("text").rlike(r"\S")
-    )
+def sketch_keys(texts: list[str], common: np.ndarray, sketches: int = SKETCHES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sketch keys, shape (texts with a triple, sketches), the indices of those texts, and their shares of uncommon triples.
 
-
-def sketch_keys(texts: list[str], sketches: int = SKETCHES) -> tuple[np.ndarray, np.ndarray]:
-    """Sketch keys, shape (texts with a triple, sketches), and the indices of those texts."""
+    ``common`` tells for each slot of hashes whether its triples are common.
+    """
     h, off = tk.triples(*tk.words(texts))
     has = np.flatnonzero(np.diff(off))
     if not len(has):
-        return np.empty((0, sketches), U64), has
+        return np.empty((0, sketches), U64), has, np.empty(0)
     doc, count, start = tk.owners(off), np.diff(off)[has], off[has]
     x = labelled(h, doc)
+    late = common[slot(h, len(common))]
+    share = 1 - np.add.reduceat(late.astype(np.int64), start) / count
     mask, full = U64((1 << _LOCAL_BITS) - 1), U64(0xFFFFFFFFFFFFFFFF)
     local = (np.arange(len(h)) - off[doc]).astype(U64) & mask
+    last = late.astype(U64) << U64(63)
     seeds = tk.mix(np.arange(1, 2 * sketches + 1, dtype=U64)).reshape(sketches, 2)
     out = np.empty((len(has), sketches), U64)
     for j in range(sketches):
-        y = (x ^ seeds[j, 0]) * (seeds[j, 1] | U64(1))
+        y = ((x ^ seeds[j, 0]) * (seeds[j, 1] | U64(1))) >> U64(1)
+        y |= last
         y &= ~mask
         y |= local
         one = start + (np.minimum.reduceat(y, start) & mask).astype(np.int64)
@@ -90,7 +95,7 @@ def sketch_keys(texts: list[str], sketches: int = SKETCHES) -> tuple[np.ndarray,
         two = np.where(count > 1, start + (np.minimum.reduceat(y, start) & mask).astype(np.int64), one)
         a, b = np.minimum(one, two), np.maximum(one, two)
         out[:, j] = tk.mix(x[a] * U64(0x9E3779B97F4A7C15) + tk.mix(x[b] + U64(j)))
-    return out, has
+    return out, has, share
 
 
 def labelled(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -98,8 +103,8 @@ def labelled(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return tk.mix(h + tk.occurrences(h, doc).astype(U64) * _LABEL)
 
 
-def _sketch(buckets: int, sketches: int, hot: int):
-    """Blocks of (sketch, text) entries with the size of the text; the texts of sketches that are hot in this task go by themselves."""
+def _sketch(buckets: int, sketches: int, hot: int, common):
+    """Blocks of (sketch, text) entries with the size of the text; texts to be compared by rarest triples, as far as known here, by themselves."""
     schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("block", pa.binary())])
 
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
@@ -120,10 +125,12 @@ def _sketch(buckets: int, sketches: int, hot: int):
                 yield b, SKETCH, blob
 
         for batch in batches:
-            tid = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U64)
+            tid = _texts.tids(batch.column(0))
             for at, part in tk.chunks(batch.column(1).to_pylist()):
-                k, has = sketch_keys(part, sketches)
+                k, has, share = sketch_keys(part, common.value, sketches)
                 size = np.diff(tk.distinct_sets(part)[1])[has]
+                for blob in _id_blocks(np.unique(tid[at + has[share < UNCOMMON_SHARE]])):
+                    yield 0, HOT_TEXTS, blob
                 held.append((k.ravel(), np.repeat(tid[at + has], sketches), np.repeat(size, sketches)))
                 amount += k.size
                 if amount > _blocks.FLUSH:
@@ -162,31 +169,51 @@ def rarest_keys(h: np.ndarray, off: np.ndarray, counts: np.ndarray, threshold: f
 
 
 def _rare(buckets: int, counts, threshold: float):
-    """Blocks of the rarest triples of texts, with the sizes of the texts and the places of the triples."""
+    """From texts and the hashes of those that are asked for: blocks of their rarest triples, with sizes and the places of the triples."""
     schema = pa.schema([("bucket", pa.int32()), ("block", pa.binary())])
 
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
+        blobs = _texts.by_kind(batches)
+        wanted = [_blocks.unplanes(x, ID, len(x) // ID) for x in blobs.get(_texts.PAIRS, ())]
+        if not wanted:
+            return
+        here = _texts.Texts(blobs.get(_texts.TEXT, []))
+        place = here.places(np.unique(np.concatenate(wanted)))
         held, amount = [], 0
 
         def flush() -> Iterator[tuple[int, bytes]]:
-            key, ids, size, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, ids, size, at = (np.concatenate(x) for x in zip(*held, strict=True))
             few = lambda x: [(np.minimum(x, _MOST).astype(U64), 1)]
-            yield from _blocks.pack(key, ids, buckets, few(place), KEY, ID, few(size))
-
-        for batch in batches:
-            tid = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U64)
-            for at, part in tk.chunks(batch.column(1).to_pylist()):
-                h, off = tk.distinct_sets(part)
-                key, of, place = rarest_keys(h, off, counts.value, threshold)
-                held.append((key, tid[at + of], np.diff(off)[of], place))
-                amount += len(key)
-                if amount > _blocks.FLUSH:
-                    yield from flush()
-                    held, amount = [], 0
+            yield from _blocks.pack(key, ids, buckets, few(at), KEY, ID, few(size))
+
+        for at, part in tk.chunks([here.texts[i] for i in place.tolist()]):
+            h, off = tk.distinct_sets(part)
+            key, of, rank = rarest_keys(h, off, counts.value, threshold)
+            held.append((key, here.tid[place[at + of]], np.diff(off)[of], rank))
+            amount += len(key)
+            if amount > _blocks.FLUSH:
+                yield from flush()
+                held, amount = [], 0
         if amount:
             yield from flush()
 
-    return lambda batches: _blocks.rows(items(batches), schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _blocks.rows(items(batches), schema)
+
+    return run
+
+
+def _ids_by_bucket(slots: list[int]):
+    """Blocks of the hashes of texts for the buckets of the texts."""
+
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
+        for batch in batches:
+            tid = np.sort(_texts.tids(batch.column(0)))
+            cut = np.searchsorted(_blocks.bucket_of(tid, len(slots)), np.arange(len(slots) + 1))
+            for b in np.flatnonzero(np.diff(cut)):
+                yield slots[b], _texts.PAIRS, _blocks.planes(tid[cut[b] : cut[b + 1]], ID)
+
+    return lambda batches: _blocks.rows(items(batches), _texts.SCHEMA)
 
 
 def pairs_of(
@@ -352,55 +379,32 @@ def verify(left: list[str], right: list[str], threshold: float, band: int = BAND
 
 
 def _verified(threshold: float, band: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("aligned", pa.int32()), ("certified", pa.bool_())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column(0), batch.column(2)
-            ta, tb = batch.column(1).to_pylist(), batch.column(3).to_pylist()
-            for at, part in tk.chunks([x + y for x, y in zip(ta, tb, strict=True)]):
-                s = slice(at, at + len(part))
-                ok, common, proven = verify(ta[s], tb[s], threshold, band)
-                keep = pa.array(np.flatnonzero(ok) + at)
-                cols = [a.take(keep), b.take(keep), pa.array(common[ok].astype(np.int32)), pa.array(proven[ok])]
-                yield pa.RecordBatch.from_arrays(cols, schema=schema)
-
-    return run
-
-
-def identified(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (record_id, text, tid) with an id and a text that is not blank."""
-    return present(df, id_col, text_col).select("record_id", "text", F.xxhash64("text").alias("tid"))
-
-
-def distinct_texts(docs: DataFrame) -> DataFrame:
-    """(tid, text): each text once, merged within a task before it is sent."""
-    return docs.groupBy("tid").agg(F.any_value("text").alias("text"))
-
+    def compare(a: np.ndarray, left: list[str], b: np.ndarray, right: list[str]) -> pa.RecordBatch:
+        ok, common, proven = verify(left, right, threshold, band)
+        cols = [pa.array(a[ok]), pa.array(b[ok]), pa.array(common[ok].astype(np.int32)), pa.array(proven[ok])]
+        return pa.RecordBatch.from_arrays(cols, names=["a", "b", "aligned", "certified"])
 
-def text_members(docs: DataFrame) -> DataFrame:
-    """(tid, record_id): which records have a text; repeated rows once."""
-    return docs.select("tid", "record_id").repartition("tid").dropDuplicates(["tid", "record_id"])
+    return compare
 
 
 def near_duplicate_texts(docs: DataFrame, *, threshold: float = 0.8, sketches: int = SKETCHES, band: int = BAND, hot: int = HOT) -> DataFrame:
     """Pairs (a, b, aligned, certified) of different texts (record_id, text, tid) of a similarity of ``threshold`` or more."""
     spark = docs.sparkSession
     _cluster.ship(spark)
-    texts = distinct_texts(docs)
+    counts, total = triple_counts(docs.select("text"))
+    common = spark.sparkContext.broadcast(counts * float(COMMON) >= max(total, 1))
     buckets = _blocks.bucket_count(docs, sketches / 150)
-    blocks = docs.select("tid", "text").mapInArrow(_sketch(buckets, sketches, hot), "bucket int, kind int, block binary")
+    blocks = docs.select("tid", "text").mapInArrow(_sketch(buckets, sketches, hot, common), "bucket int, kind int, block binary")
     met = _cluster.stored(_blocks.by_bucket(blocks, buckets).mapInArrow(_candidates(threshold, hot), "a long, b long"), "met")
-    pairs = met.where("b is not null")
-    often = met.where("b is null").select(F.col("a").alias("tid")).distinct()
-    if not often.isEmpty():
-        counts = spark.sparkContext.broadcast(triple_counts(docs.select("text")))
-        rare = texts.join(often, "tid").select("tid", "text").mapInArrow(_rare(buckets, counts, threshold), "bucket int, block binary")
-        pairs = pairs.unionByName(_blocks.by_bucket(rare, buckets).mapInArrow(_rare_candidates(threshold), "a long, b long"))
-    left = texts.select(F.col("tid").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("tid").alias("b"), F.col("text").alias("tb"))
-    joined = pairs.distinct().join(left, "a").join(right, "b").select("a", "ta", "b", "tb")
-    return joined.mapInArrow(_verified(threshold, band), "a long, b long, aligned int, certified boolean")
+    slots = _blocks.slots(spark, _texts.bucket_count(docs))
+    texts = _texts.text_blocks(docs, slots)
+    # The texts of which sketches alone do not decide.
+    asked = met.where("b is null").select("a").distinct().mapInArrow(_ids_by_bucket(slots), _texts.KIND)
+    asked = asked.where("bucket is not null").repartition(len(slots), "bucket")
+    rare = texts.unionByName(asked).groupBy("bucket").applyInArrow(_rare(buckets, spark.sparkContext.broadcast(counts), threshold), "bucket int, block binary")
+    more = _blocks.by_bucket(rare, buckets).mapInArrow(_rare_candidates(threshold), "a long, b long")
+    pairs = met.where("b is not null").unionByName(more).distinct()
+    return _texts.compared(texts, pairs, slots, _verified(threshold, band), "a long, b long, aligned int, certified boolean")
 
 
 def near_duplicates(
