@@ -52,9 +52,9 @@ from tidemark.llm._texts import identified, text_members
 from tidemark.llm._textkernel import U64
 
 #: Functions. Each one finds a pair at the threshold of 0.6 with a probability of 0.36, or about half of that where blocks of the text have moved.
-SKETCHES = 48
+SKETCHES = 40
 #: Texts that one sketch may have in common before they are compared by their rarest triples.
-HOT = 8
+HOT = 4
 #: A triple is common that one text in so many holds; a text with a smaller share of other triples is compared by its rarest ones.
 COMMON, UNCOMMON_SHARE = 100, 0.7
 BAND = 8
@@ -307,9 +307,13 @@ def _rare_candidates(threshold: float):
     return run
 
 
-def _in_band(xa: np.ndarray, oa: np.ndarray, weight: np.ndarray, xb: np.ndarray, ob: np.ndarray, band: int) -> np.ndarray:
-    """The greatest weight of matches in order between each pair of sequences, within a band around the diagonal."""
+def _in_band(xa: np.ndarray, oa: np.ndarray, weight: np.ndarray, xb: np.ndarray, ob: np.ndarray, band: int, need: np.ndarray | None = None) -> np.ndarray:
+    """The greatest weight of matches in order between each pair of sequences, within a band around the diagonal.
+
+    Pairs that cannot come to ``need`` any more are given up, with what they have.
+    """
     na, nb = np.diff(oa), np.diff(ob)
+    need = np.zeros(len(na)) if need is None else need
     out = np.zeros(len(na), np.int64)
     shift = np.arange(2 * band + 1) - band
     todo = np.argsort(na, kind="stable")
@@ -318,6 +322,11 @@ def _in_band(xa: np.ndarray, oa: np.ndarray, weight: np.ndarray, xb: np.ndarray,
         p = todo[at : at + 4096]
         best = np.zeros((len(p), len(shift)), np.int32)
         for i in range(int(na[p].max(initial=0))):
+            if i % 4 == 0:
+                most = best.max(axis=1)
+                out[p] = most
+                on = (na[p] > i) & (most + na[p] - i >= need[p])
+                p, best = p[on], best[on]
             # Pairs are sorted by length, so those still running are at the end.
             live = int(np.searchsorted(na[p], i, "right"))
             q = p[live:]
@@ -349,7 +358,7 @@ def align(left: list[str], right: list[str], threshold: float, band: int = BAND)
     # Alignment works on the shorter side row by row.
     flip = np.diff(off)[:n] > np.diff(off)[n:]
     one, two = np.where(flip, np.arange(n) + n, np.arange(n)), np.where(flip, np.arange(n), np.arange(n) + n)
-    common = _in_band(*_gathered(x, off, one), first[_positions(off, one)].astype(np.int32), *_gathered(x, off, two), band)
+    common = _in_band(*_gathered(x, off, one), first[_positions(off, one)].astype(np.int32), *_gathered(x, off, two), band, threshold * (a + b) / (1 + threshold) - 1e-6)
     proven = (common > 0) & (common >= threshold * (a + b - common) - 1e-9)
     rest = np.flatnonzero(~proven)
     if len(rest):
