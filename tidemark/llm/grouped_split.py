@@ -14,10 +14,13 @@ running sum of sizes within their main label, so that each part gets its share
 of every label.
 
 Scale. An entity that more than ``hot`` records name is split into sub-entities
-tied together by a virtual record, so no entity's records meet in one task. A
-round has two exchanges of what is left of the edges; its result is written to
-the shared folder, which cuts the lineage. The driver handles at most
-1 / LARGE_SHARE groups, and (edges / hot) hot entities.
+tied together by a virtual record, so no entity's records meet in one task.
+Least labels are aggregated before they are sent, and joined back; a node in
+which a large component has been contracted, with all of its entities, is a hot
+key of that join only, which adaptive execution may split. A round's result is
+written to the shared folder, which cuts the lineage. The hot entities, at most
+(edges / hot), and the counts of labels stay in tables. The driver handles at
+most 1 / LARGE_SHARE groups.
 
 Defined cases. Values are compared by letters and digits only, case ignored; a
 value without any digit names nobody. Null maps, missing keys and null values
@@ -65,15 +68,14 @@ def named_entities(df: DataFrame, id_col: str, meta_col: str, entities: dict[str
 def _split_hot(edges: DataFrame, hot: int) -> DataFrame:
     """Edges (node, entity) in which no entity has many more than ``hot`` records."""
     counts = edges.groupBy("entity").agg(F.count("*").alias("n")).where(f"n > {hot}")
-    # At most (edges / hot) rows.
-    large = counts.select("entity", F.ceil(F.col("n") / hot).alias("parts")).collect()
+    # At most (edges / hot) rows, written so that their size decides the join.
+    parts = _cluster.stored(counts.select("entity", F.ceil(F.col("n") / hot).cast("long").alias("parts")), "hot")
     plain = edges.select(F.col("rid").alias("node"), "entity")
-    if not large:
+    if parts.isEmpty():
         return plain
-    parts = edges.sparkSession.createDataFrame(large, "entity long, parts long")
     salt = F.pmod(F.xxhash64("node", F.lit("salt")), F.col("parts"))
     sub = F.when(F.col("parts").isNotNull(), F.xxhash64("entity", salt)).otherwise(F.col("entity"))
-    spread = plain.join(F.broadcast(parts), "entity", "left").select("node", sub.alias("entity"))
+    spread = plain.join(parts, "entity", "left").select("node", sub.alias("entity"))
     ties = parts.select("entity", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"))
     ties = ties.select(F.xxhash64("entity", F.lit("virtual")).alias("node"), F.xxhash64("entity", "salt").alias("entity"))
     return spread.unionByName(ties)
@@ -83,12 +85,11 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(node, label) for the nodes of (node, entity) edges that share an entity; connected nodes have equal labels."""
     rounds: list[DataFrame] = []
     while True:
-        # Contracted edges repeat; grouping by entity needs no exchange of its own.
-        distinct = edges.repartition("entity").groupBy("entity", "node").agg(F.lit(1).alias("one"))
-        entity = Window.partitionBy("entity")
-        heard = distinct.select("node", "entity", F.min("node").over(entity).alias("least"), F.max("node").over(entity).alias("most")).where("least != most")
-        labelled = heard.repartition("node").select("node", "entity", F.min("least").over(Window.partitionBy("node")).alias("label"))
-        done = _cluster.stored(labelled, "round")
+        # Every aggregation merges within its tasks first, also the repeats of contracted edges.
+        ends = edges.groupBy("entity").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least != most").select("entity", "least")
+        heard = edges.select("node", "entity").distinct().join(ends, "entity")
+        labels = heard.groupBy("node").agg(F.min("least").alias("label"))
+        done = _cluster.stored(heard.select("node", "entity").join(labels, "node"), "round")
         if done.isEmpty():
             break
         rounds.append(done.select("node", "label"))
@@ -143,24 +144,25 @@ def grouped_split(
     placed = records.join(groups, "record_id", "left").withColumn("group_id", F.coalesce("group_id", "record_id"))
     placed = _cluster.stored(placed.select("record_id", "label", "group_id"), "placed")
     by_label = placed.groupBy("group_id", "label").agg(F.count("*").alias("n"))
-    total = {r["label"]: r["n"] for r in placed.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    everything = sum(total.values())
+    total = placed.groupBy("label").agg(F.count("*").alias("of_label"))
+    everything = placed.count()
     sizes = by_label.groupBy("group_id").agg(F.sum("n").alias("size"), F.max_by("label", F.struct("n", "label")).alias("main"))
     bound = max(1, int(everything * large_share))
-    large = by_label.join(sizes.where(f"size > {bound}").select("group_id", "size"), "group_id").collect()
-    chosen, filled = _assign_large(large, total, parts)
-    small = _assign_small(sizes.where(f"size <= {bound}"), total, filled, parts)
+    large = by_label.join(sizes.where(f"size > {bound}").select("group_id", "size"), "group_id").join(total, "label").collect()
+    chosen, filled = _assign_large(large, everything, parts)
+    small = _assign_small(sizes.where(f"size <= {bound}"), total, everything, filled, parts)
     big = spark.createDataFrame(list(chosen.items()) or [], "group_id string, part string")
     return placed.join(small.unionByName(big), "group_id").select("record_id", "group_id", "part")
 
 
-def _assign_large(rows: list, total: dict[str, int], parts: tuple[tuple[str, float], ...]) -> tuple[dict[str, str], dict[str, dict[str, int]]]:
+def _assign_large(rows: list, everything: int, parts: tuple[tuple[str, float], ...]) -> tuple[dict[str, str], dict[str, dict[str, int]]]:
     """Parts of the large groups, largest first, and how many records of each label each part then has."""
     groups: dict[str, dict[str, int]] = defaultdict(dict)
+    total = {}
     for r in rows:
         groups[r["group_id"]][r["label"]] = r["n"]
+        total[r["label"]] = r["of_label"]
     filled: dict[str, dict[str, int]] = {p: defaultdict(int) for p, _ in parts}
-    everything = sum(total.values())
     chosen = {}
     for g, counts in sorted(groups.items(), key=lambda x: (-sum(x[1].values()), x[0])):
         size = sum(counts.values())
@@ -177,24 +179,27 @@ def _assign_large(rows: list, total: dict[str, int], parts: tuple[tuple[str, flo
     return chosen, filled
 
 
-def _assign_small(sizes: DataFrame, total: dict[str, int], filled: dict[str, dict[str, int]], parts: tuple[tuple[str, float], ...]) -> DataFrame:
+def _cuts(total: DataFrame, filled: dict[str, dict[str, int]], parts: tuple[tuple[str, float], ...]) -> DataFrame:
+    """(main, part, lo, hi): the shares of the small groups of a label that each part takes, by the room it has left."""
+    spark = total.sparkSession
+    listed = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(p).alias("part"), F.lit(s).alias("share")) for i, (p, s) in enumerate(parts)))).alias("p")
+    used = spark.createDataFrame([(label, p, n) for p, have in filled.items() for label, n in have.items()], "label string, part string, used long")
+    room = F.greatest(F.lit(0.0), F.col("share") * F.col("of_label") - F.coalesce("used", F.lit(0)))
+    rows = total.select("label", "of_label", listed).select("label", "of_label", "p.*").join(used, ["label", "part"], "left").withColumn("room", room)
+    order = Window.partitionBy("label")
+    upto = F.sum("room").over(order.orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    whole = F.sum("room").over(order)
+    scaled = lambda x: F.when(whole > 0, x / whole).otherwise(0.0)
+    return rows.select(F.col("label").alias("main"), "part", scaled(upto - F.col("room")).alias("lo"), F.when(F.col("i") == len(parts) - 1, 2.0).otherwise(scaled(upto)).alias("hi"))
+
+
+def _assign_small(sizes: DataFrame, total: DataFrame, everything: int, filled: dict[str, dict[str, int]], parts: tuple[tuple[str, float], ...]) -> DataFrame:
     """Parts of the small groups: within each main label by the running share of sizes in a hashed order.
 
     The running sum is taken within (label, slice of the hash), a bounded number
     of rows at a time; every slice is cut at the same shares.
     """
-    spark = sizes.sparkSession
-    cuts = []
-    for label, n in total.items():
-        room = [max(0.0, share * n - filled[p].get(label, 0)) for p, share in parts]
-        whole = sum(room) or 1.0
-        at = 0.0
-        for (p, _), r in zip(parts, room, strict=True):
-            cuts.append((label, p, at / whole, (at + r) / whole))
-            at += r
-    # One row for each label and part.
-    cuts_df = spark.createDataFrame(cuts, "main string, part string, lo double, hi double")
-    slices = max(1, sum(total.values()) // 2_000_000)
+    slices = max(1, everything // 2_000_000)
     h = F.xxhash64("group_id", F.lit("order"))
     order = Window.partitionBy("main", "slice").orderBy("h", "group_id")
     running = (
@@ -204,4 +209,4 @@ def _assign_small(sizes: DataFrame, total: dict[str, int], filled: dict[str, dic
         .withColumn("of", F.sum("size").over(Window.partitionBy("main", "slice")))
         .withColumn("at", (F.col("upto") - F.col("size") / 2) / F.col("of"))
     )
-    return running.join(F.broadcast(cuts_df), "main").where("at >= lo and at < hi").select("group_id", "part")
+    return running.join(_cuts(total, filled, parts), "main").where("at >= lo and at < hi").select("group_id", "part")
