@@ -7,11 +7,12 @@ joined letters, hyphens, spaces of one line, and look-alike letters of Latin,
 Greek and Cyrillic. Case, accents, raised and lowered characters, line breaks
 and tabs are kept. Texts with equal skeletons look the same.
 
-Scale. The skeleton is computed batch by batch on distinct characters (only
-texts outside ASCII need more than a look-up). Grouping needs one shuffle of a
-128-bit digest of the skeleton and a digest of the text, never of the text.
-Equal texts are merged before groups are formed; pairs are made of the members
-of different texts of a group.
+Scale. Only stretches outside ASCII, each with the character before it, are
+decomposed and replaced; a task remembers the form of those it has met. An
+ASCII character never joins with what stands before it, so the stretches are
+independent of each other. Texts are read once: what is grouped is a table of
+ids with a 128-bit digest of the skeleton and one of the text. Pairs are made
+of the members of different texts of a group.
 
 Defined cases. The skeleton of a null text is null, of an empty text empty.
 Null, empty and blank texts look like nothing in the pairs, and neither do
@@ -22,6 +23,7 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -71,12 +73,34 @@ def look_alikes() -> dict[int, str | None]:
     return {k: v if v is None else "".join(table.get(ord(x), x) or "" for x in v) for k, v in table.items()}
 
 
+#: Stretches that need more than a copy, and how many of them a task remembers.
+_STRETCH = re.compile(r"[\x00-\x7f]?[^\x00-\x7f]+")
+_REMEMBERED = 100_000
+_known: dict[str, str] = {}
+
+
+def _form(stretch: str) -> str:
+    once = unicodedata.normalize("NFD", stretch).translate(look_alikes())
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", once).translate(look_alikes()))
+
+
+def _remembered(match: re.Match) -> str:
+    stretch = match[0]
+    form = _known.get(stretch)
+    if form is None:
+        if len(_known) >= _REMEMBERED:
+            _known.clear()
+        form = _form(stretch)
+        if len(stretch) <= 100:
+            _known[stretch] = form
+    return form
+
+
 def skeleton(text: str | None) -> str | None:
     """The one form of all texts that look like ``text``."""
     if text is None or text.isascii():
         return text
-    once = unicodedata.normalize("NFD", text).translate(look_alikes())
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", once).translate(look_alikes()))
+    return _STRETCH.sub(_remembered, text)
 
 
 def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,15 +113,11 @@ def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1).to_pylist()
-        forms = [skeleton(t) for t in texts]
-        yield pa.RecordBatch.from_arrays(
-            [
-                ids,
-                pa.array([_digest(f) if f.strip() else None for f in forms], pa.binary()),
-                pa.array([_digest(t) for t in texts], pa.binary()),
-            ],
-            names=["id", "look", "made"],
-        )
+        made, look = [_digest(t) for t in texts], []
+        for t, d in zip(texts, made, strict=True):
+            form = skeleton(t)
+            look.append(d if form == t else _digest(form) if form.strip() else None)
+        yield pa.RecordBatch.from_arrays([ids, pa.array(look, pa.binary()), pa.array(made, pa.binary())], names=["id", "look", "made"])
 
 
 def _digest(text: str) -> bytes:
@@ -117,7 +137,7 @@ def look_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     _cluster.ship(df.sparkSession)
     kind = dict(df.dtypes)[id_col]
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("text").rlike(r"\S"))
-    made = docs.mapInArrow(_digests, f"id {kind}, look binary, made binary").where("look is not null").distinct()
+    made = _cluster.stored(docs.mapInArrow(_digests, f"id {kind}, look binary, made binary").where("look is not null").distinct(), "looks")
     several = made.groupBy("look").agg(F.min("made").alias("lo"), F.max("made").alias("hi")).where("lo != hi").select("look")
     return made.join(several, "look")
 
