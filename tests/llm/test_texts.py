@@ -39,15 +39,40 @@ def test_spans_of_an_empty_table(spark):
     assert spans_of(spark, [("a", "short")]) == []
 
 
-def test_later_batches_meet_earlier_runs(spark):
+def test_hot_anchors_are_counted_by_window(spark):
+    rows = passages(5)
+    assert spans_of(spark, rows, hot=2) == brute.spans(set(rows), 100)
+
+
+def test_batches_meet_history_in_a_later_session(spark, tmp_path):
     rows = [(r, t) for r, t in dict(passages(8)).items() if t and t.strip() and len(t) >= 100]
-    df = spark.createDataFrame(rows, "record_id string, text string").withColumn("tid", F.xxhash64("text"))
-    index = span_index.SpanIndex(spark, length=100, fanout=2)
-    index.add(df.where("record_id < 'r020'"))
-    alone = {r["tid"] for r in index.spans(df).collect()}
-    index.add(df.where("record_id >= 'r020'"))
-    assert len(index.runs) == 1 and index.runs[0][0] == 1
-    assert alone < {r["tid"] for r in index.spans(df).collect()}
+    rows = list({t: r for r, t in rows}.items())  # (text, id): each text once
+    df = spark.createDataFrame(rows, "text string, record_id string").withColumn("tid", F.xxhash64("text"))
+    folder = f"file://{tmp_path}/index"
+    cut = [df.where("record_id < 'r010'"), df.where("record_id between 'r010' and 'r024'"), df.where("record_id > 'r024'")]
+    ids = {r["tid"]: r["record_id"] for r in df.collect()}
+
+    def found(index):
+        return sorted((ids[r["tid"]], r["start"], r["end"]) for r in index.spans().collect())
+
+    index = span_index.SpanIndex(spark, folder=folder, length=100, fanout=2, buckets=4)
+    index.add(cut[0])
+    assert found(index) == brute.spans({(r, t) for t, r in rows if r < "r010"}, 100)
+    index.add(cut[1])
+    assert index.compactions == 1 and [r["level"] for r in index.list["runs"]] == [1]
+    # Another session knows the folder only, and gets the new texts only.
+    later = span_index.SpanIndex(spark, folder=folder, length=100, fanout=2)
+    later.add(cut[2])
+    assert found(later) == brute.spans({(r, t) for t, r in rows}, 100)
+    assert [r["level"] for r in later.list["runs"]] == [1, 0]
+    # With more buckets, and texts that come again, nothing changes.
+    later._split(9)
+    later.add(cut[0])
+    assert found(later) == brute.spans({(r, t) for t, r in rows}, 100) and later.compactions == 2
+    kept = {p.name for p in tmp_path.joinpath("index").iterdir() if p.is_dir() and any(p.rglob("*.parquet"))}
+    assert len(kept) == len(later.list["runs"]) + len(later.list["texts"]) + len(later.list["spans"])
+    with pytest.raises(ValueError, match="characters"):
+        span_index.SpanIndex(spark, folder=folder, length=50)
 
 
 def test_share_of_each_record(spark):
@@ -222,6 +247,13 @@ def test_skeleton_is_a_fixpoint(text):
     assert skeleton.skeleton(once) == once
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["e", "a", " ", "\u0301", "\u200d", "\u0435", "\ufb01", "\uff21", "\u212b", "\u1100", "\u1161", "\u00e9", "\u0327", "x", "\n"]), max_size=12))
+def test_stretches_are_independent(parts):
+    text = "".join(parts)
+    assert skeleton.skeleton(text) == skeleton._form(text)
+
+
 def test_same_look(spark):
     rows = [(1, "fix it"), (2, "ﬁx it"), (3, "fix it"), (4, "fix​ it"), (5, None), (6, ""), (7, "​"), (8, "‌"), (2, "ﬁx it"), (9, "Fix it")]
     df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, look string, id string")

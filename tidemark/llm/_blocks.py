@@ -133,11 +133,14 @@ def input_bytes(df: DataFrame) -> int:
     return size if size < _UNKNOWN else 0
 
 
-def bucket_count(df: DataFrame, entries_per_byte: float) -> int:
-    """Buckets so that each holds about PER_BUCKET entries, and no fewer than the shuffle partitions."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+def least_buckets(spark: SparkSession) -> int:
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 4096)
+
+
+def bucket_count(df: DataFrame, entries_per_byte: float, least: int | None = None) -> int:
+    """Buckets so that each holds about PER_BUCKET entries, and no fewer than ``least`` (the shuffle partitions)."""
     need = int(input_bytes(df) * entries_per_byte / PER_BUCKET) + 1
-    return max(min(least, 4096), need)
+    return max(least_buckets(df.sparkSession) if least is None else least, need)
 
 
 def slots(spark: SparkSession, buckets: int) -> list[int]:

@@ -47,10 +47,9 @@ def text_members(docs: DataFrame) -> DataFrame:
     return docs.select("tid", "record_id").repartition("tid").dropDuplicates(["tid", "record_id"])
 
 
-def bucket_count(docs: DataFrame) -> int:
+def bucket_count(docs: DataFrame, least: int | None = None) -> int:
     """Buckets of texts, so that one bucket's texts fit into a task."""
-    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(min(least, 4096), _blocks.input_bytes(docs) // BUCKET_BYTES + 1)
+    return max(_blocks.least_buckets(docs.sparkSession) if least is None else least, _blocks.input_bytes(docs) // BUCKET_BYTES + 1)
 
 
 def tids(column: pa.Array) -> np.ndarray:
@@ -123,7 +122,7 @@ def _by_bucket(held: dict[int, str], slots: list[int]) -> Iterator[tuple[int, in
 def text_blocks(docs: DataFrame, slots: list[int]) -> DataFrame:
     """(bucket, kind, block): the distinct texts of (tid, text) rows, each bucket in a partition of its own."""
     blocks = docs.select("tid", "text").mapInArrow(packed(slots), KIND)
-    return blocks.where("bucket is not null").repartition(len(slots), "bucket")
+    return blocks.repartition(len(slots), "bucket")
 
 
 def by_kind(batches: Iterator[pa.RecordBatch]) -> dict[int, list[bytes]]:
@@ -212,7 +211,7 @@ def _at_right(compare: Callable):
 def compared(texts: DataFrame, pairs: DataFrame, slots: list[int], compare: Callable, schema: str) -> DataFrame:
     """``compare(a, texts of a, b, texts of b) -> RecordBatch`` over pairs (a, b) of texts; ``texts`` as of :func:`text_blocks`."""
     n = len(slots)
-    asked = pairs.select("a", "b").mapInArrow(_route(slots), KIND).where("bucket is not null").repartition(n, "bucket")
+    asked = pairs.select("a", "b").mapInArrow(_route(slots), KIND).repartition(n, "bucket")
     left = texts.unionByName(asked).groupBy("bucket").applyInArrow(_at_left(slots), KIND)
-    left = left.where("bucket is not null").repartition(n, "bucket")
+    left = left.repartition(n, "bucket")
     return texts.unionByName(left).groupBy("bucket").applyInArrow(_at_right(compare), schema)

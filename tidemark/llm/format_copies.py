@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import _cluster
 from tidemark.llm import _textkernel as tk
 from tidemark.llm.grouped_split import components
-from tidemark.llm.order_minhash import present
+from tidemark.llm._texts import present
 
 #: The field names of this project's write-ups; a parameter of the operator.
 FIELDS = ("defect", "action", "removed", "fitted", "station", "order", "found by", "stock", "remark", "note")
