@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import brute
 from tidemark.llm import _blocks, order_minhash, split_overlap
@@ -151,6 +152,28 @@ def test_evaluation_ids_with_equal_low_bits(spark):
     assert {(r["eval_id"], r["train_id"]) for r in got} == brute.overlaps(rows, part, 0.7) == {(leaked, "t1")}
 
 
+def test_rarity_keeps_frequent_triples_apart():
+    count = np.array([0, 1, 2, 3, 10, 255, 300, 10**6, 10**9])
+    assert (np.diff(split_overlap.rarity(count).astype(int)) > 0).all() and split_overlap.rarity(np.array([10**12]))[0] == 255
+
+
+def test_copies_overlap_by_every_id(spark):
+    text = "one text that stands in training and in evaluation many times over"
+    rows = [(f"r{i:02d}", text if i % 3 else f"a{i} b{i} c{i} d{i}") for i in range(30)]
+    part = {r: ["train", "dev", "test"][i // 2 % 3] for i, (r, _) in enumerate(rows)}
+    both = [*part.items(), ("r01", "dev")]
+    members = spark.createDataFrame(both, "record_id string, part string")
+    got = {(r["eval_id"], r["train_id"]) for r in split_overlap.cross_split_overlaps(frame(spark, rows), members, threshold=0.7).collect()}
+    want = {(a, b) for a, p in both if p != "train" for b, q in both if q == "train" and a != b and dict(rows)[a] == dict(rows)[b]}
+    assert got == want
+
+
+def test_blocks_have_partitions_of_their_own(spark):
+    slots = _blocks.slots(spark, 97)
+    df = spark.createDataFrame([(x,) for x in slots], "bucket int").repartition(97, "bucket")
+    assert df.mapInArrow(lambda bs: (b for b in bs if len(b)), "bucket int").groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.count("*")).first() == (1, 97)
+
+
 def test_overlap_report(spark):
     records = spark.createDataFrame([("a", "s1"), ("b", None), ("c", "s1")], "record_id string, source string")
     members = spark.createDataFrame([("a", "dev"), ("a", "dev"), ("b", "test"), ("c", "train")], "record_id string, part string")
