@@ -202,10 +202,28 @@ def test_token_ids_equal_the_public_encoder(spark):
     public = tiktoken.Encoding("own", pat_str=token_ids.PATTERN, mergeable_ranks=ranks, special_tokens={})
     got = {r["doc_id"]: r["ids"] for r in token_ids.token_ids(df).collect()}
     assert got == {i: public.encode_ordinary(t or "") for i, t in enumerate(texts)}
-    assert all(token_ids.decode(got[i], ranks) == t for i, t in enumerate(texts) if t)
+    back = token_ids.decoded(token_ids.token_ids(df))
+    assert {r["doc_id"]: r["text"] for r in back.collect()} == {i: t or "" for i, t in enumerate(texts)}
     assert token_ids.token_ids(df.where("doc_id < 0")).count() == 0
 
 
+@pytest.mark.skipif(not Path(token_ids.VOCABULARY).exists(), reason="needs the public vocabulary files")
+def test_words_of_any_length_take_one_way():
+    import tiktoken
+
+    rng = random.Random(3)
+    ranks = token_ids.read_vocabulary(token_ids.VOCABULARY)
+    public = tiktoken.Encoding("own", pat_str=token_ids.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    encoder = token_ids.WordEncoder(*token_ids.merge_table(ranks), list(ranks))
+    # Letters at random, periods of every kind, words run together, bytes outside ASCII.
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=100_000)), "a" * 100_001, "=-" * 30_000, "abcabcd" * 5_000, "漢字é" * 3_000]
+    tokens = [t.decode() for t in list(ranks)[300:30_000] if t.isalpha()]
+    words += ["".join(rng.choices(tokens, k=2_000))] + ["".join(rng.choices("ab", k=rng.randrange(1, 60))) for _ in range(2_000)]
+    words += ["".join(rng.choices(tokens, k=3)) for _ in range(3_000)] + ["".join(rng.choices("0123456789", k=rng.randrange(1, 12))) for _ in range(1_000)]
+    for got, word in zip(encoder.encode(words), words, strict=True):
+        assert got == public.encode_ordinary(word)
+
+
 def test_packing_is_whole_and_tight(spark):
     rng = random.Random(1)
     sizes = [0, None, 100, 101, 250, *(rng.randrange(1, 60) for _ in range(2000))]
