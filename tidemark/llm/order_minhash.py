@@ -409,7 +409,7 @@ def near_duplicate_texts(docs: DataFrame, *, threshold: float = 0.8, sketches: i
     texts = _texts.text_blocks(docs, slots)
     # The texts of which sketches alone do not decide.
     asked = met.where("b is null").select("a").distinct().mapInArrow(_ids_by_bucket(slots), _texts.KIND)
-    asked = asked.where("bucket is not null").repartition(len(slots), "bucket")
+    asked = asked.repartition(len(slots), "bucket")
     rare = texts.unionByName(asked).groupBy("bucket").applyInArrow(_rare(buckets, spark.sparkContext.broadcast(counts), threshold), "bucket int, block binary")
     more = _blocks.by_bucket(rare, buckets).mapInArrow(_rare_candidates(threshold), "a long, b long")
     pairs = met.where("b is not null").unionByName(more).distinct()
