@@ -9,8 +9,10 @@ item is split. When a task ends, its open containers are left over; leftovers
 are merged in further rounds of ever fewer tasks by the same rule, each as one
 item of its fill.
 
-Scale. Items stay where they are: there is no shuffle but that of leftovers,
-at most ``windows`` of each task and capacity; a round takes the leftovers of
+Scale. Items stay where they are. A task keeps the placements of its open
+containers, at most ``windows`` for a capacity, until they are closed; only
+those still open at its end are marked and meet the later rounds, so all other
+placements are never shuffled or joined. A round takes the leftovers of
 ``FAN_IN`` tasks, so no task ever sees more than FAN_IN * windows of them for a
 capacity.
 
@@ -24,6 +26,7 @@ Other columns are ignored, whatever their names.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
 
@@ -44,26 +47,25 @@ class Windows:
         self.capacity, self.limit, self.names = capacity, limit, names
         self.open: list[tuple[int, str]] = []  # (room, name), sorted
 
-    def place(self, size: int) -> tuple[str, tuple[str, int] | None]:
-        """The container of an item, and the container (name, fill) that was closed for it, if any."""
-        closed = None
+    def place(self, size: int) -> tuple[str, list[str]]:
+        """The container of an item, and the containers that are closed now."""
+        closed = []
         i = bisect_left(self.open, (size, ""))
         if i < len(self.open):
             room, name = self.open.pop(i)
         else:
             if len(self.open) >= self.limit:
-                room, name = self.open.pop(0)
-                closed = (name, self.capacity - room)
+                closed.append(self.open.pop(0)[1])
             room, name = self.capacity, next(self.names)
         if room > size:
             insort(self.open, (room - size, name))
         else:
-            closed = closed or (name, self.capacity)
+            closed.append(name)
         return name, closed
 
 
 _ITEM = pa.schema(
-    [("capacity", pa.int64()), ("container", pa.string()), ("item", pa.int64()), ("token_start", pa.int64()), ("token_end", pa.int64()), ("fill", pa.int64())]
+    [("capacity", pa.int64()), ("container", pa.string()), ("item", pa.int64()), ("token_start", pa.int64()), ("token_end", pa.int64()), ("fill", pa.int64()), ("left", pa.bool_())]
 )
 
 
@@ -80,11 +82,12 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _pack(capacities: list[int], windows: int):
-    """Placements of the items, and one row without an item for each container left open, with its fill."""
+    """Placements of the items, those of containers left open marked, and one row without an item for each of these, with its fill."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = _names("a")
         state = [Windows(c, windows, names) for c in capacities]
+        held: dict[str, list[tuple]] = defaultdict(list)
         for batch in batches:
             items, sizes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo in range(0, len(items), 2000):
@@ -93,12 +96,18 @@ def _pack(capacities: list[int], windows: int):
                     for w in state:
                         at = 0
                         while size - at >= w.capacity and size > w.capacity:
-                            rows.append((w.capacity, next(names), item, at, at + w.capacity, None))
+                            rows.append((w.capacity, next(names), item, at, at + w.capacity, None, False))
                             at += w.capacity
                         if size > at:
-                            rows.append((w.capacity, w.place(size - at)[0], item, at, size, None))
+                            name, closed = w.place(size - at)
+                            held[name].append((w.capacity, name, item, at, size, None, False))
+                            for c in closed:
+                                rows += held.pop(c)
                 yield _batch(rows, _ITEM)
-        yield _batch([(w.capacity, name, None, None, None, w.capacity - room) for w in state for room, name in w.open], _ITEM)
+        for w in state:
+            for room, name in w.open:
+                marked = [(*row[:6], True) for row in held[name]]
+                yield _batch([*marked, (w.capacity, name, None, None, None, w.capacity - room, True)], _ITEM)
 
     return run
 
@@ -133,10 +142,11 @@ def pack(items: DataFrame, capacities: list[int], *, id_col: str, size_col: str,
     capacities = sorted(set(capacities))
     sized = items.select(F.col(id_col).cast("long").alias("item"), F.col(size_col).cast("long").alias("size")).where("size > 0 and item is not null")
     placed = _cluster.stored(
-        sized.mapInArrow(_pack(capacities, windows), "capacity long, container string, item long, token_start long, token_end long, fill long"),
+        sized.mapInArrow(_pack(capacities, windows), "capacity long, container string, item long, token_start long, token_end long, fill long, left boolean"),
         "placed",
     )
-    result = placed.where("item is not null").drop("fill")
+    whole = placed.where("not left").drop("fill", "left")
+    result = placed.where("left and item is not null").drop("fill", "left")
     left = placed.where("item is null").select("capacity", "container", "fill")
     tasks = max(1, placed.rdd.getNumPartitions())
     stage = 0
@@ -154,7 +164,7 @@ def pack(items: DataFrame, capacities: list[int], *, id_col: str, size_col: str,
             .select("capacity", "container", "item", "token_start", "token_end")
         )
         if tasks == 1:
-            return result
+            return whole.unionByName(result)
         left = moved.where("container is null").select("capacity", F.col("into").alias("container"), "fill")
 
 
