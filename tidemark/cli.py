@@ -158,9 +158,10 @@ def _contamination(spark: SparkSession, parts: dict[str, DataFrame], args: argpa
         cal = _row(contamination.calibrate(parts["train"], null, quantile=settings.gate.quantile, width=args.ngram_width, drop_shared=args.drop_shared))
         _say("calibrated:", cal)
         threshold, calibrated = cal["threshold"], True
-    main = contamination.containment(parts[args.on], contamination.build_index(parts["train"], args.ngram_width), args.ngram_width)
-    short_width = min(contamination.SHORT_WIDTH, args.ngram_width)
-    short = contamination.containment(parts[args.on], contamination.build_index(parts["train"], short_width), short_width)
+    short_width, rows = min(contamination.SHORT_WIDTH, args.ngram_width), parts[args.on]
+    asked = contamination.asked_keys((rows, args.ngram_width), (rows, short_width))
+    index = contamination.build_index(parts["train"], args.ngram_width, short_width, only=asked)
+    main, short = contamination.containment(rows, index, args.ngram_width), contamination.containment(rows, index, short_width)
     return contamination.report(main, short, threshold, calibrated)
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tidemark.errors import TokenizerError
 from tidemark.functions import text as tx
+from tidemark.operators.lineage import ship
 from tidemark.operators.stats import word_frequencies
 
 # Fixed values of the format.
@@ -122,31 +123,53 @@ def train_words(counts: dict[str, int], vocab_size: int = 4096) -> Tokenizer:
     while heap and len(merges) < budget:
         negative, key = heapq.heappop(heap)
         pair = key.pair
-        if pairs[pair] != -negative:
+        if pairs.get(pair, 0) != -negative:
             continue
         if -negative < 2:
             break
         merges.append(pair)
-        changed: set[tuple[str, str]] = set()
+        change: Counter = Counter()
         for i in where.pop(pair):
             s, n = words[i]
-            for p in zip(s, s[1:], strict=False):
-                pairs[p] -= n
-                changed.add(p)
-            s[:] = _joined(s, pair)
-            for p in zip(s, s[1:], strict=False):
+            _merge_in(s, n, pair, change, where, i)
+        del pairs[pair]
+        change.pop(pair, None)
+        for p, n in change.items():
+            if n:
                 pairs[p] += n
-                where[p].add(i)
-                changed.add(p)
-        for p in changed:
-            if p != pair and pairs[p] > 0:
-                heapq.heappush(heap, (-pairs[p], _Greatest(p)))
+                if pairs[p] > 0:
+                    heapq.heappush(heap, (-pairs[p], _Greatest(p)))
     vocab = {PAD: 0, UNK: 1}
     for t in [*alphabet, *(a + b for a, b in merges)]:
         vocab.setdefault(t, len(vocab))
     return Tokenizer(merges, vocab)
 
 
+def _merge_in(symbols: list[str], n: int, pair: tuple[str, str], change: Counter, where: dict[tuple[str, str], set[int]], word: int) -> None:
+    """Merge a pair in a word, and note how the counts of the pairs beside it change."""
+    a, b = pair
+    out: list[str] = []
+    i, size = 0, len(symbols)
+    while i < size:
+        if i + 1 < size and symbols[i] == a and symbols[i + 1] == b:
+            joined = a + b
+            if out:
+                change[out[-1], a] -= n
+                change[out[-1], joined] += n
+                where[out[-1], joined].add(word)
+            if i + 2 < size:
+                after = symbols[i + 2]
+                change[b, after] -= n
+                change[joined, after] += n
+                where[joined, after].add(word)
+            out.append(joined)
+            i += 2
+        else:
+            out.append(symbols[i])
+            i += 1
+    symbols[:] = out
+
+
 class _Greatest:
     """Orders pairs the other way round in a heap."""
 
@@ -173,10 +196,41 @@ def _joined(symbols: list[str], pair: tuple[str, str]) -> list[str]:
 
 def train(records: DataFrame, *, vocab_size: int = 4096, max_words: int = 5_000_000) -> Tokenizer:
     """A tokenizer of the records' texts."""
-    counts = word_frequencies(records.select(tx.nfc(F.col("text")).alias("text")))
-    if counts.limit(max_words + 1).count() > max_words:
+    return train_words(_counted(records, max_words), vocab_size)
+
+
+def _counted(records: DataFrame, max_words: int) -> dict[str, int]:
+    """Words and their counts, gathered once; at most ``max_words`` come to the driver."""
+    counts = word_frequencies(records.select(tx.nfc(F.col("text")).alias("text"))).limit(max_words + 1).toPandas()
+    if len(counts) > max_words:
         raise TokenizerError(f"there are more than {max_words} distinct words", "raise max_words, or train on a part of the corpus")
-    return train_words(dict(counts.toPandas().itertuples(index=False, name=None)), vocab_size)
+    return dict(zip(counts["word"], counts["n"].tolist(), strict=True))
+
+
+@dataclass(frozen=True)
+class TrainingReport:
+    """What a training run was made of."""
+
+    vocab: int
+    merges: int
+    distinct_words: int
+    words: int
+    alphabet: int
+    unfilled: int
+
+    def as_dict(self) -> dict[str, int]:
+        return dict(self.__dict__)
+
+    def summary(self) -> str:
+        short = f", {self.unfilled} places left unfilled" if self.unfilled else ""
+        return f"{self.vocab} tokens: {self.alphabet} single ones and {self.merges} merges, from {self.words} words ({self.distinct_words} distinct){short}"
+
+
+def train_with_report(records: DataFrame, *, vocab_size: int = 4096, max_words: int = 5_000_000) -> tuple[Tokenizer, TrainingReport]:
+    counts = _counted(records, max_words)
+    tok = train_words(counts, vocab_size)
+    alphabet = len({*BYTE_TOKENS, END, *(c for w in counts for c in w)})
+    return tok, TrainingReport(len(tok.vocab), len(tok.merges), len(counts), sum(counts.values()), alphabet, vocab_size - len(tok.vocab))
 
 
 def first_pair(records: DataFrame) -> DataFrame:
@@ -189,6 +243,7 @@ def first_pair(records: DataFrame) -> DataFrame:
 
 def encode(records: DataFrame, tokenizer: Tokenizer, id_col: str = "record_id") -> DataFrame:
     """(record_id, ids) of every record; a null text has no ids."""
+    ship(records.sparkSession)
     spread = records.sparkSession.sparkContext.broadcast(tokenizer)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

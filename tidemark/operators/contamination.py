@@ -1,17 +1,21 @@
 """N-gram containment of evaluation records in the training side, calibration, report and gate.
 
-Grams are joined by 128 bits that stand for them. The training side is reduced
-to distinct grams before the join; a record's score is an aggregation, so no
-set of grams is ever held in one place.
+Grams are joined by 128 bits that stand for them. Of the training side only the
+grams that the evaluation side has are indexed: where that side is small, its
+grams are broadcast and the others never leave their task. A record's score is
+an aggregation, so no set of grams is ever held in one place.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.errors import ContaminationError
 from tidemark.functions import text as tx
+from tidemark.operators.lineage import cut
 from tidemark.operators.stats import nearest_rank
 
 WIDTH, SHORT_WIDTH, THRESHOLD = 13, 8, 0.5
@@ -23,10 +27,17 @@ def gram_rows(records: DataFrame, width: int) -> DataFrame:
     return listed.select("record_id", tx.gram_key(F.col("gram")).alias("key")).distinct()
 
 
-def build_index(records: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Distinct keys of the n-grams of the training side."""
-    listed = records.select(F.explode(tx.windows(tx.words(tx.normalise(F.col("text"))), width)).alias("gram"))
-    return listed.select(tx.gram_key(F.col("gram")).alias("key")).distinct()
+def build_index(records: DataFrame, *widths: int, only: DataFrame | None = None) -> DataFrame:
+    """Distinct keys of the n-grams of the training side, of all ``widths`` in one pass; with ``only``, of those keys alone."""
+    words = records.select(tx.words(tx.normalise(F.col("text"))).alias("w"))
+    grams = F.concat(*(tx.windows(F.col("w"), n) for n in widths or (WIDTH,)))
+    keys = words.select(F.explode(grams).alias("gram")).select(tx.gram_key(F.col("gram")).alias("key"))
+    return (keys if only is None else keys.join(only, "key", "left_semi")).distinct()
+
+
+def asked_keys(*sides: tuple[DataFrame, int]) -> DataFrame:
+    """Distinct keys of the n-grams of evaluation sides (records, width)."""
+    return reduce(DataFrame.unionByName, (gram_rows(r, w).select("key") for r, w in sides)).distinct()
 
 
 def containment(evaluate: DataFrame, index: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -50,18 +61,20 @@ def shared_with(null: DataFrame, train: DataFrame) -> DataFrame:
     return null.withColumn("fp", fp).join(train.select(fp), "fp", "left_semi").drop("fp")
 
 
-def calibrate(train: DataFrame, null: DataFrame, *, quantile: float = 0.999, width: int = WIDTH, drop_shared: bool = False) -> DataFrame:
+def calibrate(train: DataFrame, null: DataFrame, *, quantile: float = 0.999, width: int = WIDTH, drop_shared: bool = False, index: DataFrame | None = None) -> DataFrame:
     """One row: the threshold that a share ``quantile`` of a disjoint corpus stays below, and what it was measured on."""
     if not 0 < quantile < 1:
         raise ContaminationError(f"a quantile of {quantile} is not between 0 and 1", "give a share such as 0.999")
-    shared = shared_with(null, train)
+    shared = cut(shared_with(null, train).select("record_id"))
     dropped = shared.count()
     if dropped and not drop_shared:
         raise ContaminationError(f"{dropped} records of the null corpus are in the training side", "drop them, or give a disjoint corpus")
-    rest = null.join(shared.select("record_id"), "record_id", "left_anti") if dropped else null
+    rest = null.join(shared, "record_id", "left_anti") if dropped else null
     if dropped and rest.isEmpty():
         raise ContaminationError("every record of the null corpus is in the training side", "give a disjoint corpus")
-    scores = containment(rest, build_index(train, width), width)
+    if index is None:
+        index = build_index(train, width, only=asked_keys((rest, width)))
+    scores = containment(rest, index, width)
     level = nearest_rank(scores, "containment", quantile, "threshold").withColumn("k", F.lit(1))
     # One row meets all scores.
     joined = scores.withColumn("k", F.lit(1)).join(F.broadcast(level), "k", "left")
@@ -81,17 +94,24 @@ def hits(scores: DataFrame, threshold: float) -> DataFrame:
     return scores.where(F.col("containment") >= threshold)
 
 
-def report(scores: DataFrame, short_scores: DataFrame, threshold: float, calibrated: bool) -> DataFrame:
-    """One row: how many records could be checked, how many are hits, at both widths."""
-    c = F.col("containment")
-    main = scores.agg(F.count("*").alias("total"), F.count("containment").alias("evaluated"), F.count_if(c >= threshold).alias("hits"))
-    short = short_scores.agg(F.count_if(c >= threshold).alias("short_hits"))
+def report(scores: DataFrame, short_scores: DataFrame, threshold: float | DataFrame, calibrated: bool) -> DataFrame:
+    """One row: how many records could be checked, how many are hits, at both widths.
+
+    The threshold is a number or the one row of a calibration.
+    """
+    given = isinstance(threshold, DataFrame)
+    level = threshold.select(F.col("threshold").cast("double").alias("t"), F.lit(1).alias("k")) if given else None
+    # One row meets all scores.
+    at = lambda rows: rows.withColumn("k", F.lit(1)).join(F.broadcast(level), "k") if given else rows.withColumn("t", F.lit(float(threshold)))
+    hit = F.count_if(F.col("containment") >= F.col("t"))
+    main = at(scores).agg(F.count("*").alias("total"), F.count("containment").alias("evaluated"), hit.alias("hits"), F.max("t").alias("threshold"))
+    short = at(short_scores).agg(hit.alias("short_hits"))
     one = main.withColumn("k", F.lit(1)).join(short.withColumn("k", F.lit(1)), "k")
     return one.select(
         "total", "evaluated", "hits", "short_hits",
         F.when(F.col("total") > 0, F.col("evaluated") / F.col("total")).otherwise(0.0).alias("coverage"),
         F.when(F.col("evaluated") > 0, F.col("hits") / F.col("evaluated")).otherwise(0.0).alias("rate"),
-        F.lit(float(threshold)).alias("threshold"),
+        "threshold",
         F.lit(calibrated).alias("calibrated"),
     )
 

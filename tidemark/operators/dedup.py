@@ -7,19 +7,19 @@ by their form, without being compared.
 
 from __future__ import annotations
 
-from hashlib import blake2b
+from collections.abc import Iterator
+from functools import lru_cache
+from hashlib import md5
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 from tidemark.errors import CorpusError
 from tidemark.functions import text as tx
 from tidemark.operators.components import connected_components
-from tidemark.operators.lineage import cut
+from tidemark.operators.lineage import cut, ship
 
 PERMUTATIONS, BANDS, ROWS = 128, 32, 4
 THRESHOLD = 0.6
@@ -43,32 +43,55 @@ def multiply(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _reduce(_reduce(high + mid) + _reduce(al * bl))
 
 
+def sixty_bits(text: str) -> int:
+    """The first 15 hexadecimal digits of the MD5 of a text, as a number below the prime."""
+    return int(md5(text.encode()).hexdigest()[:15], 16)  # noqa: S324 - a hash, not a secret
+
+
+@lru_cache(maxsize=4)
 def hash_family(n: int = PERMUTATIONS) -> tuple[np.ndarray, np.ndarray]:
     """Coefficients of n affine maps modulo the prime, the same in every process."""
-    p = int(PRIME)
-    raw = [blake2b(f"map {i}".encode(), digest_size=32).digest() for i in range(n)]
-    a = np.array([1 + int.from_bytes(r[:16], "big") % (p - 1) for r in raw], np.uint64)
-    b = np.array([int.from_bytes(r[16:], "big") % p for r in raw], np.uint64)
-    return a, b
+    return np.array([1 + sixty_bits(f"a{i}") for i in range(n)], np.uint64), np.array([sixty_bits(f"b{i}") for i in range(n)], np.uint64)
+
+
+def gram_hash(gram: Column) -> Column:
+    """:func:`sixty_bits` of a gram, as a column."""
+    return F.conv(F.substring(F.md5(gram), 1, 15), 16, 10).cast("long")
+
 
+def signatures_of(hashes: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Least value of each map over the hashes of each set, shape (sets, maps); the prime itself for an empty set."""
+    a, b = hash_family()
+    out = np.full((len(size), len(a)), PRIME, np.uint64)
+    has = np.flatnonzero(size)
+    if len(has):
+        start = (np.cumsum(size) - size)[has]
+        for i in range(len(a)):
+            out[has, i] = np.minimum.reduceat(_reduce(multiply(np.broadcast_to(a[i], hashes.shape), hashes) + b[i]), start)
+    return out.astype(np.int64)
 
-_family: list = []
 
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), 2000):
+            part = batch.slice(at, 2000)
+            grams = part.column(1)
+            size = grams.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            sig = signatures_of(grams.flatten().to_numpy(zero_copy_only=False).astype(np.uint64), size)
+            offsets = pa.array(np.arange(0, sig.size + 1, sig.shape[1], dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(sig.ravel()))], names=["rep", "sig"])
 
-def signature_of(grams: list[str] | np.ndarray) -> np.ndarray:
-    """Least value of each map over the grams; the prime itself for no grams."""
-    if not _family:
-        _family.append(hash_family())
-    a, b = _family[0]
-    if len(grams) == 0:
-        return np.full(len(a), PRIME, np.int64)
-    h = np.array([int.from_bytes(blake2b(g.encode(), digest_size=8).digest(), "big") for g in grams], np.uint64)
-    return _reduce(multiply(a[:, None], _reduce(h)[None, :]) + b[:, None]).min(axis=1).astype(np.int64)
 
+def signatures(sets: DataFrame) -> DataFrame:
+    """(rep, sig) of sets (rep, grams), where grams are hashes."""
+    ship(sets.sparkSession)
+    return sets.select("rep", "grams").mapInArrow(_signed, "rep long, sig array<long>")
 
-@pandas_udf(T.ArrayType(T.LongType()))
-def signature(grams: pd.Series) -> pd.Series:
-    return grams.map(lambda g: None if g is None else signature_of(g))
+
+def gram_sets(reps: DataFrame, width: int) -> DataFrame:
+    """(rep, grams): the distinct shingles of each form (rep, norm), as 60-bit hashes, a fifth of their size."""
+    listed = tx.shingle_list(tx.words(F.col("norm")), width)
+    return reps.select("rep", F.array_distinct(F.transform(listed, gram_hash)).alias("grams"))
 
 
 def forms(records: DataFrame) -> DataFrame:
@@ -79,7 +102,7 @@ def forms(records: DataFrame) -> DataFrame:
 
 def candidates(reps: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of representatives (rep, sig) that agree in a band."""
-    bands = F.array(*(F.xxhash64(F.lit(i), F.slice("sig", i * ROWS + 1, ROWS)) for i in range(BANDS)))
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * ROWS + 1, ROWS)))
     rows = reps.select("rep", F.explode(bands).alias("key"))
     # Buckets of one representative end here, before the self-join.
     several = rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").drop("n")
@@ -94,17 +117,23 @@ def jaccard(left: F.Column, right: F.Column) -> F.Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(common / union)
 
 
+def compared_pairs(records: DataFrame, width: int = 3) -> tuple[DataFrame, DataFrame]:
+    """The sets of the distinct forms, and the candidate pairs that banding makes of them."""
+    sets = cut(gram_sets(forms(records), width))  # read four times below
+    return sets, candidates(signatures(sets))
+
+
 def similar_pairs(records: DataFrame, threshold: float = THRESHOLD, width: int = 3) -> DataFrame:
     """Verified pairs of distinct forms: (a, b, similarity), by the lowest position of each form."""
     if not 0 < threshold <= 1:
         raise CorpusError(f"a threshold of {threshold} is not in (0, 1]", "give a similarity above 0, at most 1")
-    sets = forms(records).select("rep", tx.shingles(tx.words(F.col("norm")), width).alias("grams"))
-    sets = cut(sets)  # read three times below
-    pairs = candidates(sets.select("rep", signature("grams").alias("sig")))
+    sets, pairs = compared_pairs(records, width)
     a = sets.select(F.col("rep").alias("a"), F.col("grams").alias("ga"))
     b = sets.select(F.col("rep").alias("b"), F.col("grams").alias("gb"))
-    scored = pairs.join(a, "a").join(b, "b").select("a", "b", jaccard(F.col("ga"), F.col("gb")).alias("similarity"))
-    return scored.where(F.col("similarity") >= threshold)
+    # Sizes alone rule out most pairs that banding makes by chance.
+    smaller, larger = F.least(F.size("ga"), F.size("gb")), F.greatest(F.size("ga"), F.size("gb"))
+    possible = pairs.join(a, "a").join(b, "b").where((smaller >= threshold * larger) | (larger == 0))
+    return possible.select("a", "b", jaccard(F.col("ga"), F.col("gb")).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def duplicate_membership(records: DataFrame, threshold: float = THRESHOLD, width: int = 3) -> DataFrame:
@@ -119,7 +148,7 @@ def duplicate_membership(records: DataFrame, threshold: float = THRESHOLD, width
 def clusters(records: DataFrame, membership: DataFrame, width: int = 3) -> DataFrame:
     """(keep, size, exact, min_similarity): the exact ones equal the kept form; the least similarity to the kept record."""
     kept = membership.where("pos = keep_pos").select("keep_pos", F.col("record_id").alias("keep"), F.col("norm").alias("keep_norm"))
-    grams = lambda c: tx.shingles(tx.words(F.col(c)), width)
+    grams = lambda c: F.transform(tx.shingles(tx.words(F.col(c)), width), lambda g: F.xxhash64(g))
     rows = membership.join(kept, "keep_pos").withColumn("same", F.col("norm") == F.col("keep_norm"))
     score = F.when(F.col("same"), F.lit(1.0)).otherwise(jaccard(grams("norm"), grams("keep_norm")))
     return rows.groupBy("keep").agg(
@@ -127,8 +156,8 @@ def clusters(records: DataFrame, membership: DataFrame, width: int = 3) -> DataF
     )
 
 
-def curation_summary(records: DataFrame, cluster_rows: DataFrame) -> DataFrame:
-    """One row of counters of a curation."""
+def curation_summary(records: DataFrame, cluster_rows: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """One row of counters of a curation; with the candidate ``pairs``, also how many were compared."""
     total = records.agg(F.count("*").alias("total")).withColumn("k", F.lit(1))
     facts = cluster_rows.agg(
         F.count("*").alias("clusters"),
@@ -136,9 +165,17 @@ def curation_summary(records: DataFrame, cluster_rows: DataFrame) -> DataFrame:
         F.coalesce(F.sum("exact"), F.lit(0)).alias("exact"),
         F.coalesce(F.max("size"), F.lit(0)).alias("largest"),
     ).withColumn("k", F.lit(1))
-    return total.join(facts, "k").select(
-        "total", (F.col("total") - F.col("dropped")).alias("kept"), "dropped", "exact", (F.col("dropped") - F.col("exact")).alias("near"), "clusters", "largest"
+    out = total.join(facts, "k").select(
+        "k", "total", (F.col("total") - F.col("dropped")).alias("kept"), "dropped", "exact", (F.col("dropped") - F.col("exact")).alias("near"), "clusters", "largest"
     )
+    if pairs is not None:
+        out = out.join(pairs.agg(F.count("*").alias("comparisons")).withColumn("k", F.lit(1)), "k")
+    return out.drop("k")
+
+
+def cluster_summary(keep: str, size: int, min_similarity: float) -> str:
+    """A cluster in a line, its similarity to four digits."""
+    return f"{keep}: {size} records, similarity {min_similarity:.4f} or more"
 
 
 def curated(records: DataFrame, membership: DataFrame) -> DataFrame:

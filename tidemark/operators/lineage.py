@@ -1,11 +1,27 @@
-"""Cutting the lineage of iterative operators with reliable checkpoints."""
+"""What operators need from the cluster: reliable checkpoints, and the package on the executors."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the executors' Python workers, once for each context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tidemark_sent", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="tidemark-")) / "tidemark_core.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, f"{root.name}/{p.relative_to(root)}")
+    sc.addPyFile(str(target))
+    sc._tidemark_sent = True
 
 
 def cut(df: DataFrame) -> DataFrame:

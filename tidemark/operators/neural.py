@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tidemark.errors import ModelError
 from tidemark.operators import bpe, features
+from tidemark.operators.lineage import ship
 
 VERSION = 1
 MAX_ROWS = 200_000
@@ -150,6 +151,7 @@ def fit(
 
 def predict(records: DataFrame, tok: bpe.Tokenizer, model: Classifier) -> DataFrame:
     """(record_id, predicted, confidence)."""
+    ship(records.sparkSession)
     spread = records.sparkSession.sparkContext.broadcast(model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.operators import bayes, bpe, contamination, dedup, features, metrics, split, stats
+from tidemark.operators.lineage import cut
 
 #: Near-duplicate stages on word shingles.
 WIDTH, SIMILARITY = 5, 0.8
@@ -266,10 +267,40 @@ def exact_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return dedup.forms(written(spark, folder)).where("copies > 1")
 
 
-@query()
+def _signed_sql(width: int) -> str:
+    sixty = "('0x' || substr(md5({}), 1, 15))::BIGINT"
+    return f"""
+    {_WORDED},
+    form AS (SELECT norm, any_value(w) AS w, min(pos) AS rep FROM worded WHERE norm <> '' GROUP BY norm),
+    gram AS (SELECT DISTINCT rep, unnest({_shingles(width)}) AS g FROM form),
+    map_ AS (SELECT i, 1 + {sixty.format("'a' || i")} AS a, {sixty.format("'b' || i")} AS b FROM range(128) t(i)),
+    least_ AS (SELECT rep, i, min((a::HUGEINT * h + b) % 2305843009213693951)::BIGINT AS v FROM (SELECT rep, {sixty.format("g")} AS h FROM gram), map_ GROUP BY rep, i)"""
+
+
+_BANDED = f"""{_signed_sql(3)},
+    band AS (SELECT rep, i // 4 AS k, list(v ORDER BY i) AS key FROM least_ GROUP BY rep, i // 4),
+    candidate AS (SELECT DISTINCT x.rep AS a, y.rep AS b FROM band x JOIN band y ON x.k = y.k AND x.key = y.key AND x.rep < y.rep)"""
+
+
+@query(f"WITH {_signed_sql(WIDTH)} SELECT rep, list(v ORDER BY i) AS sig FROM least_ GROUP BY rep")
 def minhash_signature(spark: SparkSession, folder: str) -> DataFrame:
-    sets = dedup.forms(written(spark, folder)).select("rep", tx.shingles(tx.words(F.col("norm")), WIDTH).alias("grams"))
-    return sets.select("rep", dedup.signature("grams").alias("sig"))
+    return dedup.signatures(dedup.gram_sets(dedup.forms(written(spark, folder)), WIDTH))
+
+
+@query(f"WITH {_BANDED} SELECT a, b FROM candidate")
+def candidate_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs to compare at the operators' own width of three words."""
+    return dedup.compared_pairs(written(spark, folder))[1]
+
+
+@query(
+    f"""WITH {_BANDED}, size AS (SELECT rep, count(*) AS n FROM gram GROUP BY rep),
+    common AS (SELECT a, b, count(*) AS c FROM candidate JOIN gram x ON x.rep = a JOIN gram y ON y.rep = b AND x.g = y.g GROUP BY a, b)
+    SELECT a, b, c / (s.n + t.n - c) AS similarity FROM common JOIN size s ON s.rep = a JOIN size t ON t.rep = b WHERE c / (s.n + t.n - c) >= 0.6"""
+)
+def jaccard_pairs_default(spark: SparkSession, folder: str) -> DataFrame:
+    """Verified pairs at the operators' own defaults, three words and 0.6, where banding may lose pairs."""
+    return dedup.similar_pairs(written(spark, folder))
 
 
 # --- splitting ----------------------------------------------------------------
@@ -298,11 +329,38 @@ def split_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return split.split_sizes(_assigned(spark, folder))
 
 
-@query("SELECT 0::BIGINT AS straddling")
+@query(f"WITH RECURSIVE {_SPLIT} SELECT count(*) AS straddling FROM (SELECT root FROM assigned GROUP BY root HAVING count(DISTINCT part) > 1)")
 def group_leak_check(spark: SparkSession, folder: str) -> DataFrame:
     return split.straddling(_assigned(spark, folder))
 
 
+@query(
+    f"""WITH RECURSIVE {_SPLIT}, {_PARTED}
+    SELECT count(*) AS straddling FROM (SELECT root FROM grouped JOIN member USING (record_id) GROUP BY root HAVING count(DISTINCT part) > 1)"""
+)
+def existing_split_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of duplicates that the existing split tears apart."""
+    rows = written(spark, folder)
+    members = table(spark, folder, "split_members").where("part is not null").select("record_id", "part").distinct()
+    groups = split.groups_of(rows, dedup.duplicate_membership(rows, SIMILARITY, WIDTH))
+    return split.straddling(groups.join(members, "record_id"))
+
+
+_BY_STATION = """given_ AS (SELECT record_id, min(pos) OVER (PARTITION BY meta['station']) AS root FROM records WHERE text IS NOT NULL AND meta['station'] IS NOT NULL),
+    sized AS (SELECT root, count(*) AS size, sha256(concat('1:', root)) AS h FROM given_ GROUP BY root),
+    summed AS (SELECT root, size, sum(size) OVER (ORDER BY h ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS total FROM sized)"""
+
+
+@query(
+    f"""WITH {_BY_STATION} SELECT record_id, root, CASE WHEN (upto - size / 2) / total < 0.8 THEN 'train' WHEN (upto - size / 2) / total < 0.8 + 0.1::DOUBLE THEN 'dev' ELSE 'test' END AS part
+    FROM given_ JOIN summed USING (root)"""
+)
+def split_by_station(spark: SparkSession, folder: str) -> DataFrame:
+    """Records of one station stay together."""
+    rows = written(spark, folder).where("meta['station'] is not null")
+    return split.assign(split.groups_of(rows, group_by="station"), seed=1)
+
+
 @query(
     f"WITH {_PARTED} SELECT part, sha256(string_agg(concat(part, ':', record_id), chr(10) ORDER BY concat(part, ':', record_id))) AS digest FROM member GROUP BY part"
 )
@@ -314,21 +372,25 @@ def split_digest(spark: SparkSession, folder: str) -> DataFrame:
 # --- contamination ------------------------------------------------------------
 
 
-def _containment_sql(width: int, tag: str, part: str, extra: str = "") -> str:
+#: A null corpus that overlaps with the training side: the dev part, and all that one source sent.
+_NULL = "(part = 'dev' OR source = 'hangar-feed-07')"
+
+
+def _containment_sql(width: int, tag: str, side: str, extra: str = "") -> str:
     return f"""
     index_{tag} AS (SELECT DISTINCT unnest({_grams(width)}) AS g FROM worded JOIN member USING (record_id) WHERE part = 'train'),
-    grams_{tag} AS (SELECT DISTINCT record_id, unnest({_grams(width)}) AS g FROM worded JOIN member USING (record_id) WHERE part = '{part}' {extra}),
+    grams_{tag} AS (SELECT DISTINCT record_id, unnest({_grams(width)}) AS g FROM worded JOIN member USING (record_id) WHERE {side} {extra}),
     score_{tag} AS (SELECT r.record_id, coalesce(s.grams, 0) AS grams, coalesce(s.matched, 0) AS matched, s.matched / s.grams AS containment
-        FROM (SELECT record_id FROM normed JOIN member USING (record_id) WHERE part = '{part}' {extra}) r LEFT JOIN
+        FROM (SELECT record_id FROM normed JOIN member USING (record_id) WHERE {side} {extra}) r LEFT JOIN
              (SELECT record_id, count(*) AS grams, count(i.g) AS matched FROM grams_{tag} x LEFT JOIN index_{tag} i ON x.g = i.g GROUP BY record_id) s USING (record_id))"""
 
 
-_SHARED = f"""shared AS (SELECT record_id FROM records JOIN member USING (record_id) WHERE part = 'dev' AND text IS NOT NULL AND {_FP} IN
+_SHARED = f"""shared AS (SELECT DISTINCT record_id FROM records JOIN member USING (record_id) WHERE {_NULL} AND text IS NOT NULL AND {_FP} IN
         (SELECT {_FP} FROM records JOIN member USING (record_id) WHERE part = 'train' AND text IS NOT NULL))"""
-_NULL_SCORES = f"""{_WORDED}, {_PARTED}, {_SHARED}, {_containment_sql(13, "null", "dev", "AND record_id NOT IN (SELECT record_id FROM shared)")}"""
+_NULL_SCORES = f"""{_WORDED}, {_PARTED}, {_SHARED}, {_containment_sql(13, "null", _NULL, "AND record_id NOT IN (SELECT record_id FROM shared)")}"""
 _LEVEL = """ranked AS (SELECT containment, row_number() OVER (ORDER BY containment) - 1 AS i, count(*) OVER () AS n FROM score_null WHERE containment IS NOT NULL),
     level AS (SELECT max(containment) AS threshold FROM ranked WHERE i = least(floor(0.999 * n), n - 1))"""
-_REPORT = f"""{_NULL_SCORES}, {_LEVEL}, {_containment_sql(13, "main", "test")}, {_containment_sql(8, "short", "test")},
+_REPORT = f"""{_NULL_SCORES}, {_LEVEL}, {_containment_sql(13, "main", "part = 'test'")}, {_containment_sql(8, "short", "part = 'test'")},
     report AS (SELECT count(*) AS total, count(containment) AS evaluated, count(*) FILTER (WHERE containment >= threshold) AS hits,
         (SELECT count(*) FROM score_short s, level l WHERE s.containment >= l.threshold) AS short_hits,
         count(containment) / count(*) AS coverage, count(*) FILTER (WHERE containment >= threshold) / count(containment) AS rate,
@@ -340,39 +402,45 @@ def _sides(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Data
     return tuple(rows.where(F.col("part") == p).drop("part") for p in ("train", "dev", "test"))
 
 
+def _null(spark: SparkSession, folder: str) -> DataFrame:
+    return parts(spark, folder).where(_NULL).select("record_id", "text", "label")
+
+
+def _scores(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Scores of the test part, and the part itself."""
+    train, _, test = _sides(spark, folder)
+    index = contamination.build_index(train, only=contamination.asked_keys((test, contamination.WIDTH)))
+    return contamination.containment(test, index), test
+
+
 @query(f"WITH {_WORDED}, {_PARTED} SELECT count(DISTINCT g) AS grams FROM (SELECT unnest({_grams(13)}) AS g FROM worded JOIN member USING (record_id) WHERE part = 'train')")
 def ngram_index_size(spark: SparkSession, folder: str) -> DataFrame:
     return contamination.build_index(_sides(spark, folder)[0]).agg(F.count("*").alias("grams"))
 
 
-@query(f"WITH {_WORDED}, {_PARTED}, {_containment_sql(13, 'main', 'test')} SELECT record_id, grams, matched, containment FROM score_main")
+@query(f"WITH {_WORDED}, {_PARTED}, {_containment_sql(13, 'main', "part = 'test'")} SELECT record_id, grams, matched, containment FROM score_main")
 def containment_scores(spark: SparkSession, folder: str) -> DataFrame:
-    train, _, test = _sides(spark, folder)
-    return contamination.containment(test, contamination.build_index(train))
+    return _scores(spark, folder)[0]
 
 
-@query(f"WITH {_WORDED}, {_PARTED}, {_containment_sql(13, 'main', 'test')} SELECT record_id, containment FROM score_main WHERE containment >= 0.5")
+@query(f"WITH {_WORDED}, {_PARTED}, {_containment_sql(13, 'main', "part = 'test'")} SELECT record_id, containment FROM score_main WHERE containment >= 0.5")
 def contamination_hits_uncalibrated(spark: SparkSession, folder: str) -> DataFrame:
-    train, _, test = _sides(spark, folder)
-    scores = contamination.containment(test, contamination.build_index(train))
-    return contamination.hits(scores, contamination.THRESHOLD).select("record_id", "containment")
+    return contamination.hits(_scores(spark, folder)[0], contamination.THRESHOLD).select("record_id", "containment")
 
 
 @query(
-    f"""WITH {_WORDED}, {_PARTED}, {_containment_sql(13, 'main', 'test')},
+    f"""WITH {_WORDED}, {_PARTED}, {_containment_sql(13, 'main', "part = 'test'")},
     top AS (SELECT * FROM score_main WHERE containment >= 0.5 ORDER BY containment DESC, record_id LIMIT 10)
     SELECT record_id, containment, substr(text, 1, 120) AS excerpt FROM top JOIN records USING (record_id)"""
 )
 def worst_examples(spark: SparkSession, folder: str) -> DataFrame:
-    train, _, test = _sides(spark, folder)
-    scores = contamination.containment(test, contamination.build_index(train))
+    scores, test = _scores(spark, folder)
     return contamination.worst(scores, test, contamination.THRESHOLD).select("record_id", "containment", "excerpt")
 
 
 @query(f"WITH {_PARTED}, {_SHARED} SELECT record_id FROM shared")
 def null_overlap(spark: SparkSession, folder: str) -> DataFrame:
-    train, null, _ = _sides(spark, folder)
-    return contamination.shared_with(null, train).select("record_id")
+    return contamination.shared_with(_null(spark, folder), _sides(spark, folder)[0]).select("record_id")
 
 
 @query(
@@ -381,16 +449,17 @@ def null_overlap(spark: SparkSession, folder: str) -> DataFrame:
     count(*) FILTER (WHERE containment >= 0.5) / count(containment) AS null_rate_default FROM score_null, level"""
 )
 def calibration(spark: SparkSession, folder: str) -> DataFrame:
-    train, null, _ = _sides(spark, folder)
-    return contamination.calibrate(train, null, drop_shared=True)
+    return contamination.calibrate(_sides(spark, folder)[0], _null(spark, folder), drop_shared=True)
 
 
 def _reported(spark: SparkSession, folder: str) -> DataFrame:
-    train, null, test = _sides(spark, folder)
-    threshold = contamination.calibrate(train, null, drop_shared=True).first()["threshold"]
-    main = contamination.containment(test, contamination.build_index(train))
-    short = contamination.containment(test, contamination.build_index(train, contamination.SHORT_WIDTH), contamination.SHORT_WIDTH)
-    return contamination.report(main, short, threshold, True)
+    (train, _, test), null = _sides(spark, folder), _null(spark, folder)
+    long, short = contamination.WIDTH, contamination.SHORT_WIDTH
+    # One pass over the training side for all that is asked of it.
+    asked = contamination.asked_keys((null, long), (test, long), (test, short))
+    index = cut(contamination.build_index(train, long, short, only=asked))
+    level = contamination.calibrate(train, null, drop_shared=True, index=index)
+    return contamination.report(contamination.containment(test, index, long), contamination.containment(test, index, short), level, True)
 
 
 @query(f"WITH {_REPORT} SELECT * FROM report")
@@ -500,7 +569,7 @@ def neural_predictions(spark: SparkSession, folder: str) -> DataFrame:
 
     train, dev, test = (x.where("label is not null") for x in _sides(spark, folder))
     tok = bpe.train(train, vocab_size=1024)
-    model = neural.fit(train, dev, tok, epochs=5)
+    model = neural.fit(train, dev, tok, draw=True)
     return neural.predict(test, tok, model)
 
 
