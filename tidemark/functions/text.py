@@ -11,7 +11,7 @@ import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -27,6 +27,11 @@ def nfc(text: Column) -> Column:
     return _nfc(text)
 
 
+def in_nfc(rows: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows with their text in NFC, before any of the functions below."""
+    return rows.withColumn(text_col, nfc(F.col(text_col)))
+
+
 def normalise(text: Column) -> Column:
     """Comparison form: lower case, runs of other characters than letters, digits, ``_`` and ``-`` as one space."""
     kept = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s-]+", " ")

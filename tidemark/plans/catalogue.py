@@ -73,9 +73,9 @@ _PARTED = "member AS (SELECT DISTINCT record_id, part FROM split_members WHERE p
 # --- text --------------------------------------------------------------------
 
 
-@query(f"SELECT record_id, {_NORM} AS norm FROM records WHERE text IS NOT NULL")
+@query(f"SELECT record_id, {_NORM} AS norm FROM (SELECT record_id, nfc_normalize(text) AS text FROM records) WHERE text IS NOT NULL")
 def normalise_text(spark: SparkSession, folder: str) -> DataFrame:
-    return written(spark, folder).select("record_id", tx.normalise(F.col("text")).alias("norm"))
+    return tx.in_nfc(written(spark, folder)).select("record_id", tx.normalise(F.col("text")).alias("norm"))
 
 
 @query(f"WITH {_WORDED} SELECT record_id, len(list_distinct({_shingles(3)})) AS shingles FROM worded")
@@ -91,16 +91,16 @@ def ngram_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    rf"SELECT record_id, len({_PRE}) AS tokens, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS words FROM records WHERE text IS NOT NULL"
+    rf"SELECT record_id, len({_PRE}) AS tokens, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS words FROM (SELECT record_id, nfc_normalize(text) AS text FROM records) WHERE text IS NOT NULL"
 )
 def pretokenise_counts(spark: SparkSession, folder: str) -> DataFrame:
     t = F.col("text")
-    return written(spark, folder).select("record_id", F.size(tx.pre_tokens(t)).cast("long").alias("tokens"), tx.word_count(t).cast("long").alias("words"))
+    return tx.in_nfc(written(spark, folder)).select("record_id", F.size(tx.pre_tokens(t)).cast("long").alias("tokens"), tx.word_count(t).cast("long").alias("words"))
 
 
-@query(r"SELECT record_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS cleaned FROM records WHERE text IS NOT NULL")
+@query(r"SELECT record_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS cleaned FROM (SELECT record_id, nfc_normalize(text) AS text FROM records) WHERE text IS NOT NULL")
 def clean_text(spark: SparkSession, folder: str) -> DataFrame:
-    return written(spark, folder).select("record_id", tx.clean(F.col("text")).alias("cleaned"))
+    return tx.in_nfc(written(spark, folder)).select("record_id", tx.clean(F.col("text")).alias("cleaned"))
 
 
 @query("SELECT doc_id, substr(text, 1, 120) AS excerpt FROM documents WHERE text IS NOT NULL")
@@ -492,22 +492,60 @@ def _tokenizer(spark: SparkSession, folder: str) -> bpe.Tokenizer:
     return bpe.train(_sides(spark, folder)[0], vocab_size=1024)
 
 
-@query()
+# A word is a string of its symbols, each between two marks, so that a merge is a replacement. Words of other parts go along without weight.
+_MERGED = f"""{_PARTED},
+    spelt AS (SELECT record_id, {_PRE.replace("text", "nfc_normalize(text)")} AS ws FROM records WHERE text IS NOT NULL),
+    counted AS (SELECT word, count(*) FILTER (WHERE part = 'train') AS n FROM (SELECT record_id, unnest(ws) AS word FROM spelt) LEFT JOIN member USING (record_id) GROUP BY word),
+    letters AS (SELECT row_number() OVER (ORDER BY word) AS w, word, n, list_append(list_filter(string_split(word, ''), lambda c: c <> ''), '</w>') AS cs FROM counted),
+    alphabet AS (SELECT DISTINCT unnest(cs) AS t FROM letters WHERE n > 0 UNION SELECT '<0x' || upper(lpad(to_hex(i), 2, '0')) || '>' FROM range(256) b(i)),
+    step(w, s, n, turn) USING KEY (w) AS (
+        SELECT w, chr(1) || array_to_string(cs, chr(2) || chr(1)) || chr(2), n, 0 FROM letters
+        UNION
+        (WITH live AS MATERIALIZED (SELECT * FROM step WHERE w > 0 AND turn < 1022 - (SELECT count(*) FROM alphabet)),
+        sym AS (SELECT n, string_split(substr(s, 2, length(s) - 2), chr(2) || chr(1)) AS l FROM live WHERE n > 0),
+        pair AS (SELECT l[i] AS a, l[i + 1] AS b, sum(n) AS c FROM (SELECT n, l, unnest(range(1, len(l))) AS i FROM sym) GROUP BY ALL),
+        best AS MATERIALIZED (SELECT a, b FROM pair WHERE c >= 2 ORDER BY c DESC, a DESC, b DESC LIMIT 1)
+        SELECT w, replace(s, chr(1) || a || chr(2) || chr(1) || b || chr(2), chr(1) || a || b || chr(2)), n, turn + 1 FROM live, best
+        UNION ALL SELECT -1 - (SELECT max(turn) FROM live), a || b, 0, (SELECT max(turn) FROM live) + 1 FROM best)),
+    first_ AS (SELECT s AS t, min(-w) AS k FROM step WHERE w < 0 AND s NOT IN (SELECT t FROM alphabet) GROUP BY s),
+    vocab AS (SELECT '<pad>' AS token, 0 AS id UNION ALL SELECT '<unk>', 1 UNION ALL SELECT t, (row_number() OVER (ORDER BY t) + 1)::INT FROM alphabet
+        UNION ALL SELECT t, (row_number() OVER (ORDER BY k) + 1 + (SELECT count(*) FROM alphabet))::INT FROM first_),
+    piece AS (SELECT w, unnest(l) AS t, generate_subscripts(l, 1) AS nth FROM (SELECT w, string_split(substr(s, 2, length(s) - 2), chr(2) || chr(1)) AS l FROM step WHERE w > 0)),
+    coded AS (SELECT w, nth, CASE WHEN t IN (SELECT token FROM vocab) THEN [t]
+        ELSE list_transform(range(1, strlen(t) + 1), lambda i: '<0x' || substr(hex(encode(t)), (2 * i - 1)::INT, 2) || '>') END AS ts FROM piece),
+    flat AS (SELECT w, nth, unnest(ts) AS t, generate_subscripts(ts, 1) AS sub FROM coded),
+    word_ids AS (SELECT word, list(coalesce(id, 1) ORDER BY nth, sub) AS ids FROM flat JOIN letters USING (w) LEFT JOIN vocab ON token = t GROUP BY word),
+    encoded AS (SELECT record_id, coalesce(e.ids, []::INT[]) AS ids, ws FROM spelt LEFT JOIN
+        (SELECT record_id, flatten(list(ids ORDER BY nth)) AS ids FROM (SELECT record_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS nth FROM spelt) JOIN word_ids USING (word) GROUP BY record_id) e
+        USING (record_id))"""
+
+
+@query(f"WITH RECURSIVE {_MERGED} SELECT token, id FROM vocab")
 def bpe_vocab(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(sorted(_tokenizer(spark, folder).vocab.items(), key=lambda x: x[1]), "token string, id int")
 
 
-@query()
+@query(f"WITH RECURSIVE {_MERGED} SELECT record_id, ids FROM encoded")
 def bpe_encode(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(written(spark, folder), _tokenizer(spark, folder))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_MERGED}, sums AS (SELECT count(*) AS records, sum(len(ids))::BIGINT AS tokens, sum(len(ws))::BIGINT AS words,
+        sum(length(array_to_string(ws, '')))::BIGINT AS characters, sum(len(list_filter(ids, lambda i: i = 1)))::BIGINT AS unknown FROM encoded)
+    SELECT *, tokens / records AS tokens_per_record, tokens / words AS tokens_per_word, characters / tokens AS characters_per_token FROM sums"""
+)
 def bpe_compression(spark: SparkSession, folder: str) -> DataFrame:
     tok, rows = _tokenizer(spark, folder), written(spark, folder)
     return bpe.compression(rows, bpe.encode(rows, tok), tok)
 
 
+@query()
+def bpe_training_report(spark: SparkSession, folder: str) -> DataFrame:
+    report = bpe.train_with_report(_sides(spark, folder)[0], vocab_size=1024)[1].as_dict()
+    return spark.createDataFrame([tuple(report.values())], ", ".join(f"{k} long" for k in report))
+
+
 @query(f"WITH {_PARTED} SELECT label, row_number() OVER (ORDER BY label)::INT - 1 AS idx FROM (SELECT DISTINCT label FROM records JOIN member USING (record_id) WHERE part = 'train' AND text IS NOT NULL AND label IS NOT NULL)")
 def label_space(spark: SparkSession, folder: str) -> DataFrame:
     return features.label_space(_sides(spark, folder)[0])
@@ -573,6 +611,27 @@ def neural_predictions(spark: SparkSession, folder: str) -> DataFrame:
     return neural.predict(test, tok, model)
 
 
+def _token_rows(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Counts of the first 64 token ids of the train and test parts, and these parts."""
+    train, _, test = (x.where("label is not null") for x in _sides(spark, folder))
+    tok = bpe.train(train, vocab_size=1024)
+    counts = lambda rows: features.token_counts(features.truncated(bpe.encode(rows, tok)))
+    return counts(train), counts(test), train, test
+
+
+@query()
+def token_id_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return _token_rows(spark, folder)[1]
+
+
+@query()
+def nb_predictions_token_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Naive Bayes on truncated token ids, with the share of the best class."""
+    seen, asked, train, test = _token_rows(spark, folder)
+    model = bayes.train(seen, train.select("record_id", "label"))
+    return bayes.predictions(bayes.scores(model, asked, test))
+
+
 # --- evaluation -----------------------------------------------------------------
 
 _SCORED = "scored AS (SELECT DISTINCT record_id, model, target, predicted, confidence FROM predictions WHERE model IS NOT NULL)"
@@ -658,7 +717,33 @@ def baseline_verdict(spark: SparkSession, folder: str) -> DataFrame:
 # --- files, generator ------------------------------------------------------------
 
 
-@query()
+_LINES = r"""
+    lines AS (SELECT DISTINCT corpus_id, line_no, trim(regexp_replace(line, '^\s+|\s+$', '', 'g')) AS line FROM corpus_lines),
+    parsed AS (SELECT *, CASE WHEN strlen(line) <= 131072 AND json_valid(line) THEN line::JSON END AS j FROM lines WHERE line <> ''),
+    known AS (SELECT *, coalesce(json_type(j) = 'OBJECT', false) AS is_object FROM parsed),
+    header AS (SELECT corpus_id, min(line_no) AS header_no FROM known WHERE is_object GROUP BY corpus_id),
+    fields AS (SELECT corpus_id, line_no, line, j, is_object, CASE WHEN is_object THEN json_type(j, '$.meta') END AS mt,
+        CASE WHEN is_object AND json_type(j, '$.record_id') = 'VARCHAR' THEN j->>'$.record_id' END AS record_id,
+        CASE WHEN is_object AND json_type(j, '$.text') = 'VARCHAR' THEN j->>'$.text' END AS text,
+        CASE WHEN is_object AND json_type(j, '$.source') = 'VARCHAR' THEN j->>'$.source' END AS source,
+        CASE WHEN is_object AND json_type(j, '$.license') = 'VARCHAR' THEN j->>'$.license' END AS license,
+        CASE WHEN is_object AND regexp_full_match(j->>'$.label', '\s*[+-]?\d+(\.0*)?\s*') THEN (j->>'$.label')::DOUBLE::INT END AS label
+        FROM known LEFT JOIN header USING (corpus_id) WHERE header_no IS NULL OR line_no <> header_no),
+    extra AS (SELECT *, CASE WHEN is_object THEN list_sort(list_filter(json_keys(j), lambda k: NOT list_contains(['record_id', 'text', 'label', 'source', 'license', 'meta'], k))) END AS more,
+        CASE WHEN mt = 'OBJECT' THEN len(list_filter(json_keys(j, '$.meta'), lambda k: json_type(j, '$.meta."' || k || '"') <> 'VARCHAR')) > 0
+             ELSE coalesce(mt <> 'NULL', false) END AS bad_meta FROM fields)"""
+
+
+@query(
+    rf"""WITH {_LINES} SELECT corpus_id, line_no, record_id, label, CASE
+        WHEN strlen(line) > 131072 THEN 'line is over 131072 bytes' WHEN j IS NULL THEN 'not JSON' WHEN NOT is_object THEN 'not an object'
+        WHEN record_id IS NULL OR length(record_id) NOT BETWEEN 1 AND 64 THEN 'record_id'
+        WHEN text IS NULL OR length(text) NOT BETWEEN 1 AND 4096 OR NOT regexp_matches(text, '\S') THEN 'text'
+        WHEN label IS NULL OR label NOT BETWEEN 0 AND 99 THEN 'label'
+        WHEN source IS NULL OR length(source) NOT BETWEEN 1 AND 128 THEN 'source'
+        WHEN license IS NULL OR length(license) NOT BETWEEN 1 AND 64 THEN 'license'
+        WHEN bad_meta THEN 'meta' WHEN len(more) > 0 THEN 'unknown field: ' || more[1] END AS reason FROM extra"""
+)
 def corpus_lines_read(spark: SparkSession, folder: str) -> DataFrame:
     from tidemark.sources.corpus import parse_lines
 
@@ -666,6 +751,14 @@ def corpus_lines_read(spark: SparkSession, folder: str) -> DataFrame:
     return parse_lines(lines, by="corpus_id").select("corpus_id", "line_no", "record_id", "label", "reason")
 
 
+@query("SELECT record_id, pos, nfc_normalize(text) AS text FROM records WHERE text IS NOT NULL AND record_id IS NOT NULL AND length(record_id) BETWEEN 1 AND 64 AND length(nfc_normalize(text)) BETWEEN 1 AND 4096 AND regexp_matches(text, '\\S') AND label BETWEEN 0 AND 99 AND length(source) BETWEEN 1 AND 128 AND length(license) BETWEEN 1 AND 64")
+def adapted_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """The valid records of the table as a corpus, their texts in NFC."""
+    from tidemark.sources.corpus import adapt
+
+    return adapt(records(spark, folder)).records.select("record_id", "pos", "text")
+
+
 @query()
 def synth_corpus(spark: SparkSession, folder: str) -> DataFrame:
     from tidemark.sources import synth
