@@ -97,5 +97,56 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (*found, p6_ids, p7_containers, p8_found, p8_skeletons)}
 
 
+# --- the same results in SQL ----------------------------------------------------
+
+_TRIPLES = r"""
+    worded AS (SELECT record_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM (SELECT DISTINCT record_id, text FROM records WHERE record_id IS NOT NULL AND regexp_matches(text, '\S'))),
+    triple AS (SELECT DISTINCT record_id, unnest(CASE WHEN len(w) > 2 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::VARCHAR[] END) AS t FROM worded),
+    size AS (SELECT record_id, count(*) AS n FROM triple GROUP BY record_id),
+    posted AS (SELECT record_id, t, n FROM triple JOIN size USING (record_id))"""
+_ROLES = "role AS (SELECT DISTINCT record_id, part, part = 'train' AS trained FROM split_members WHERE part IN ('train', 'dev', 'test'))"
+_OVERLAPS = f"""{_TRIPLES}, {_ROLES},
+    overlap AS (SELECT q.record_id AS eval_id, t.record_id AS train_id
+        FROM (SELECT DISTINCT record_id, t, n FROM posted JOIN role USING (record_id) WHERE NOT trained) q
+        JOIN (SELECT DISTINCT record_id, t FROM posted JOIN role USING (record_id) WHERE trained) t ON q.t = t.t AND q.record_id <> t.record_id
+        GROUP BY ALL HAVING count(*) >= 0.7 * any_value(q.n) - 1e-9)"""
+_SPANS = r"""
+    held AS (SELECT DISTINCT record_id, text FROM records WHERE record_id IS NOT NULL AND regexp_matches(text, '\S') AND length(text) >= 100),
+    stretch AS (SELECT record_id, i, md5(substr(text, i::INT + 1, 100)) AS h FROM (SELECT record_id, text, unnest(range(0, length(text) - 99)) AS i FROM held)),
+    common AS (SELECT h FROM stretch GROUP BY h HAVING min(record_id) <> max(record_id)),
+    hit AS (SELECT record_id, i, i - lag(i) OVER (PARTITION BY record_id ORDER BY i) AS gap FROM stretch WHERE h IN (SELECT h FROM common)),
+    run AS (SELECT record_id, i, count(*) FILTER (WHERE gap > 100) OVER (PARTITION BY record_id ORDER BY i) AS k FROM hit),
+    span AS (SELECT record_id, min(i) AS span_start, max(i) + 100 AS span_end FROM run GROUP BY record_id, k)"""
+_GROUPS = r"""
+    named AS (SELECT record_id, unnest(['author', 'technician', 'signed_by', 'tail', 'tail_no', 'work_pack', 'wp']) AS k, meta FROM records WHERE record_id IS NOT NULL AND meta IS NOT NULL),
+    entity AS (SELECT DISTINCT record_id, CASE WHEN k IN ('author', 'technician', 'signed_by') THEN 'a' WHEN k IN ('tail', 'tail_no') THEN 't' ELSE 'w' END
+        || regexp_replace(lower(meta[k]), '[^\p{L}\p{N}]', '', 'g') AS e FROM named WHERE regexp_matches(meta[k], '\p{N}')),
+    label(record_id, least_) USING KEY (record_id) AS (
+        SELECT DISTINCT record_id, record_id FROM entity
+        UNION
+        (WITH told AS (SELECT e, min(least_) AS m FROM label JOIN entity USING (record_id) GROUP BY e),
+        heard AS (SELECT record_id, min(m) AS m FROM told JOIN entity USING (e) GROUP BY record_id)
+        SELECT record_id, m FROM heard JOIN recurring.label r USING (record_id) WHERE m < r.least_))"""
+
+_SQL = {
+    "p1_found": f"""WITH {_TRIPLES} SELECT a.record_id AS record_a, b.record_id AS record_b FROM posted a JOIN posted b
+        ON a.t = b.t AND a.record_id < b.record_id AND least(a.n, b.n) >= 0.6 * greatest(a.n, b.n) - 1e-9
+        GROUP BY ALL HAVING count(*) >= 0.6 * (any_value(a.n) + any_value(b.n) - count(*)) - 1e-9""",
+    "p2_found": f"WITH {_SPANS} SELECT record_id, span_start, span_end FROM span",
+    "p2_share": rf"""WITH {_SPANS}, shared AS (SELECT record_id, sum(span_end - span_start)::BIGINT AS shared_chars FROM span GROUP BY record_id)
+        SELECT record_id, length(text) AS n_chars, coalesce(shared_chars, 0) AS shared_chars
+        FROM (SELECT DISTINCT record_id, text FROM records WHERE record_id IS NOT NULL AND regexp_matches(text, '\S')) LEFT JOIN shared USING (record_id)""",
+    "p4_found": f"""WITH RECURSIVE {_GROUPS} SELECT record_id, group_id FROM (
+        SELECT record_id, least_ AS group_id, count(*) OVER (PARTITION BY least_) AS n FROM label) WHERE n > 1""",
+    "p5_found": f"WITH {_OVERLAPS} SELECT DISTINCT least(eval_id, train_id) AS record_a, greatest(eval_id, train_id) AS record_b FROM overlap",
+    "p5_report": f"""WITH {_OVERLAPS}, own AS (SELECT eval_id, count(*) AS pairs FROM overlap GROUP BY eval_id),
+        placed AS (SELECT DISTINCT record_id AS eval_id, part FROM split_members WHERE part IS NOT NULL)
+        SELECT part, source, sum(pairs)::BIGINT AS pairs, count(*) AS records FROM own JOIN placed USING (eval_id)
+        JOIN (SELECT DISTINCT record_id AS eval_id, source FROM records) USING (eval_id) GROUP BY part, source""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Those that SQL can express on tables of this size; the others are tested against plain definitions."""
+    return dict(_SQL)
