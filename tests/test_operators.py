@@ -34,6 +34,28 @@ def test_digest_does_not_depend_on_order(spark):
     assert stats.corpus_digest(a).first()["digest"] == stats.corpus_digest(b).first()["digest"]
 
 
+def test_range_digest_does_not_depend_on_order(spark):
+    df = spark.range(500).select(F.col("id").cast("string").alias("x"), (F.col("id") % 2).alias("g"))
+    a = {r["g"]: (r["records"], r["digest"]) for r in stats.range_digest(df, F.col("x"), ["g"], 16).collect()}
+    b = {r["g"]: (r["records"], r["digest"]) for r in stats.range_digest(df.orderBy(F.rand(3)), F.col("x"), ["g"], 16).collect()}
+    assert a == b and a[0][0] == 250 and a[0] != a[1]
+
+
+def test_signatures_equal_plain_minima(spark):
+    sets = [[5, 9, 1 << 59], [], [7]]
+    df = spark.createDataFrame(list(enumerate(sets)), "rep long, grams array<long>")
+    p = (1 << 61) - 1
+    maps = [(1 + dedup.sixty_bits(f"a{i}"), dedup.sixty_bits(f"b{i}")) for i in range(128)]
+    got = {r["rep"]: r["sig"] for r in dedup.signatures(df).collect()}
+    assert got == {k: [min([(a * h + b) % p for h in hs], default=p) for a, b in maps] for k, hs in enumerate(sets)}
+
+
+def test_training_report(spark):
+    _, report = bpe.train_with_report(corpus(spark, ["low low lower", "new"]), vocab_size=300)
+    assert report.words == 4 and report.distinct_words == 3 and report.vocab == 2 + report.alphabet + report.merges
+    assert report.unfilled == 300 - report.vocab and "merges" in report.summary()
+
+
 def test_components_of_a_chain(spark):
     order = list(range(60))
     random.Random(1).shuffle(order)

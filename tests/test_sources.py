@@ -34,6 +34,24 @@ def test_every_damage_is_reported(spark, tmp_path):
     assert got.metadata == {"plan": "x"}
 
 
+def test_messages_and_marks(spark, tmp_path):
+    other = HEADER.replace("tidemark_corpus", "other_corpus")
+    with pytest.raises(CorpusError):
+        read(spark, tmp_path / "c.jsonl", other, line())
+    got = corpus.read_corpus(spark, str(tmp_path / "c.jsonl"), marks=("other_corpus",))
+    assert [r["record_id"] for r in got.records.collect()] == ["r-1"]
+    bad = read(spark, tmp_path / "d.jsonl", HEADER, line(label=100), '{"cut')
+    assert {r["message"] for r in bad.unreadable.collect()} == {"label: must be a whole number from 0 to 99", "not JSON"}
+
+
+def test_a_small_file_that_unpacks_into_a_large_one(spark, tmp_path):
+    with gzip.open(tmp_path / "bomb.jsonl.gz", "wb") as f:
+        f.write(HEADER.encode() + b"\n" + b" " * 5_000_000)
+    with pytest.raises(CorpusError, match="unpacks"):
+        corpus.read_corpus(spark, str(tmp_path / "bomb.jsonl.gz"), max_bytes=1_000_000)
+    assert corpus.unpacked_size(str(tmp_path / "bomb.jsonl.gz"), 1_000_000) < 3_000_000
+
+
 def test_fatal_damage(spark, tmp_path):
     for lines in ([line()], ['{"tidemark_corpus": 2}'], ["not json"], [""], [HEADER, line(), line()]):
         with pytest.raises(CorpusError):

@@ -20,6 +20,7 @@ from tidemark.errors import CorpusError
 from tidemark.functions import text as tx
 from tidemark.operators.components import connected_components
 from tidemark.operators.lineage import cut, ship
+from tidemark.sources.tables import spread
 
 PERMUTATIONS, BANDS, ROWS = 128, 32, 4
 THRESHOLD = 0.6
@@ -85,7 +86,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def signatures(sets: DataFrame) -> DataFrame:
     """(rep, sig) of sets (rep, grams), where grams are hashes."""
     ship(sets.sparkSession)
-    return sets.select("rep", "grams").mapInArrow(_signed, "rep long, sig array<long>")
+    return spread(sets.select("rep", "grams")).mapInArrow(_signed, "rep long, sig array<long>")
 
 
 def gram_sets(reps: DataFrame, width: int) -> DataFrame:
@@ -96,8 +97,9 @@ def gram_sets(reps: DataFrame, width: int) -> DataFrame:
 
 def forms(records: DataFrame) -> DataFrame:
     """Distinct comparison forms: (norm, rep, copies); rep is the lowest position that has the form."""
-    norm = records.select("pos", tx.normalise(F.col("text")).alias("norm")).where("norm is not null and norm != ''")
-    return norm.groupBy("norm").agg(F.min("pos").alias("rep"), F.count("*").alias("copies"))
+    norm = records.select("pos", tx.normalise(F.col("text")).alias("norm"))
+    # Filtered behind the aggregation, so that the form is made once for each row.
+    return norm.groupBy("norm").agg(F.min("pos").alias("rep"), F.count("*").alias("copies")).where("norm is not null and norm != ''")
 
 
 def candidates(reps: DataFrame) -> DataFrame:

@@ -48,12 +48,20 @@ def overall(rows: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def top_decile(rows: DataFrame) -> DataFrame:
-    """(model, top_decile_accuracy): of the max(1, n // 10) most confident; equal confidences in order of record_id."""
-    sure = rows.where("confidence is not null")
-    n = F.count("*").over(Window.partitionBy("model"))
-    rank = F.row_number().over(Window.partitionBy("model").orderBy(F.desc("confidence"), "record_id"))
-    top = sure.withColumn("n", n).withColumn("r", rank).where(F.col("r") <= F.greatest(F.lit(1), F.floor(F.col("n") / 10)))
-    return top.groupBy("model").agg(F.avg((F.col("target") == F.col("predicted")).cast("int")).alias("top_decile_accuracy"))
+    """(model, top_decile_accuracy): of the max(1, n // 10) most confident; equal confidences in order of record_id.
+
+    The confidence at the cut is found from counts by confidence; only the rows
+    at that confidence are put in order.
+    """
+    sure = rows.where("confidence is not null").withColumn("hit", (F.col("target") == F.col("predicted")).cast("int"))
+    counts = sure.groupBy("model", "confidence").agg(F.count("*").alias("c"), F.sum("hit").alias("h"))
+    order = Window.partitionBy("model").orderBy(F.desc("confidence")).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("upto", F.sum("c").over(order)).withColumn("take", F.greatest(F.lit(1), F.floor(F.sum("c").over(Window.partitionBy("model")) / 10)))
+    whole = ranked.where("upto <= take").groupBy("model").agg(F.sum("c").alias("c"), F.sum("h").alias("h"))
+    at = ranked.where("upto > take and upto - c < take").select("model", "confidence", (F.col("take") - F.col("upto") + F.col("c")).alias("more"))
+    tied = sure.join(at, ["model", "confidence"]).withColumn("r", F.row_number().over(Window.partitionBy("model").orderBy("record_id"))).where("r <= more")
+    part = tied.groupBy("model").agg(F.count("*").alias("c"), F.sum("hit").alias("h"))
+    return whole.unionByName(part).groupBy("model").agg((F.sum("h") / F.sum("c")).alias("top_decile_accuracy"))
 
 
 def confusion(rows: DataFrame) -> DataFrame:

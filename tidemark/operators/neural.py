@@ -37,10 +37,11 @@ class Classifier:
 
     def pooled(self, ids: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Mean embedding of the first ``length`` ids of each row; zero for none."""
-        mask = np.arange(ids.shape[1])[None, :] < length[:, None]
-        return (self.weights["embedding"][ids] * mask[:, :, None]).sum(1) / np.maximum(length, 1)[:, None]
+        return counted(ids, length, len(self.weights["embedding"])) @ self.weights["embedding"]
 
-    def probabilities(self, ids: np.ndarray, length: np.ndarray) -> np.ndarray:
+    def probabilities(self, ids: np.ndarray, length: np.ndarray, rows: int = 2000) -> np.ndarray:
+        if len(ids) > rows:
+            return np.concatenate([self.probabilities(ids[i : i + rows], length[i : i + rows]) for i in range(0, len(ids), rows)])
         w = self.weights
         hidden = np.tanh(self.pooled(ids, length) @ w["hidden_weight"] + w["hidden_bias"])
         return softmax(hidden @ w["output_weight"] + w["output_bias"])
@@ -54,6 +55,13 @@ class Classifier:
         return sha256(b"".join(np.ascontiguousarray(self.weights[k]).tobytes() for k in ARRAYS)).hexdigest()[:32]
 
 
+def counted(ids: np.ndarray, length: np.ndarray, vocab: int) -> np.ndarray:
+    """The share of each token in the first ``length`` ids of each row, as a dense matrix for a batch of rows."""
+    mask = np.arange(ids.shape[1])[None, :] < length[:, None]
+    flat = (np.arange(len(ids))[:, None] * vocab + ids)[mask]
+    return np.bincount(flat, minlength=len(ids) * vocab).reshape(len(ids), vocab) / np.maximum(length, 1)[:, None]
+
+
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
@@ -95,7 +103,8 @@ def train_arrays(
         for at in range(0, len(order), batch):
             rows = order[at : at + batch]
             x, n, y = ids[rows], length[rows], target[rows]
-            pooled = model.pooled(x, n)
+            share = counted(x, n, vocab)
+            pooled = share @ w["embedding"]
             h = np.tanh(pooled @ w["hidden_weight"] + w["hidden_bias"])
             p = softmax(h @ w["output_weight"] + w["output_bias"])
             losses.append(-np.log(np.maximum(p[np.arange(len(y)), y], 1e-12)).mean())
@@ -103,13 +112,12 @@ def train_arrays(
             d[np.arange(len(y)), y] -= 1
             d /= len(y)
             dh = (d @ w["output_weight"].T) * (1 - h * h)
-            dp = (dh @ w["hidden_weight"].T) / np.maximum(n, 1)[:, None]
-            mask = np.arange(x.shape[1])[None, :] < n[:, None]
+            dp = dh @ w["hidden_weight"].T
             w["output_weight"] -= rate * (h.T @ d + decay * w["output_weight"])
             w["output_bias"] -= rate * d.sum(0)
             w["hidden_weight"] -= rate * (pooled.T @ dh + decay * w["hidden_weight"])
             w["hidden_bias"] -= rate * dh.sum(0)
-            np.subtract.at(w["embedding"], x[mask], rate * np.repeat(dp, mask.sum(1), axis=0))
+            w["embedding"] -= rate * (share.T @ dp)
         score = None if dev is None else accuracy(model.probabilities(dev[0], dev[1]).argmax(1), dev[2])
         model.history.append({"epoch": epoch, "loss": float(np.mean(losses)), "dev_accuracy": score})
         if score is not None and score > best:

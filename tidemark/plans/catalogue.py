@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as tx
 from tidemark.operators import bayes, bpe, contamination, dedup, features, metrics, split, stats
 from tidemark.operators.lineage import cut
+from tidemark.sources.tables import read_table as table
+from tidemark.sources.tables import spread
 
 #: Near-duplicate stages on word shingles.
 WIDTH, SIMILARITY = 5, 0.8
@@ -28,17 +30,13 @@ def query(sql: str | None = None) -> Callable:
     return register
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
 def records(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "records")
 
 
 def written(spark: SparkSession, folder: str) -> DataFrame:
     """Records with a text."""
-    return records(spark, folder).where("text is not null")
+    return spread(records(spark, folder).select("record_id", "text", "label", "meta", "pos", "source").where("text is not null"))
 
 
 def parts(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,6 +10,7 @@ import gzip
 import io
 import json
 from dataclasses import dataclass, field
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,8 +22,6 @@ from tidemark.operators.stats import corpus_digest
 
 VERSION = 1
 MARK = "tidemark_corpus"
-#: Headers may carry another engine's mark of the same form: its version under a key that ends like this.
-MARK_END = "_corpus"
 MAX_LINE, MAX_BYTES, MAX_TEXT = 128 * 1024, 512 * 1024 * 1024, 4096
 
 RECORD = T.StructType(
@@ -64,6 +63,19 @@ def first_problem() -> Column:
     )
 
 
+#: What each field of a record must be.
+RULES = {
+    "record_id": "1 to 64 characters", "text": f"1 to {MAX_TEXT} characters that are not all blank", "label": "a whole number from 0 to 99",
+    "source": "1 to 128 characters", "license": "1 to 64 characters", "meta": "an object of strings",
+}
+
+
+def problem_message(problem: Column) -> Column:
+    """"field: rule" for the name of a field; anything else as it is."""
+    rules = F.create_map(*(F.lit(x) for k, v in RULES.items() for x in (k, f"{k}: must be {v}")))
+    return F.coalesce(F.element_at(rules, problem), problem)
+
+
 def parse_lines(lines: DataFrame, by: str | None = None) -> DataFrame:
     """Records and unreadable lines of (line_no, line), one file for each value of ``by``.
 
@@ -117,33 +129,54 @@ def numbered(text: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(before), "task").select((F.col("before") + F.col("at") + 1).alias("line_no"), "line")
 
 
-def read_corpus(spark: SparkSession, path: str) -> CorpusFrame:
-    """A corpus file. A missing or oversized file and one without a header are errors; bad records are reported."""
+def unpacked_size(path: str, limit: int = MAX_BYTES) -> int:
+    """Bytes of a local compressed file, decompressed in pieces and no further than just beyond ``limit``."""
+    size = 0
+    with gzip.open(path.removeprefix("file://"), "rb") as f:
+        while size <= limit and (piece := f.read(1 << 20)):
+            size += len(piece)
+    return size
+
+
+def read_corpus(spark: SparkSession, path: str, marks: tuple[str, ...] = (MARK,), max_bytes: int = MAX_BYTES) -> CorpusFrame:
+    """A corpus file. A missing or oversized file and one without a header are errors; bad records are reported.
+
+    ``marks`` are the header's keys that hold its version; files of another
+    engine are read by giving its mark.
+    """
+    if path.endswith(".gz") and "://" not in path.removeprefix("file://") and Path(path.removeprefix("file://")).is_file():
+        # A small file can unpack into a huge one: it is measured before the cluster reads it.
+        try:
+            packed = unpacked_size(path, max_bytes)
+        except (OSError, EOFError) as e:
+            raise CorpusError(f"{path} cannot be read: {e}", "give the path of a corpus file") from None
+        if packed > max_bytes:
+            raise CorpusError(f"{path} unpacks into more than {max_bytes} bytes", "split the file, or use tables")
     try:
         scan = spark.read.text(path)
         size = scan.agg(F.sum(F.octet_length("value") + 1)).first()[0] or 0
     except Exception as e:  # noqa: BLE001 - the reader's own error, whatever its class
         raise CorpusError(f"{path} cannot be read: {str(e).splitlines()[0]}", "give the path of a corpus file") from None
-    if size > MAX_BYTES:
-        raise CorpusError(f"{path} has {size} bytes of text, more than {MAX_BYTES}", "split the file, or use tables")
+    if size > max_bytes:
+        raise CorpusError(f"{path} has {size} bytes of text, more than {max_bytes}", "split the file, or use tables")
     lines = numbered(scan)
     head = lines.where(F.trim("line") != "").orderBy("line_no").limit(1).collect()
-    header = _header(head[0]["line"] if head else "", path)
+    header = _header(head[0]["line"] if head else "", path, marks)
     parsed = parse_lines(lines)
     records = parsed.where("reason is null").select(*FIELDS, (F.col("line_no") - 2).alias("pos"))
-    unreadable = parsed.where("reason is not null").select("line_no", "reason")
+    unreadable = parsed.where("reason is not null").select("line_no", "reason", problem_message(F.col("reason")).alias("message"))
     twice = records.groupBy("record_id").count().where("count > 1").limit(1).collect()
     if twice:
         raise CorpusError(f"record {twice[0]['record_id']} occurs more than once", "give every record its own id")
     return CorpusFrame(records, unreadable, path, {str(k): str(v) for k, v in header.get("metadata", {}).items()})
 
 
-def _header(line: str, path: str) -> dict:
+def _header(line: str, path: str, marks: tuple[str, ...]) -> dict:
     try:
         header = json.loads(line)
     except ValueError:
         raise CorpusError(f"{path} does not begin with a header", "write it with this engine") from None
-    version = next((v for k, v in header.items() if k.endswith(MARK_END)), None) if isinstance(header, dict) else None
+    version = next((header[k] for k in marks if k in header), None) if isinstance(header, dict) else None
     if not isinstance(version, int) or isinstance(version, bool):
         raise CorpusError(f"{path} does not begin with a header", "write it with this engine")
     if version > VERSION:

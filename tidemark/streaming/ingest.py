@@ -26,12 +26,16 @@ def daily_labels(stream: DataFrame, *, time_col: str = "ingested_at", lateness:
 
 
 def into_corpus(stream: DataFrame, folder: str, checkpoint: str, **trigger: bool | str) -> StreamingQuery:
-    """Valid records to ``folder``/records and invalid ones with their first problem to ``folder``/refused."""
+    """Valid records to ``folder``/records and invalid ones with their first problem to ``folder``/refused.
 
-    def write(batch: DataFrame, _: int) -> None:
+    Each batch has a folder of its own by its number, so a batch that is tried
+    again replaces what its first try left.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
         batch = batch.withColumn("reason", first_problem()).withColumn("norm", tx.normalise(F.col("text"))).persist()
-        batch.where("reason is null").drop("reason").write.mode("append").parquet(f"{folder}/records")
-        batch.where("reason is not null").select("record_id", "reason").write.mode("append").parquet(f"{folder}/refused")
+        batch.where("reason is null").drop("reason").write.mode("overwrite").parquet(f"{folder}/records/batch={number}")
+        batch.where("reason is not null").select("record_id", "reason").write.mode("overwrite").parquet(f"{folder}/refused/batch={number}")
         batch.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
