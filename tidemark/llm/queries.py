@@ -7,11 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.tables import spread
+
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents, whose texts keep a core busy for long, over all cores."""
+    return spread(_table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     from tidemark.llm.order_minhash import near_duplicates
 
@@ -71,25 +78,25 @@ def p4_split(spark: SparkSession, folder: str) -> DataFrame:
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     from tidemark.llm.token_ids import token_ids
 
-    return token_ids(_table(spark, folder, "documents"))
+    return token_ids(_documents(spark, folder))
 
 
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     from tidemark.llm.packing import pack_documents
 
-    return pack_documents(_table(spark, folder, "documents"), _table(spark, folder, "capacities"))
+    return pack_documents(_documents(spark, folder), _table(spark, folder, "capacities"))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     from tidemark.llm.skeleton import same_look
 
-    return same_look(_table(spark, folder, "documents"))
+    return same_look(_documents(spark, folder))
 
 
 def p8_skeletons(spark: SparkSession, folder: str) -> DataFrame:
     from tidemark.llm.skeleton import with_skeleton
 
-    return with_skeleton(_table(spark, folder, "documents"))
+    return with_skeleton(_documents(spark, folder))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
