@@ -82,6 +82,34 @@ def test_generator_is_deterministic():
         synth.generate(synth.Plan("bad", 10, 1, 0.5, 0.5))
 
 
+def test_large_generator_plants_copies(spark):
+    plan = synth.Plan("big", 2000, 5, 0.03, 0.04)
+    rows = synth.generate_large(spark, plan).persist()
+    assert rows.count() == 2000 and rows.select("record_id").distinct().count() == 2000
+    assert {r["kind"]: r["count"] for r in rows.groupBy(rows.meta["kind"].alias("kind")).count().collect()} == {"fresh": 1860, "exact": 60, "near": 80}
+    texts = rows.groupBy("text").count().where("count > 1").count()
+    assert 50 <= texts <= 60 and rows.select("label").distinct().count() == len(synth.TOPICS)
+    wrong = rows.where("meta['true_label'] is not null").count()
+    assert 40 <= wrong <= 130 and rows.where("meta['true_label'] = cast(label as string)").isEmpty()
+    assert sorted(synth.generate_large(spark, plan).collect()) == sorted(rows.collect())
+
+
+def test_log_lines(capsys):
+    from tidemark import logs
+
+    logs.configure("info", "json")
+    logs.event("read", records=3)
+    logs.event("detail", level="debug")
+    out = capsys.readouterr().err.splitlines()
+    assert len(out) == 1 and json.loads(out[0])["records"] == 3 and json.loads(out[0])["event"] == "read"
+    logs.configure("info", "console")
+    logs.event("read", records=3)
+    assert "records=3" in capsys.readouterr().err
+    with pytest.raises(ConfigError):
+        logs.configure("loud")
+    logs.configure()
+
+
 def test_settings():
     assert config.load({"TIDEMARK_GATE__TOLERANCE": "0.1"}).gate.tolerance == 0.1
     for bad in ({"TIDEMARK_GATE__NONE": "1"}, {"TIDEMARK_TRAIN__VOCAB": "x"}, {"TIDEMARK_GATE__QUANTILE": "1"}):

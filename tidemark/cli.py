@@ -16,7 +16,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark import config, errors
+from tidemark import __version__, config, errors, logs
 from tidemark.errors import ContaminationError, EngineError
 from tidemark.operators import bayes, bpe, contamination, dedup, features, metrics, neural, split, stats
 from tidemark.plans import baseline as baselines
@@ -116,9 +116,10 @@ def cmd_split(args: argparse.Namespace, _: config.Settings) -> int:
 def cmd_tokenizer(args: argparse.Namespace, settings: config.Settings) -> int:
     spark = _session()
     rows = _rows(corpus.read_corpus(spark, args.corpus))
-    tok = bpe.train(rows, vocab_size=args.vocab or settings.train.vocab)
+    tok, report = bpe.train_with_report(rows, vocab_size=args.vocab or settings.train.vocab)
     tok.save(args.out)
-    _print({"vocab": len(tok.vocab), "merges": len(tok.merges), "digest": tok.digest} | _row(bpe.compression(rows, bpe.encode(rows, tok), tok)))
+    logs.event("trained", summary=report.summary())
+    _print(report.as_dict() | {"digest": tok.digest} | _row(bpe.compression(rows, bpe.encode(rows, tok), tok)))
     return errors.HELD
 
 
@@ -141,11 +142,11 @@ def _score(parts: dict[str, DataFrame], on: str, model_dir: str, settings: confi
 def cmd_train(args: argparse.Namespace, settings: config.Settings) -> int:
     spark = _session()
     parts = _parts(spark, args.splits)
-    tok = bpe.train(parts["train"], vocab_size=settings.train.vocab)
+    tok = bpe.train(parts["train"], vocab_size=args.vocab or settings.train.vocab)
     Path(args.out).mkdir(parents=True, exist_ok=True)
     tok.save(f"{args.out}/tokenizer.json")
     t = settings.train
-    model = neural.fit(parts["train"], parts["dev"], tok, max_tokens=t.max_tokens, epochs=args.epochs or t.epochs, seed=t.seed)
+    model = neural.fit(parts["train"], parts["dev"], tok, max_tokens=t.max_tokens, epochs=args.epochs or t.epochs, seed=t.seed if args.seed is None else args.seed)
     neural.save(model, args.out)
     _print({"tokenizer": tok.digest, "parameters": model.parameters, "weights": model.digest, "history": model.history})
     return errors.HELD
@@ -156,7 +157,7 @@ def _contamination(spark: SparkSession, parts: dict[str, DataFrame], args: argpa
     if args.null:
         null = corpus.read_corpus(spark, args.null).records
         cal = _row(contamination.calibrate(parts["train"], null, quantile=settings.gate.quantile, width=args.ngram_width, drop_shared=args.drop_shared))
-        _say("calibrated:", cal)
+        logs.event("calibrated", **cal)
         threshold, calibrated = cal["threshold"], True
     short_width, rows = min(contamination.SHORT_WIDTH, args.ngram_width), parts[args.on]
     asked = contamination.asked_keys((rows, args.ngram_width), (rows, short_width))
@@ -243,8 +244,12 @@ def cmd_classify(args: argparse.Namespace, _: config.Settings) -> int:
     rows = spark.createDataFrame([(f"text-{i}", t) for i, t in enumerate(args.text or [])], "record_id string, text string")
     if args.corpus:
         rows = rows.unionByName(corpus.read_corpus(spark, args.corpus).records.select("record_id", "text"))
-    got = neural.predict(rows, tok, model).orderBy("record_id").collect()
-    _print([{"record_id": r["record_id"], "label": r["predicted"], "confidence": round(r["confidence"], 4)} for r in got])
+    # Rows stream through the driver, a partition at a time.
+    got = ({"record_id": r["record_id"], "label": r["predicted"], "confidence": round(r["confidence"], 4)} for r in neural.predict(rows, tok, model).orderBy("record_id").toLocalIterator())
+    print("[", end="")
+    for i, row in enumerate(got):
+        print(",\n " if i else "\n ", json.dumps(row, ensure_ascii=False), sep="", end="")
+    print("\n]")
     return errors.HELD
 
 
@@ -272,12 +277,15 @@ def cmd_doctor(_: argparse.Namespace, __: config.Settings) -> int:
 
 def build_parser() -> argparse.ArgumentParser:
     p = _Parser(prog="tidemark", description=__doc__)
+    p.add_argument("--version", action="version", version=f"tidemark {__version__}")
+    p.add_argument("--log-level", choices=logs.LEVELS, default="warning")
+    p.add_argument("--log-form", choices=logs.FORMS, default="console")
     sub = p.add_subparsers(dest="command", required=True, parser_class=_Parser)
 
     def command(name: str, handler, *flags: tuple) -> None:
         c = sub.add_parser(name)
         for flag, options in flags:
-            c.add_argument(flag, **options)
+            c.add_argument(*flag.split(), **options)
         c.set_defaults(handler=handler)
 
     need, opt = {"required": True}, {}
@@ -291,11 +299,11 @@ def build_parser() -> argparse.ArgumentParser:
     command("check", cmd_check, *plan, ("--corpus", need))
     command("curate", cmd_curate, ("--corpus", need), ("--out", opt), ("--card", opt), *near)
     command(
-        "split", cmd_split, ("--corpus", need), ("--out", need), ("--seed", {"type": int, "default": 1}), ("--train", {"type": float, "default": 0.8}),
+        "split", cmd_split, ("--corpus", need), ("--out --out-dir", need), ("--seed", {"type": int, "default": 1}), ("--train", {"type": float, "default": 0.8}),
         ("--dev", {"type": float, "default": 0.1}), ("--test", {"type": float, "default": 0.1}), ("--group-by", opt), *near,
     )
-    command("tokenizer", cmd_tokenizer, ("--corpus", need), ("--out", need), ("--vocab", {"type": int}))
-    command("train", cmd_train, ("--splits", need), ("--out", need), ("--epochs", {"type": int}))
+    command("tokenizer", cmd_tokenizer, ("--corpus", need), ("--out", need), ("--vocab --vocab-size", {"type": int}))
+    command("train", cmd_train, ("--splits", need), ("--out", need), ("--epochs", {"type": int}), ("--vocab --vocab-size", {"type": int}), ("--seed", {"type": int}))
     command("contamination", cmd_contamination, *gate)
     command(
         "evaluate", cmd_evaluate, *gate, ("--model", need), ("--baseline", opt), ("--update-baseline", {"action": "store_true"}), ("--note", {"default": ""}),
@@ -309,6 +317,8 @@ def build_parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     try:
         args = build_parser().parse_args(argv)
+        logs.configure(args.log_level, args.log_form)
+        logs.event("started", command=args.command)
         return args.handler(args, config.load())
     except SystemExit as e:
         return int(e.code or 0)

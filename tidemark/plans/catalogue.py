@@ -36,7 +36,7 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
 
 def written(spark: SparkSession, folder: str) -> DataFrame:
     """Records with a text."""
-    return spread(records(spark, folder).select("record_id", "text", "label", "meta", "pos", "source").where("text is not null"))
+    return spread(records(spark, folder).where("text is not null"))
 
 
 def parts(spark: SparkSession, folder: str) -> DataFrame:
