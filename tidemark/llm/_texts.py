@@ -43,8 +43,8 @@ def identified(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def text_members(docs: DataFrame) -> DataFrame:
-    """(tid, record_id): which records have a text; repeated rows once."""
-    return docs.select("tid", "record_id").repartition("tid").dropDuplicates(["tid", "record_id"])
+    """(tid, record_id): which records have a text; repeated rows once. The copies of a text are spread over all tasks."""
+    return docs.select("tid", "record_id").distinct()
 
 
 def bucket_count(docs: DataFrame, least: int | None = None) -> int:
