@@ -502,6 +502,11 @@ class SpanIndex:
                 changes[k].append(was | self._write(moved, {kind: k})[kind])
         self._commit(buckets=buckets, **changes)
 
+    def close(self) -> None:
+        """Forget the tables in the session's catalogue; the files stay."""
+        while self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.popitem()[1]}")
+
     def spans(self) -> DataFrame:
         """The longest runs (tid, start, end) of shared characters of all texts entered so far."""
         kind = "tid long, start long, end long"
@@ -549,8 +554,9 @@ def shared_spans(
     for i in range(batches):
         index.add(docs.where(F.pmod(F.xxhash64("record_id", F.lit("batch")), F.lit(batches)) == i))
     spans = index.spans()
+    index.close()
     # Texts of several records are shared as a whole.
-    owners = docs.select("tid", "record_id", F.length("text").cast("long").alias("size")).repartition("tid").distinct()
+    owners = docs.select("tid", "record_id", F.length("text").cast("long").alias("size")).distinct()
     copied = owners.groupBy("tid").agg(F.count("*").alias("copies"))
     owners = owners.join(copied, "tid")
     whole = owners.where("copies > 1").select("record_id", F.lit(0).cast("long").alias("span_start"), F.col("size").alias("span_end"))
