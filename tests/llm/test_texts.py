@@ -246,6 +246,23 @@ def test_packing_is_whole_and_tight(spark):
     assert packing.pack(df.where("doc_id < 0"), [10], id_col="doc_id", size_col="n").count() == 0
 
 
+@pytest.mark.skipif(not Path(token_ids.VOCABULARY).exists(), reason="needs the public vocabulary files")
+def test_documents_in_containers(spark):
+    texts = [None, "", "  ", "one two three", "one two three", "word " * 700, "x", "漢字"]
+    df = spark.createDataFrame([(i, t, "a", 5, 6) for i, t in enumerate(texts)], "doc_id long, text string, capacity string, size int, item int")
+    profiles = spark.createDataFrame([("s", 50), ("s", 50), ("m", 300), (None, 300), ("none", None)], "profile string, capacity_tokens int")
+    got = packing.pack_documents(df, profiles).collect()
+    ids = {r["doc_id"]: len(r["ids"]) for r in token_ids.token_ids(df).collect()}
+    assert {r["profile"] for r in got} == {"s", "m", None}
+    for profile, cap in (("s", 50), ("m", 300), (None, 300)):
+        rows = [r for r in got if r["profile"] == profile]
+        fill = defaultdict(int)
+        for r in rows:
+            fill[r["container"]] += r["token_end"] - r["token_start"]
+        assert max(fill.values()) <= cap and sum(fill.values()) == sum(ids.values())
+    assert packing.pack_documents(df.where("doc_id < 0"), profiles).count() == 0
+
+
 SAME = [("ﬁx", "fix"), ("ＡＢ1２", "AB12"), ("é", "é"), ("раураl", "paypal"), ("ΑΒ", "AB"), ("a​b­c﻿", "abc"), ("a b", "a b"), ("x‑y", "x-y"), ("　z", " z"), ("é", "е́")]
 DIFFERENT = [("A", "a"), ("e", "é"), ("x²", "x2"), ("a\nb", "a b"), ("a\tb", "a b"), ("a—b", "a-b"), ("в", "b"), ("ab", "a b")]
 
