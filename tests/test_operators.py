@@ -192,6 +192,8 @@ def test_bayes_against_numpy(spark):
     want = np.array([21, 24, 27])[(m @ ll.T + np.log(20 / 60)).argmax(1)]
     got = {r["record_id"]: r["predicted"] for r in bayes.predictions(bayes.scores(model, counts, rows)).collect()}
     assert [got[f"r-{i:04d}"] for i in range(60)] == want.tolist()
+    shares = bayes.probabilities(bayes.scores(model, counts, rows)).groupBy("record_id").agg(F.sum("probability").alias("s"), F.count("*").alias("n")).collect()
+    assert all(r["s"] == pytest.approx(1) and r["n"] == 3 for r in shares)
     with pytest.raises(ModelError):
         bayes.train(counts, rows.select("record_id", "label"), 0)
 

@@ -124,9 +124,18 @@ def test_refusal_carries_no_metrics():
     with pytest.raises(ValueError, match="metrics"):
         report.Evaluation({}, "x", metrics=[{}])
     fine = report.Evaluation({"rate": 0.0}, metrics=[{"model": "m", "accuracy": 0.9, "macro_f1": 0.9}])
+    assert 'tests="1"' in report.render_junit(e) and 'name="rate" value="0.5"' in report.render_junit(e) and 'tests="2"' in report.render_junit(fine)
     assert fine.passed and 'skipped="1"' in report.render_junit(fine) and fine.best["model"] == "m"
 
 
+def test_summaries_in_a_line():
+    row = {"hits": 3, "evaluated": 100, "rate": 0.03, "calibrated": True, "threshold": 0.84618, "coverage": 0.9, "total": 111}
+    assert "(0.0300)" in report.contamination_summary(row) and "calibrated threshold 0.8462" in report.contamination_summary(row)
+    cal = {"threshold": 0.5, "scored": 10, "not_checkable": 1, "dropped": 2, "null_rate": 0.1, "null_rate_default": 0.2}
+    assert report.calibration_summary(cal).startswith("threshold 0.500000 from 10 records")
+    assert report.metrics_summary({"model": "m", "accuracy": 0.9, "macro_f1": 1 / 3, "records": 4}) == "m: accuracy 0.900000, macro F1 0.333333 over 4 records"
+
+
 def test_usage_errors_exit_1(capsys):
     assert cli.main(["nonsense"]) == errors.USAGE
     assert cli.main(["evaluate", "--splits", "x", "--model", "y", "--update-baseline"]) == errors.USAGE

@@ -71,6 +71,13 @@ def predictions(scored: DataFrame) -> DataFrame:
     return best.select("record_id", predicted.alias("predicted"), (1 / mass).alias("confidence"))
 
 
+def probabilities(scored: DataFrame) -> DataFrame:
+    """(record_id, label, probability): the softmax share of every class, of which a record has a handful."""
+    own = Window.partitionBy("record_id")
+    mass = scored.withColumn("e", F.exp(F.col("score") - F.max("score").over(own)))
+    return mass.select("record_id", "label", (F.col("e") / F.sum("e").over(own)).alias("probability"))
+
+
 def parameters(model: NaiveBayes) -> int:
     """Numbers that the dense model has."""
     k = model.classes.count()

@@ -2,7 +2,7 @@
 
 Groups are ordered by a seeded hash, and the running share of their sizes
 decides the part. The running sum is taken inside slices of the hash; the sums
-of the slices, a fixed number, are added on top, so no task orders all groups
+of the slices, at most 65,536, are added on top, so no task orders all groups
 and no group list reaches the driver.
 """
 
@@ -15,7 +15,8 @@ from tidemark.errors import SplitError
 from tidemark.operators.components import connected_components
 
 PARTS = ("train", "dev", "test")
-SLICES = 256
+#: Hexadecimal digits of the hash that name a slice.
+SLICE_DIGITS = 4
 
 
 def groups_of(records: DataFrame, membership: DataFrame | None = None, group_by: str | None = None) -> DataFrame:
@@ -47,9 +48,9 @@ def assign(groups: DataFrame, *, seed: int, ratios: tuple[float, float, float] =
     check_ratios(ratios)
     sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
     h = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("root").cast("string")), 256)
-    keyed = sizes.select("root", "size", h.alias("h")).withColumn("slice", F.substring("h", 1, 2))
+    keyed = sizes.select("root", "size", h.alias("h")).withColumn("slice", F.substring("h", 1, SLICE_DIGITS))
     within = keyed.withColumn("upto", F.sum("size").over(Window.partitionBy("slice").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)))
-    # 256 slices at most, whatever the number of groups.
+    # A bounded number of slices, whatever the number of groups.
     slices = keyed.groupBy("slice").agg(F.sum("size").alias("s"))
     before = slices.select(
         "slice",

@@ -59,25 +59,43 @@ def render_json(e: Evaluation) -> str:
     return json.dumps(as_document(e), indent=2, ensure_ascii=False) + "\n"
 
 
+def contamination_summary(row: dict) -> str:
+    """A contamination report in a line, rates to four digits."""
+    level = "calibrated" if row.get("calibrated") else "uncalibrated"
+    return f"{row['hits']} of {row['evaluated']} checked records ({row['rate']:.4f}) at or above the {level} threshold {row['threshold']:.4f}; {row['coverage']:.4f} of {row['total']} could be checked"
+
+
+def calibration_summary(row: dict) -> str:
+    return f"threshold {row['threshold']:.6f} from {row['scored']} records ({row['not_checkable']} too short, {row['dropped']} dropped as shared); null rate {row['null_rate']:.4f}, at the default {row['null_rate_default']:.4f}"
+
+
+def metrics_summary(row: dict) -> str:
+    return f"{row['model']}: accuracy {row['accuracy']:.6f}, macro F1 {row['macro_f1']:.6f} over {row['records']} records"
+
+
 def render_junit(e: Evaluation) -> str:
-    """Two cases, contamination and regression; the second is skipped where nothing was compared."""
-    suite = ET.Element("testsuite", name="evaluation", tests="2")
+    """The cases contamination and regression. A refused evaluation has the first only; the second is skipped where nothing was compared."""
+    suite = ET.Element("testsuite", name="evaluation")
+    facts = ET.SubElement(suite, "properties")
+    for name, value in sorted((_rounded(e.contamination) | {"recorded_at": e.recorded_at}).items()):
+        ET.SubElement(facts, "property", name=name, value=str(value))
     first = ET.SubElement(suite, "testcase", classname="gate", name="contamination")
-    second = ET.SubElement(suite, "testcase", classname="gate", name="regression")
-    failures = skipped = 0
+    tests, failures, skipped = 1, 0, 0
     if e.refused:
         ET.SubElement(first, "failure", message=e.refused)
-        ET.SubElement(second, "skipped", message="the evaluation was refused")
-        failures, skipped = 1, 1
-    elif e.verdict is None:
-        ET.SubElement(second, "skipped", message="there is no baseline")
-        skipped = 1
-    elif not e.passed:
-        bad = ", ".join(f"{v['model']} {v['metric']}: {v['change']}" for v in e.verdict if v["change"] in ("regression", "removed"))
-        ET.SubElement(second, "failure", message=bad)
         failures = 1
-    suite.set("failures", str(failures))
-    suite.set("skipped", str(skipped))
+    else:
+        second = ET.SubElement(suite, "testcase", classname="gate", name="regression")
+        tests = 2
+        if e.verdict is None:
+            ET.SubElement(second, "skipped", message="there is no baseline")
+            skipped = 1
+        elif not e.passed:
+            bad = ", ".join(f"{v['model']} {v['metric']}: {v['change']}" for v in e.verdict if v["change"] in ("regression", "removed"))
+            ET.SubElement(second, "failure", message=bad)
+            failures = 1
+    for name, n in (("tests", tests), ("failures", failures), ("skipped", skipped)):
+        suite.set(name, str(n))
     return ET.tostring(suite, encoding="unicode") + "\n"
 
 
