@@ -38,4 +38,7 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = "file://" + os.path.join(tempfile.gettempdir(), "tidemark-checkpoints")
         sc.setCheckpointDir(folder)
+        # The folder below it is this session's own.
+        own = sc._jvm.org.apache.hadoop.fs.Path(sc.getCheckpointDir())
+        own.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(own)
     return df.checkpoint(eager=True)
