@@ -22,8 +22,8 @@ may have moved; the matches outside the band are added, wherever they stand.
 Scale. Sketches are keyed by a hash of the text, so copies of a text, however
 many, are one entry in every block (they are merged before the shuffle) and one
 text to verify. Pairs are made and verified between distinct texts; only
-verified ones meet record ids. A task sends no more than ``hot`` entries of a
-sketch, so a hot sketch gathers ``hot`` entries of each task and nothing else.
+verified ones meet record ids. A task sends at most ``hot`` + 1 entries of a
+sketch at a time, so a hot sketch gathers as many of each task and nothing else.
 Pairs inside a bucket of sketches are generated in bounded slices and never
 held together. Texts are shuffled once, by their hash, in compressed blocks
 that both sides of the verification read.
