@@ -160,6 +160,14 @@ def test_fast_merges_equal_slow_merges(counts):
     assert bpe.train_words(counts, 320).merges == bpe.train_by_recount(counts, 320).merges
 
 
+def test_shared_merges_equal_slow_merges_and_leave_words_in_tasks(spark, monkeypatch):
+    rng = random.Random(4)
+    counts = {"".join(rng.choice("aab0123</") for _ in range(rng.randint(1, 8))): rng.randint(1, 5) for _ in range(300)}
+    rows = corpus(spark, [" ".join([w] * n) for w, n in counts.items()])
+    monkeypatch.setattr(type(rows), "toPandas", None)
+    assert bpe.train(rows, vocab_size=340) == bpe.train_by_recount(counts, 340)
+
+
 def test_tokenizer_round_trip_and_bytes(tmp_path, spark):
     tok = bpe.train(corpus(spark, ["low lower lowest low", "new newer newest"]), vocab_size=300)
     tok.save(tmp_path / "t.json")
