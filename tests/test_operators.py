@@ -112,6 +112,12 @@ def test_split_errors(spark):
     assert got.groupBy("tail").agg(F.count_distinct("part").alias("p")).where("p > 1").isEmpty()
 
 
+def test_groups_of_a_value_need_no_graph(spark, monkeypatch):
+    rows = corpus(spark, [words(3, f"a{i}") for i in range(30)], meta=[{"tail": f"t{i % 4}"} for i in range(30)])
+    monkeypatch.setattr(split, "connected_components", None)
+    assert {r["pos"]: r["root"] for r in split.groups_of(rows, group_by="tail").collect()} == {i: i % 4 for i in range(30)}
+
+
 def test_containment_arithmetic(spark):
     train, ev = corpus(spark, ["a b c d"]), corpus(spark, ["a b c x", "a b"])
     got = {r["record_id"]: r["containment"] for r in contamination.containment(ev, contamination.build_index(train, 3), 3).collect()}

@@ -28,6 +28,8 @@ def groups_of(records: DataFrame, membership: DataFrame | None = None, group_by:
         if not base.where(value.isNull()).isEmpty():
             raise SplitError(f"some records have no meta[{group_by!r}]", "group by a key that every record has")
         least = base.groupBy(value.alias("v")).agg(F.min("pos").alias("b"))
+        if membership is None:  # values alone tie no groups together, so there is no graph
+            return base.select("record_id", "pos", value.alias("v")).join(least, "v").select("record_id", "pos", F.col("b").alias("root"))
         edges = base.select(F.col("pos").alias("a"), value.alias("v")).join(least, "v").where("a != b").select("a", "b")
     if membership is not None:
         dup = membership.where("pos != keep_pos").select(F.col("pos").alias("a"), F.col("keep_pos").alias("b"))
