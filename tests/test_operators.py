@@ -227,6 +227,21 @@ def test_neural_learns_and_ignores_padding(tmp_path):
         neural.load(tmp_path / "none")
 
 
+def test_neural_trains_on_all_rows(spark):
+    y = [21, 24, 27]
+    rows = corpus(spark, [f"{'abc'[i % 3]} {'xyz'[i % 2]}" for i in range(150)], [y[i % 3] for i in range(150)])
+    tok = bpe.train(rows, vocab_size=300)
+    model = neural.fit(rows, rows, tok, epochs=30, max_rows=60)
+    assert model.history[-1]["dev_accuracy"] == 1
+    dealt, shards = neural._dealt(rows, tok, y, 64, 60)
+    assert shards == 3 and sum(len(r["length"]) // 4 for r in dealt.collect()) == 150
+    got = {r["record_id"]: r["predicted"] for r in neural.predict(rows, tok, model).collect()}
+    assert got == {f"r-{i:04d}": y[i % 3] for i in range(150)}
+    ids, length = neural.padded([tok.encode(f"{'abc'[i % 3]} {'xyz'[i % 2]}") for i in range(150)], 64)
+    plain = neural.train_arrays(ids, length, np.arange(150) % 3, y, len(tok.vocab), epochs=2)
+    assert neural.fit(rows, None, tok, epochs=2).digest == plain.digest
+
+
 def scored(spark, rows):
     return spark.createDataFrame(rows, "record_id string, model string, target int, predicted int, confidence double")
 

@@ -1,8 +1,9 @@
 """A small classifier: mean of token embeddings, one hidden layer, softmax.
 
-Gradient descent is sequential: it runs on the driver on at most ``max_rows``
-labelled rows (a documented bound; more are refused, or drawn by a hash if
-``draw`` is set). Scoring runs on the cluster in Arrow batches.
+All labelled rows are trained on. Up to ``max_rows`` are one run of gradient
+descent on the driver; more are dealt to shards of about that size, which the
+tasks descend by themselves for an epoch, and the weights of all are averaged
+by rows before the next. Scoring runs on the cluster in Arrow batches.
 """
 
 from __future__ import annotations
@@ -15,12 +16,13 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.errors import ModelError
 from tidemark.operators import bpe, features
-from tidemark.operators.lineage import ship
+from tidemark.operators.lineage import cut, ship
 
 VERSION = 1
 MAX_ROWS = 200_000
@@ -82,6 +84,38 @@ def _glorot(rng: np.random.Generator, rows: int, cols: int) -> np.ndarray:
     return rng.uniform(-limit, limit, (rows, cols))
 
 
+def _begin(rng: np.random.Generator, vocab: int, classes: int, embedding: int = 32, hidden: int = 96) -> dict[str, np.ndarray]:
+    return {
+        "embedding": _glorot(rng, vocab, embedding),
+        "hidden_weight": _glorot(rng, embedding, hidden), "hidden_bias": np.zeros(hidden),
+        "output_weight": _glorot(rng, hidden, classes), "output_bias": np.zeros(classes),
+    }
+
+
+def _descend(w: dict[str, np.ndarray], ids: np.ndarray, length: np.ndarray, target: np.ndarray, order: np.ndarray, batch: int = 64, rate: float = 0.5, decay: float = 1e-3) -> float:
+    """One epoch over the rows in the order given, which changes the weights; the mean loss."""
+    losses, vocab = [], len(w["embedding"])
+    for at in range(0, len(order), batch):
+        rows = order[at : at + batch]
+        x, n, y = ids[rows], length[rows], target[rows]
+        share = counted(x, n, vocab)
+        pooled = share @ w["embedding"]
+        h = np.tanh(pooled @ w["hidden_weight"] + w["hidden_bias"])
+        p = softmax(h @ w["output_weight"] + w["output_bias"])
+        losses.append(-np.log(np.maximum(p[np.arange(len(y)), y], 1e-12)).mean())
+        d = p
+        d[np.arange(len(y)), y] -= 1
+        d /= len(y)
+        dh = (d @ w["output_weight"].T) * (1 - h * h)
+        dp = dh @ w["hidden_weight"].T
+        w["output_weight"] -= rate * (h.T @ d + decay * w["output_weight"])
+        w["output_bias"] -= rate * d.sum(0)
+        w["hidden_weight"] -= rate * (pooled.T @ dh + decay * w["hidden_weight"])
+        w["hidden_bias"] -= rate * dh.sum(0)
+        w["embedding"] -= rate * (share.T @ dp)
+    return float(np.mean(losses))
+
+
 def train_arrays(
     ids: np.ndarray, length: np.ndarray, target: np.ndarray, labels: list[int], vocab: int, *,
     dev: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, embedding: int = 32, hidden: int = 96,
@@ -91,35 +125,13 @@ def train_arrays(
     if not len(target):
         raise ModelError("there are no rows to train on", "give labelled rows")
     rng = np.random.default_rng(seed)
-    w = {
-        "embedding": _glorot(rng, vocab, embedding),
-        "hidden_weight": _glorot(rng, embedding, hidden), "hidden_bias": np.zeros(hidden),
-        "output_weight": _glorot(rng, hidden, len(labels)), "output_bias": np.zeros(len(labels)),
-    }
+    w = _begin(rng, vocab, len(labels), embedding, hidden)
     model = Classifier(w, labels, tokenizer_digest, ids.shape[1], [])
     best, kept = -1.0, None
     for epoch in range(epochs):
-        order, losses = rng.permutation(len(target)), []
-        for at in range(0, len(order), batch):
-            rows = order[at : at + batch]
-            x, n, y = ids[rows], length[rows], target[rows]
-            share = counted(x, n, vocab)
-            pooled = share @ w["embedding"]
-            h = np.tanh(pooled @ w["hidden_weight"] + w["hidden_bias"])
-            p = softmax(h @ w["output_weight"] + w["output_bias"])
-            losses.append(-np.log(np.maximum(p[np.arange(len(y)), y], 1e-12)).mean())
-            d = p
-            d[np.arange(len(y)), y] -= 1
-            d /= len(y)
-            dh = (d @ w["output_weight"].T) * (1 - h * h)
-            dp = dh @ w["hidden_weight"].T
-            w["output_weight"] -= rate * (h.T @ d + decay * w["output_weight"])
-            w["output_bias"] -= rate * d.sum(0)
-            w["hidden_weight"] -= rate * (pooled.T @ dh + decay * w["hidden_weight"])
-            w["hidden_bias"] -= rate * dh.sum(0)
-            w["embedding"] -= rate * (share.T @ dp)
+        loss = _descend(w, ids, length, target, rng.permutation(len(target)), batch, rate, decay)
         score = None if dev is None else accuracy(model.probabilities(dev[0], dev[1]).argmax(1), dev[2])
-        model.history.append({"epoch": epoch, "loss": float(np.mean(losses)), "dev_accuracy": score})
+        model.history.append({"epoch": epoch, "loss": loss, "dev_accuracy": score})
         if score is not None and score > best:
             best, kept = score, {k: v.copy() for k, v in w.items()}
     if kept is not None:
@@ -133,28 +145,99 @@ def accuracy(predicted: np.ndarray, target: np.ndarray) -> float:
     return float((predicted == target).mean())
 
 
-def _collected(rows: DataFrame, tok: bpe.Tokenizer, space: list[int], max_tokens: int, max_rows: int, draw: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = rows.count()
-    if n > max_rows:
-        if not draw:
-            raise ModelError(f"{n} rows are more than {max_rows}", "raise max_rows, or let rows be drawn")
-        rows = rows.where(F.pmod(F.xxhash64("record_id"), F.lit(1 << 20)) < int((1 << 20) * max_rows / n))
+def _unpacked(row: dict, max_tokens: int, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids = np.frombuffer(row["ids"], np.int32 if wide else np.uint16).reshape(-1, max_tokens)
+    return ids, np.frombuffer(row["length"], np.int32), np.frombuffer(row["target"], np.int64)
+
+
+def _dealt(rows: DataFrame, tok: bpe.Tokenizer, space: list[int], max_tokens: int, max_rows: int) -> tuple[DataFrame, int]:
+    """(shard, ids, length, target): all labelled rows by shards of about ``max_rows``, each packed in a row and a partition; and their number."""
     known = rows.where(F.col("label").isin(space))
-    got = bpe.encode(known, tok).join(known.select("record_id", "label"), "record_id").orderBy("record_id").toPandas()
-    ids, length = padded(list(got["ids"]), max_tokens)
-    index = {label: i for i, label in enumerate(space)}
-    return ids, length, got["label"].map(index).to_numpy(np.int64)
+    shards = max(1, -(-known.count() // max_rows))
+    kind = np.int32 if len(tok.vocab) > 1 << 16 else np.uint16
+
+    def packed(table: pa.Table) -> pa.Table:
+        table = table.sort_by("record_id").combine_chunks()
+        listed = table.column("ids").combine_chunks()
+        length = listed.value_lengths().to_numpy(zero_copy_only=False).astype(np.int32)
+        ids = np.zeros((len(length), max_tokens), kind)
+        ids[np.arange(max_tokens)[None, :] < length[:, None]] = listed.flatten().to_numpy(zero_copy_only=False)
+        target = np.searchsorted(space, table.column("label").to_numpy()).astype(np.int64)
+        return pa.table({"shard": table.column("shard")[:1], **{k: pa.array([x.tobytes()], pa.binary()) for k, x in (("ids", ids), ("length", length), ("target", target))}})
+
+    shard = F.pmod(F.xxhash64("record_id"), F.lit(shards)).cast("int").alias("shard")
+    got = bpe.encode(known, tok).join(known.select("record_id", "label"), "record_id").select(shard, "record_id", F.slice("ids", 1, max_tokens).alias("ids"), "label")
+    made = got.groupBy("shard").applyInArrow(packed, "shard int, ids binary, length binary, target binary")
+    return cut(made.repartitionById(shards, "shard")), shards
+
+
+def _epoch(dealt: DataFrame, w: dict[str, np.ndarray], seed: int, epoch: int, max_tokens: int, wide: bool) -> tuple[dict[str, np.ndarray], float]:
+    """The weights after an epoch of each shard, averaged by rows, and the mean loss."""
+    spread = dealt.sparkSession.sparkContext.broadcast(w)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, length, target = _unpacked(row, max_tokens, wide)
+                own = {k: v.copy() for k, v in spread.value.items()}
+                loss = _descend(own, ids, length, target, np.random.default_rng([seed, epoch, row["shard"]]).permutation(len(target)))
+                flat = np.concatenate([own[k].ravel() for k in ARRAYS]).tobytes()
+                yield pa.RecordBatch.from_pylist([{"shard": row["shard"], "n": len(target), "loss": loss, "w": flat}])
+
+    done = sorted(dealt.mapInArrow(run, "shard long, n long, loss double, w binary").collect())
+    spread.destroy()
+    total = sum(r["n"] for r in done)
+    flat = sum(np.frombuffer(r["w"]) * (r["n"] / total) for r in done)
+    ends = np.cumsum([w[k].size for k in ARRAYS])
+    return {k: x.reshape(w[k].shape) for k, x in zip(ARRAYS, np.split(flat, ends[:-1]), strict=True)}, sum(r["loss"] * r["n"] for r in done) / total
+
+
+def _scores(dealt: DataFrame, models: list[Classifier], max_tokens: int, wide: bool) -> list[float]:
+    """The accuracy of each model over all rows."""
+    spread = dealt.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, length, target = _unpacked(row, max_tokens, wide)
+                right = [int((m.probabilities(ids, length).argmax(1) == target).sum()) for m in spread.value]
+                yield pa.RecordBatch.from_pylist([{"n": len(target), "right": right}])
+
+    done = dealt.mapInArrow(run, "n long, right array<long>").collect()
+    total = sum(r["n"] for r in done)
+    if not total:
+        raise ModelError("there are no rows to score", "give labelled rows")
+    return [sum(r["right"][i] for r in done) / total for i in range(len(models))]
 
 
 def fit(
-    train: DataFrame, dev: DataFrame | None, tok: bpe.Tokenizer, *, max_tokens: int = 64, epochs: int = 20, seed: int = 20260908, max_rows: int = MAX_ROWS, draw: bool = False
+    train: DataFrame, dev: DataFrame | None, tok: bpe.Tokenizer, *, max_tokens: int = 64, epochs: int = 20, seed: int = 20260908, max_rows: int = MAX_ROWS
 ) -> Classifier:
+    """A model of all labelled rows; the epoch that is best on all of dev is kept (the first of equals), the last without dev."""
     space = [r["label"] for r in features.label_space(train).orderBy("idx").collect()]
     if not space:
         raise ModelError("the training side has no labels", "give labelled rows")
-    a = _collected(train, tok, space, max_tokens, max_rows, draw)
-    d = None if dev is None or dev.isEmpty() else _collected(dev, tok, space, max_tokens, max_rows, draw)
-    return train_arrays(*a, space, len(tok.vocab), dev=d, epochs=epochs, seed=seed, tokenizer_digest=tok.digest)
+    ship(train.sparkSession)
+    dealt, shards = _dealt(train, tok, space, max_tokens, max_rows)
+    wide = len(tok.vocab) > 1 << 16
+    rng = np.random.default_rng(seed)
+    w = _begin(rng, len(tok.vocab), len(space))
+    alone = _unpacked(dealt.first(), max_tokens, wide) if shards == 1 else None
+    models: list[Classifier] = []
+    history: list[dict] = []
+    for epoch in range(epochs):
+        if alone is None:
+            w, loss = _epoch(dealt, w, seed, epoch, max_tokens, wide)
+        else:
+            loss = _descend(w, *alone, rng.permutation(len(alone[2])))
+        history.append({"epoch": epoch, "loss": loss, "dev_accuracy": None})
+        models.append(Classifier({k: v.copy() for k, v in w.items()}, space, tok.digest, max_tokens, history))
+    if dev is None or dev.isEmpty():
+        return models[-1]
+    scores = _scores(_dealt(dev, tok, space, max_tokens, max_rows)[0], models, max_tokens, wide)
+    for entry, score in zip(history, scores, strict=True):
+        entry["dev_accuracy"] = score
+    return models[scores.index(max(scores))]
 
 
 def predict(records: DataFrame, tok: bpe.Tokenizer, model: Classifier) -> DataFrame:

@@ -605,7 +605,7 @@ def neural_predictions(spark: SparkSession, folder: str) -> DataFrame:
 
     train, dev, test = (x.where("label is not null") for x in _sides(spark, folder))
     tok = bpe.train(train, vocab_size=1024)
-    model = neural.fit(train, dev, tok, draw=True)
+    model = neural.fit(train, dev, tok)
     return neural.predict(test, tok, model)
 
 
