@@ -242,6 +242,18 @@ def test_neural_trains_on_all_rows(spark):
     assert neural.fit(rows, None, tok, epochs=2).digest == plain.digest
 
 
+def test_neural_rows_are_packed_in_small_pieces(spark):
+    texts = [f"{'abc'[i % 3]} {i}" for i in range(9000)]
+    rows = corpus(spark, texts, [21 + i % 3 for i in range(9000)])
+    tok = bpe.train(rows, vocab_size=300)
+    dealt, shards = neural._dealt(rows, tok, [21, 22, 23], 64, 9000)
+    got = dealt.collect()
+    assert shards == 1 and max(len(r["ids"]) for r in got) <= 1 << 20
+    whole = neural._whole([(r["ids"], r["length"], r["target"]) for r in got], 64, False)
+    want = (*neural.padded([tok.encode(t) for t in texts], 64), np.arange(9000) % 3)
+    assert all((a == b).all() for a, b in zip(whole, want, strict=True))
+
+
 def scored(spark, rows):
     return spark.createDataFrame(rows, "record_id string, model string, target int, predicted int, confidence double")
 

@@ -56,12 +56,15 @@ class Tokenizer:
 
     def pieces(self, word: str) -> list[str]:
         """The word's symbols after merging: always the pair of lowest rank, leftmost first."""
-        out = [*word, END]
-        while len(out) > 1:
-            rank, at = min((self.ranks.get(pair, len(self.merges)), i) for i, pair in enumerate(zip(out, out[1:], strict=False)))
-            if rank == len(self.merges):
-                break
+        out, none = [*word, END], len(self.merges)
+        ranks = [self.ranks.get(pair, none) for pair in zip(out, out[1:], strict=False)]
+        while ranks and (rank := min(ranks)) < none:
+            at = ranks.index(rank)
             out[at : at + 2] = [out[at] + out[at + 1]]
+            del ranks[at]
+            # Only the pairs beside the new symbol have changed.
+            for i in range(max(at - 1, 0), min(at + 1, len(ranks))):
+                ranks[i] = self.ranks.get((out[i], out[i + 1]), none)
         return out
 
     def word_ids(self, word: str) -> list[int]:
@@ -389,26 +392,32 @@ def first_pair(records: DataFrame) -> DataFrame:
     return listed.select("n", pair.alias("p")).groupBy("p.a", "p.b").agg(F.sum("n").alias("n"))
 
 
+def encoder(tokenizer: Tokenizer, most: int = 100_000) -> Callable[[str | None], list[int]]:
+    """The ids of a text, none for a null one; those of up to ``most`` words are kept at a time."""
+    known: dict[str, list[int]] = {}
+
+    def ids(text: str | None) -> list[int]:
+        out: list[int] = []
+        for w in unicodedata.normalize("NFC", text).lower().split() if text is not None else ():
+            if w not in known:
+                if len(known) >= most:
+                    known.clear()
+                known[w] = tokenizer.word_ids(w)
+            out += known[w]
+        return out
+
+    return ids
+
+
 def encode(records: DataFrame, tokenizer: Tokenizer, id_col: str = "record_id") -> DataFrame:
     """(record_id, ids) of every record; a null text has no ids."""
     ship(records.sparkSession)
     spread = records.sparkSession.sparkContext.broadcast(tokenizer)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, list[int]] = {}
-        tok = spread.value
+        ids = encoder(spread.value)
         for frame in frames:
-            out = []
-            for text in frame["text"]:
-                ids: list[int] = []
-                for w in (unicodedata.normalize("NFC", text).lower().split() if text is not None else ()):
-                    if w not in known:
-                        if len(known) > 500_000:
-                            known.clear()
-                        known[w] = tok.word_ids(w)
-                    ids += known[w]
-                out.append(ids)
-            yield pd.DataFrame({"id": frame["id"], "ids": out})
+            yield pd.DataFrame({"id": frame["id"], "ids": [ids(text) for text in frame["text"]]})
 
     kind = dict(records.dtypes)[id_col]
     return records.select(F.col(id_col).alias("id"), "text").mapInPandas(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)

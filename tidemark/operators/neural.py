@@ -9,7 +9,7 @@ by rows before the next. Scoring runs on the cluster in Arrow batches.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from hashlib import sha256
 from pathlib import Path
@@ -17,15 +17,18 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.errors import ModelError
-from tidemark.operators import bpe, features
+from tidemark.operators import bpe
 from tidemark.operators.lineage import cut, ship
 
 VERSION = 1
 MAX_ROWS = 200_000
+#: Rows that are packed as one, so that none of the packed rows is large.
+PIECE = 8_192
 ARRAYS = ("embedding", "hidden_weight", "hidden_bias", "output_weight", "output_bias")
 
 
@@ -44,8 +47,12 @@ class Classifier:
     def probabilities(self, ids: np.ndarray, length: np.ndarray, rows: int = 2000) -> np.ndarray:
         if len(ids) > rows:
             return np.concatenate([self.probabilities(ids[i : i + rows], length[i : i + rows]) for i in range(0, len(ids), rows)])
+        return self.of_shares(counted(ids, length, len(self.weights["embedding"])))
+
+    def of_shares(self, share: np.ndarray) -> np.ndarray:
+        """Probabilities from the share of each token, see :func:`counted`."""
         w = self.weights
-        hidden = np.tanh(self.pooled(ids, length) @ w["hidden_weight"] + w["hidden_bias"])
+        hidden = np.tanh(share @ w["embedding"] @ w["hidden_weight"] + w["hidden_bias"])
         return softmax(hidden @ w["output_weight"] + w["output_bias"])
 
     @property
@@ -64,15 +71,26 @@ def counted(ids: np.ndarray, length: np.ndarray, vocab: int) -> np.ndarray:
     return np.bincount(flat, minlength=len(ids) * vocab).reshape(len(ids), vocab) / np.maximum(length, 1)[:, None]
 
 
+def _counted_seen(ids: np.ndarray, length: np.ndarray, vocab: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens that a few rows have, and those columns of :func:`counted`; the others are zero."""
+    token = ids[np.arange(ids.shape[1])[None, :] < length[:, None]]
+    seen = np.flatnonzero(np.bincount(token, minlength=vocab))
+    place = np.zeros(vocab, np.int64)
+    place[seen] = np.arange(len(seen))
+    flat = np.repeat(np.arange(len(ids)) * len(seen), length) + place[token]
+    return seen, np.bincount(flat, minlength=len(ids) * len(seen)).reshape(len(ids), len(seen)) / np.maximum(length, 1)[:, None]
+
+
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
 
 
-def padded(ids: list, max_tokens: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids cut or filled with 0 to one width, and lengths."""
-    out = np.zeros((len(ids), max_tokens), np.int32)
-    length = np.zeros(len(ids), np.int32)
+def padded(ids: Iterable, max_tokens: int, rows: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids cut or filled with 0 to one width, and lengths; ``rows`` tells how many there are where they come one by one."""
+    rows = len(ids) if rows is None else rows
+    out = np.zeros((rows, max_tokens), np.int32)
+    length = np.zeros(rows, np.int32)
     for i, x in enumerate(ids):
         n = min(len(x), max_tokens)
         out[i, :n], length[i] = x[:n], n
@@ -98,8 +116,9 @@ def _descend(w: dict[str, np.ndarray], ids: np.ndarray, length: np.ndarray, targ
     for at in range(0, len(order), batch):
         rows = order[at : at + batch]
         x, n, y = ids[rows], length[rows], target[rows]
-        share = counted(x, n, vocab)
-        pooled = share @ w["embedding"]
+        seen, share = _counted_seen(x, n, vocab)
+        embedding = w["embedding"][seen]
+        pooled = share @ embedding
         h = np.tanh(pooled @ w["hidden_weight"] + w["hidden_bias"])
         p = softmax(h @ w["output_weight"] + w["output_bias"])
         losses.append(-np.log(np.maximum(p[np.arange(len(y)), y], 1e-12)).mean())
@@ -112,7 +131,7 @@ def _descend(w: dict[str, np.ndarray], ids: np.ndarray, length: np.ndarray, targ
         w["output_bias"] -= rate * d.sum(0)
         w["hidden_weight"] -= rate * (pooled.T @ dh + decay * w["hidden_weight"])
         w["hidden_bias"] -= rate * dh.sum(0)
-        w["embedding"] -= rate * (share.T @ dp)
+        w["embedding"][seen] = embedding - rate * (share.T @ dp)
     return float(np.mean(losses))
 
 
@@ -145,30 +164,58 @@ def accuracy(predicted: np.ndarray, target: np.ndarray) -> float:
     return float((predicted == target).mean())
 
 
-def _unpacked(row: dict, max_tokens: int, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ids = np.frombuffer(row["ids"], np.int32 if wide else np.uint16).reshape(-1, max_tokens)
-    return ids, np.frombuffer(row["length"], np.int32), np.frombuffer(row["target"], np.int64)
+def _whole(rows: list[tuple], max_tokens: int, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, lengths and targets of packed rows, one after the other."""
+    ids, length, target = (np.concatenate([np.frombuffer(r[i], kind) for r in rows]) for i, kind in enumerate((np.int32 if wide else np.uint16, np.int32, np.int64)))
+    return ids.reshape(-1, max_tokens), length, target
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple]]:
+    """The shard, and ids, length and target, of packed rows; nothing is copied."""
+    for batch in batches:
+        for i in range(len(batch)):
+            yield batch.column("shard")[i].as_py(), tuple(batch.column(k)[i].as_buffer() for k in ("ids", "length", "target"))
 
 
-def _dealt(rows: DataFrame, tok: bpe.Tokenizer, space: list[int], max_tokens: int, max_rows: int) -> tuple[DataFrame, int]:
-    """(shard, ids, length, target): all labelled rows by shards of about ``max_rows``, each packed in a row and a partition; and their number."""
+def _dealt(rows: DataFrame, tok: bpe.Tokenizer, space: list[int], max_tokens: int, max_rows: int, total: int | None = None) -> tuple[DataFrame, int]:
+    """(shard, ids, length, target): all labelled rows by shards of about ``max_rows``, each in a partition of its own, packed by PIECE rows in the order of their ids; and the number of shards."""
     known = rows.where(F.col("label").isin(space))
-    shards = max(1, -(-known.count() // max_rows))
+    shards = max(1, -(-(known.count() if total is None else total) // max_rows))
     kind = np.int32 if len(tok.vocab) > 1 << 16 else np.uint16
+    spread = rows.sparkSession.sparkContext.broadcast(tok)
 
-    def packed(table: pa.Table) -> pa.Table:
-        table = table.sort_by("record_id").combine_chunks()
-        listed = table.column("ids").combine_chunks()
-        length = listed.value_lengths().to_numpy(zero_copy_only=False).astype(np.int32)
-        ids = np.zeros((len(length), max_tokens), kind)
-        ids[np.arange(max_tokens)[None, :] < length[:, None]] = listed.flatten().to_numpy(zero_copy_only=False)
-        target = np.searchsorted(space, table.column("label").to_numpy()).astype(np.int64)
-        return pa.table({"shard": table.column("shard")[:1], **{k: pa.array([x.tobytes()], pa.binary()) for k, x in (("ids", ids), ("length", length), ("target", target))}})
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = bpe.encoder(spread.value)
+        for batch in batches:
+            ids, length = padded((encode(t) for t in batch.column("text").to_pylist()), max_tokens, len(batch))
+            ids, target = ids.astype(kind), np.searchsorted(space, batch.column("label").to_numpy(zero_copy_only=False)).astype(np.int64)
+            shard = batch.column("shard").to_numpy()
+            order = np.argsort(shard, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(order) else ():
+                named = pa.ListArray.from_arrays([0, len(at)], batch.column("record_id").take(pa.array(at)))
+                blobs = [pa.array([x[at].tobytes()], pa.binary()) for x in (ids, length, target)]
+                yield pa.RecordBatch.from_arrays([pa.array(shard[at[:1]]), named, *blobs], ["shard", "record_id", "ids", "length", "target"])
+
+    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, names, shard = [], [], 0
+        for batch in batches:
+            names.append(batch.column("record_id").flatten())
+            for shard, piece in _pieces([batch]):
+                parts.append(piece)
+        if not parts:
+            return
+        ids, length, target = _whole(parts, max_tokens, kind == np.int32)
+        parts.clear()
+        order = pc.sort_indices(pa.chunked_array(names)).to_numpy()
+        for at in range(0, len(order), PIECE):
+            own = order[at : at + PIECE]
+            blobs = [pa.array([x[own].tobytes()], pa.binary()) for x in (ids, length, target)]
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *blobs], ["shard", "ids", "length", "target"])
 
     shard = F.pmod(F.xxhash64("record_id"), F.lit(shards)).cast("int").alias("shard")
-    got = bpe.encode(known, tok).join(known.select("record_id", "label"), "record_id").select(shard, "record_id", F.slice("ids", 1, max_tokens).alias("ids"), "label")
-    made = got.groupBy("shard").applyInArrow(packed, "shard int, ids binary, length binary, target binary")
-    return cut(made.repartitionById(shards, "shard")), shards
+    packed = "ids binary, length binary, target binary"
+    made = known.select(shard, "record_id", "text", "label").mapInArrow(sent, f"shard int, record_id array<{dict(rows.dtypes)['record_id']}>, {packed}")
+    return cut(made.repartitionById(shards, "shard").mapInArrow(ordered, f"shard int, {packed}")), shards
 
 
 def _epoch(dealt: DataFrame, w: dict[str, np.ndarray], seed: int, epoch: int, max_tokens: int, wide: bool) -> tuple[dict[str, np.ndarray], float]:
@@ -176,13 +223,17 @@ def _epoch(dealt: DataFrame, w: dict[str, np.ndarray], seed: int, epoch: int, ma
     spread = dealt.sparkSession.sparkContext.broadcast(w)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, length, target = _unpacked(row, max_tokens, wide)
-                own = {k: v.copy() for k, v in spread.value.items()}
-                loss = _descend(own, ids, length, target, np.random.default_rng([seed, epoch, row["shard"]]).permutation(len(target)))
-                flat = np.concatenate([own[k].ravel() for k in ARRAYS]).tobytes()
-                yield pa.RecordBatch.from_pylist([{"shard": row["shard"], "n": len(target), "loss": loss, "w": flat}])
+        shard, parts = 0, []
+        for shard, piece in _pieces(batches):
+            parts.append(piece)
+        if not parts:
+            return
+        ids, length, target = _whole(parts, max_tokens, wide)
+        parts.clear()
+        own = {k: v.copy() for k, v in spread.value.items()}
+        loss = _descend(own, ids, length, target, np.random.default_rng([seed, epoch, shard]).permutation(len(target)))
+        flat = np.concatenate([own[k].ravel() for k in ARRAYS]).tobytes()
+        yield pa.RecordBatch.from_pylist([{"shard": shard, "n": len(target), "loss": loss, "w": flat}])
 
     done = sorted(dealt.mapInArrow(run, "shard long, n long, loss double, w binary").collect())
     spread.destroy()
@@ -197,11 +248,16 @@ def _scores(dealt: DataFrame, models: list[Classifier], max_tokens: int, wide: b
     spread = dealt.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, length, target = _unpacked(row, max_tokens, wide)
-                right = [int((m.probabilities(ids, length).argmax(1) == target).sum()) for m in spread.value]
-                yield pa.RecordBatch.from_pylist([{"n": len(target), "right": right}])
+        models = spread.value
+        for _, piece in _pieces(batches):
+            ids, length, target = _whole([piece], max_tokens, wide)
+            right = [0] * len(models)
+            for at in range(0, len(target), 2000):
+                s = slice(at, at + 2000)
+                share = counted(ids[s], length[s], len(models[0].weights["embedding"]))
+                for i, m in enumerate(models):
+                    right[i] += int((m.of_shares(share).argmax(1) == target[s]).sum())
+            yield pa.RecordBatch.from_pylist([{"n": len(target), "right": right}])
 
     done = dealt.mapInArrow(run, "n long, right array<long>").collect()
     total = sum(r["n"] for r in done)
@@ -214,15 +270,16 @@ def fit(
     train: DataFrame, dev: DataFrame | None, tok: bpe.Tokenizer, *, max_tokens: int = 64, epochs: int = 20, seed: int = 20260908, max_rows: int = MAX_ROWS
 ) -> Classifier:
     """A model of all labelled rows; the epoch that is best on all of dev is kept (the first of equals), the last without dev."""
-    space = [r["label"] for r in features.label_space(train).orderBy("idx").collect()]
+    sizes = {r["label"]: r["count"] for r in train.where("label is not null").groupBy("label").count().collect()}
+    space = sorted(sizes)
     if not space:
         raise ModelError("the training side has no labels", "give labelled rows")
     ship(train.sparkSession)
-    dealt, shards = _dealt(train, tok, space, max_tokens, max_rows)
+    dealt, shards = _dealt(train, tok, space, max_tokens, max_rows, sum(sizes.values()))
     wide = len(tok.vocab) > 1 << 16
     rng = np.random.default_rng(seed)
     w = _begin(rng, len(tok.vocab), len(space))
-    alone = _unpacked(dealt.first(), max_tokens, wide) if shards == 1 else None
+    alone = _whole([(r["ids"], r["length"], r["target"]) for r in dealt.toLocalIterator()], max_tokens, wide) if shards == 1 else None
     models: list[Classifier] = []
     history: list[dict] = []
     for epoch in range(epochs):
@@ -232,9 +289,12 @@ def fit(
             loss = _descend(w, *alone, rng.permutation(len(alone[2])))
         history.append({"epoch": epoch, "loss": loss, "dev_accuracy": None})
         models.append(Classifier({k: v.copy() for k, v in w.items()}, space, tok.digest, max_tokens, history))
-    if dev is None or dev.isEmpty():
+    if dev is None:
+        return models[-1]
+    asked = dev.where(F.col("label").isin(space)).count()
+    if not asked and dev.isEmpty():
         return models[-1]
-    scores = _scores(_dealt(dev, tok, space, max_tokens, max_rows)[0], models, max_tokens, wide)
+    scores = _scores(_dealt(dev, tok, space, max_tokens, max_rows, asked)[0], models, max_tokens, wide)
     for entry, score in zip(history, scores, strict=True):
         entry["dev_accuracy"] = score
     return models[scores.index(max(scores))]
