@@ -1,6 +1,9 @@
 import random
+from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,3 +204,33 @@ def test_blocks_round_trip():
         k, i, e = (np.concatenate(x) for x in zip(*back, strict=True))
         order = np.argsort(key, kind="stable")
         assert (k == key[order] >> np.uint64(16)).all() and (i == ids[order]).all() and (e == extra[order]).all()
+
+
+def test_sketches_hash_a_text_once(monkeypatch):
+    rng = random.Random(11)
+    texts = [" ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(1, 40))) for _ in range(60)] + ["", "?"]
+    common = SimpleNamespace(value=np.zeros(1 << 20, bool))
+    keys, has, _, size = order_minhash.sketch_keys(texts, common.value)
+    assert size.tolist() == [len(brute.triples(texts[i])) for i in has]
+    hashed, words = [], tk.words
+    monkeypatch.setattr(tk, "words", lambda part: hashed.extend(part) or words(part))
+    twice = pa.record_batch([pa.array([*range(62), 0]), pa.array([*texts, texts[0]])], names=["tid", "text"])
+    rows = [r for x in order_minhash._sketch(3, 40, 100, common)(iter([twice])) for r in x.to_pylist()]
+    assert hashed == [*texts, texts[0]]
+    blocks = [_blocks.unpack(r["block"], (), order_minhash.KEY, order_minhash.ID, (1,)) for r in rows if r["kind"] == order_minhash.SKETCH]
+    got = Counter(x for key, ids, n in blocks for x in zip(key.tolist(), ids.tolist(), n.tolist(), strict=True))
+    assert got == Counter((int(k) >> 24, int(i), int(n)) for row, i, n in zip(keys, has, size, strict=True) for k in row)
+
+
+def test_orders_equal_plain_ones():
+    rng = np.random.default_rng(5)
+    h, doc = rng.integers(0, 40, 500).astype(np.uint64), np.sort(rng.integers(0, 30, 500))
+    seen: Counter = Counter()
+    for pair, nth in zip(zip(h.tolist(), doc.tolist(), strict=True), tk.occurrences(h, doc).tolist(), strict=True):
+        assert nth == seen[pair]
+        seen[pair] += 1
+    key = rng.integers(0, 200, 500).astype(np.uint64) << np.uint64(24) | rng.integers(0, 1 << 24, 500).astype(np.uint64)
+    assert (order_minhash._by_lead(key) == np.argsort(key >> np.uint64(24), kind="stable")).all()
+    times = Counter((lead := key >> np.uint64(24)).tolist())
+    assert sorted(order_minhash._repeated(lead).tolist()) == [i for i, k in enumerate(lead.tolist()) if times[k] > 1]
+    assert not len(order_minhash._repeated(lead[:1])) and not len(order_minhash._repeated(lead[:0]))

@@ -52,7 +52,12 @@ def encode_block(
 ) -> bytes:
     """Entries as bytes. Where ids repeat often, they are written once (with what follows from the id alone), with a two-byte index for each entry."""
     n = len(key)
-    table, first, index = np.unique(ids, return_index=True, return_inverse=True)
+    # As np.unique with its indices, whose stable sort is several times slower; any place of an id will do.
+    order = np.argsort(ids)
+    new = np.ones(n, bool)
+    new[1:] = ids[order][1:] != ids[order][:-1]
+    first, index = order[new], np.empty(n, np.int64)
+    table, index[order] = ids[first], np.cumsum(new) - 1
     width = id_bytes + sum(w for _, w in of_id)
     short = len(table) < 65536 and len(table) * width + 2 * n < width * n
     if short:

@@ -44,6 +44,13 @@ def _alnum() -> np.ndarray:
     return _tables["alnum"]
 
 
+def _mixed(cp: np.ndarray) -> np.ndarray:
+    """:func:`mix` of code points plus one, by a table; a surrogate is a code point too."""
+    if "mixed" not in _tables:
+        _tables["mixed"] = mix(np.arange(1, 0x110001, dtype=U64))
+    return _tables["mixed"][cp]
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64, at least n + 1 of each."""
     if "pow" not in _tables or len(_tables["pow"]) <= n:
@@ -82,7 +89,7 @@ def prefix_hash(cp: np.ndarray) -> np.ndarray:
     """Prefix sums for substring hashes: see :func:`span_hash`."""
     pw, _ = _powers(len(cp))
     acc = np.zeros(len(cp) + 1, U64)
-    np.cumsum(mix(cp.astype(U64) + U64(1)) * pw[: len(cp)], out=acc[1:])
+    np.cumsum(_mixed(cp) * pw[: len(cp)], out=acc[1:])
     return acc
 
 
@@ -144,14 +151,19 @@ def owners(off: np.ndarray) -> np.ndarray:
 def occurrences(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """How often the same hash came before in the same text: 0 for the first, and so on."""
     key = mix(h + doc.astype(U64) * _MULT)
-    order = np.argsort(key, kind="stable")
+    # numpy's stable sort is several times slower; only the few repeats need the order of the text.
+    order = np.argsort(key)
     k = key[order]
-    new = np.ones(len(k), bool)
-    new[1:] = k[1:] != k[:-1]
-    run = np.flatnonzero(new)
-    rank = np.arange(len(k)) - np.repeat(run, np.diff(np.append(run, len(k))))
-    out = np.empty(len(k), np.int64)
-    out[order] = rank
+    again = np.zeros(len(k), bool)
+    again[1:] = k[1:] == k[:-1]
+    out = np.zeros(len(k), np.int64)
+    if again.any():
+        several = again.copy()
+        several[:-1] |= again[1:]
+        at, group = order[several], np.cumsum(~again)[several]
+        at = at[np.lexsort((at, group))]
+        run = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        out[at] = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
     return out
 
 

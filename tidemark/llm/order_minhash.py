@@ -67,40 +67,44 @@ _LOCAL_BITS = 22
 _LABEL = U64(0xC2B2AE3D27D4EB4F)
 
 
-def sketch_keys(texts: list[str], common: np.ndarray, sketches: int = SKETCHES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sketch keys, shape (texts with a triple, sketches), the indices of those texts, and their shares of uncommon triples.
+def sketch_keys(texts: list[str], common: np.ndarray, sketches: int = SKETCHES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sketch keys, shape (texts with a triple, sketches), the indices of those texts, their shares of uncommon triples and their numbers of distinct ones.
 
     ``common`` tells for each slot of hashes whether its triples are common.
     """
     h, off = tk.triples(*tk.words(texts))
     has = np.flatnonzero(np.diff(off))
     if not len(has):
-        return np.empty((0, sketches), U64), has, np.empty(0)
+        return np.empty((0, sketches), U64), has, np.empty(0), np.empty(0, np.int64)
     doc, count, start = tk.owners(off), np.diff(off)[has], off[has]
-    x = labelled(h, doc)
+    nth = tk.occurrences(h, doc)
+    x = labelled(h, nth)
+    size = np.add.reduceat((nth == 0).astype(np.int64), start)
     late = common[slot(h, len(common))]
     share = 1 - np.add.reduceat(late.astype(np.int64), start) / count
     mask, full = U64((1 << _LOCAL_BITS) - 1), U64(0xFFFFFFFFFFFFFFFF)
     local = (np.arange(len(h)) - off[doc]).astype(U64) & mask
-    last = late.astype(U64) << U64(63)
+    tail = late.astype(U64) << U64(63) | local
     seeds = tk.mix(np.arange(1, 2 * sketches + 1, dtype=U64)).reshape(sketches, 2)
     out = np.empty((len(has), sketches), U64)
+    y = np.empty_like(x)
     for j in range(sketches):
-        y = ((x ^ seeds[j, 0]) * (seeds[j, 1] | U64(1))) >> U64(1)
-        y |= last
+        np.bitwise_xor(x, seeds[j, 0], out=y)
+        y *= seeds[j, 1] | U64(1)
+        y >>= U64(1)
         y &= ~mask
-        y |= local
+        y |= tail
         one = start + (np.minimum.reduceat(y, start) & mask).astype(np.int64)
         y[one] = full
         two = np.where(count > 1, start + (np.minimum.reduceat(y, start) & mask).astype(np.int64), one)
         a, b = np.minimum(one, two), np.maximum(one, two)
         out[:, j] = tk.mix(x[a] * U64(0x9E3779B97F4A7C15) + tk.mix(x[b] + U64(j)))
-    return out, has, share
+    return out, has, share, size
 
 
-def labelled(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+def labelled(h: np.ndarray, nth: np.ndarray) -> np.ndarray:
     """Triples with their occurrence number in the text, as one hash."""
-    return tk.mix(h + tk.occurrences(h, doc).astype(U64) * _LABEL)
+    return tk.mix(h + nth.astype(U64) * _LABEL)
 
 
 def _sketch(buckets: int, sketches: int, hot: int, common):
@@ -111,12 +115,14 @@ def _sketch(buckets: int, sketches: int, hot: int, common):
         held, amount = [], 0
 
         def flush() -> Iterator[tuple[int, int, bytes]]:
-            key, ids, size = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((ids, key))
-            key, ids, size = key[order], ids[order], size[order]
-            new = np.append(True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]))
-            key, ids, size = key[new], ids[new], size[new]
-            place, many = _groups(key)
+            keys, ids, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
+            # The copies of a text are one, and texts in order of their hashes leave only the keys to sort.
+            ids, one = np.unique(ids, return_index=True)
+            key = keys[one].ravel()
+            order = _by_lead(key)
+            key, text = key[order], order // sketches
+            ids, size = ids[text], sizes[one][text]
+            place, many = _groups(key >> U64(64 - 8 * KEY))
             # One more than ``hot`` entries tell the receiver that the sketch is hot.
             for blob in _id_blocks(np.unique(ids[many > hot])):
                 yield 0, HOT_TEXTS, blob
@@ -127,11 +133,10 @@ def _sketch(buckets: int, sketches: int, hot: int, common):
         for batch in batches:
             tid = _texts.tids(batch.column(0))
             for at, part in tk.chunks(batch.column(1).to_pylist()):
-                k, has, share = sketch_keys(part, common.value, sketches)
-                size = np.diff(tk.distinct_sets(part)[1])[has]
+                k, has, share, size = sketch_keys(part, common.value, sketches)
                 for blob in _id_blocks(np.unique(tid[at + has[share < UNCOMMON_SHARE]])):
                     yield 0, HOT_TEXTS, blob
-                held.append((k.ravel(), np.repeat(tid[at + has], sketches), np.repeat(size, sketches)))
+                held.append((k, tid[at + has], size))
                 amount += k.size
                 if amount > _blocks.FLUSH:
                     yield from flush()
@@ -149,6 +154,24 @@ def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(key)) - np.repeat(first, n), np.repeat(n, n)
 
 
+def _by_lead(key: np.ndarray) -> np.ndarray:
+    """The order of keys by their leading KEY bytes, and of equal ones by their places."""
+    low = 64 - 8 * KEY
+    if len(key) > 1 << low:
+        return np.argsort(key >> U64(low), kind="stable")
+    # Sorting numbers is far quicker than sorting places by them.
+    both = key >> U64(low) << U64(low) | np.arange(len(key), dtype=U64)
+    both.sort()
+    return (both & U64((1 << low) - 1)).astype(np.int64)
+
+
+def _repeated(key: np.ndarray) -> np.ndarray:
+    """The places of keys that come more than once."""
+    order = np.argsort(key)
+    again = key[order][1:] == key[order][:-1]
+    return order[np.append(again, False) | np.append(False, again)] if len(key) else order
+
+
 def _id_blocks(ids: np.ndarray, size: int = 100_000) -> Iterator[bytes]:
     for at in range(0, len(ids), size):
         yield _blocks.planes(ids[at : at + size], ID)
@@ -280,6 +303,11 @@ def _candidates(threshold: float, hot: int):
         if not parts:
             return
         key, ids, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+        # Most sketches are those of one text, which needs no place among others.
+        several = _repeated(key)
+        if not len(several):
+            return
+        key, ids, size = key[several], ids[several], size[several]
         order = np.lexsort((ids, key))
         key, ids, size = key[order], ids[order], size[order]
         new = np.append(True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]))
@@ -351,8 +379,8 @@ def align(left: list[str], right: list[str], threshold: float, band: int = BAND)
     n = len(left)
     h, off = tk.triples(*tk.words([*left, *right]))
     doc = tk.owners(off)
-    first = tk.occurrences(h, doc) == 0
-    x = labelled(h, doc)
+    nth = tk.occurrences(h, doc)
+    first, x = nth == 0, labelled(h, nth)
     size = np.bincount(doc[first], minlength=2 * n)
     a, b = size[:n], size[n:]
     # Alignment works on the shorter side row by row.
@@ -366,7 +394,8 @@ def align(left: list[str], right: list[str], threshold: float, band: int = BAND)
         of[rest] = of[rest + n] = np.arange(len(rest))
         use = first & (of[doc] >= 0)
         key = tk.mix(h[use] + of[doc[use]].astype(U64) * _LABEL)
-        order = np.argsort(key, kind="stable")
+        # Distinct on either side, so that a key comes twice at most.
+        order = np.argsort(key)
         same = key[order][1:] == key[order][:-1]
         common[rest] = np.bincount(of[doc[use]][order][1:][same], minlength=len(rest))
     return a, b, common, proven
